@@ -37,18 +37,21 @@ def to_money(c, dtype: str = MONEY) -> Column:
 
 
 def compact_dollars(c) -> Column:
-    """``$1.2B`` / ``$3.4M`` / ``$12K`` / ``$950``: one decimal for B and M, rounded K and units.
+    """``$1.2B`` / ``$3.4M`` / ``$12K`` / ``$950``: one decimal for B and M, whole K and units.
 
-    Rounding of K and units is half up toward +inf like a browser's ``Math.round``.
+    Computed on exact decimals, rounding half up (the display rule for the
+    non-negative amounts it is used on).
     """
-    v = _col(c).cast("double")
-    one_dp = lambda x: F.format_string("%.1f", x)
-    js_round = lambda x: F.floor(x + F.lit(0.5)).cast("bigint").cast("string")
+    v = _col(c).cast("decimal(20,2)")
+
+    def scaled(unit: int, places: int) -> Column:
+        return F.round(v / F.lit(unit).cast("decimal(10,0)"), places).cast("string")
+
     return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(v >= 1e9, F.concat(F.lit("$"), one_dp(v / 1e9), F.lit("B")))
-            .when(v >= 1e6, F.concat(F.lit("$"), one_dp(v / 1e6), F.lit("M")))
-            .when(v >= 1e3, F.concat(F.lit("$"), js_round(v / 1e3), F.lit("K")))
-            .otherwise(F.concat(F.lit("$"), js_round(v))))
+            .when(v >= 10**9, F.concat(F.lit("$"), scaled(10**9, 1), F.lit("B")))
+            .when(v >= 10**6, F.concat(F.lit("$"), scaled(10**6, 1), F.lit("M")))
+            .when(v >= 10**3, F.concat(F.lit("$"), scaled(10**3, 0), F.lit("K")))
+            .otherwise(F.concat(F.lit("$"), F.round(v, 0).cast("decimal(20,0)").cast("string"))))
 
 
 def full_dollars(c) -> Column:

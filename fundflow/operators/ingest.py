@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from fundflow.functions.text import strip_ws
 from fundflow.operators import dedupe
 from fundflow.operators.quality import ERRORS, SEQ, EntitySpec, split, validate
+from fundflow.functions.money import MONEY as INSIDE_TOTALS_MONEY
 from fundflow.operators.specs import CANDIDATES, COMMITTEES, INSIDE_TOTALS, OUTSIDE_TOTALS
 
 
@@ -63,29 +64,39 @@ def transform_committees(raw_df: DataFrame) -> Transformed:
 
 
 def transform_inside(raw_df: DataFrame) -> Transformed:
-    """Accumulate every raw row of a (candidate, cycle): null amounts count as 0."""
+    """Accumulate every raw row of a (candidate, cycle): null amounts count as 0.
+
+    Key rules hold for a whole group, so they are checked per raw row *before*
+    the sum, and only the amount width after it. The sum's output keeps the hash
+    partitioning on (candidate_id, cycle), so later aggregates and joins on that
+    key (the spending summary) add no exchange.
+    """
     kept, skipped = dedupe.key_present(raw_df, ["candidate_id"], ["cycle"])
     amounts = ["receipts", "disbursements"]
     typed = kept.select(
         F.col(SEQ),
         strip_ws(F.col("candidate_id").cast("string")).alias("candidate_id"),
-        F.col("cycle").alias("cycle"),
+        F.col("cycle").try_cast("int").alias("cycle"),
         *[F.col(a).alias(f"__raw_{a}") for a in amounts],
         *[F.col(a).try_cast("decimal(38,2)").alias(a) for a in amounts])
-    not_number = F.lit(False)
-    for a in amounts:
-        not_number = not_number | (F.col(f"__raw_{a}").isNotNull() & F.col(a).isNull())
-    numeric = typed.filter(~not_number)
-    bad_amounts = typed.filter(not_number).select(
-        F.col(SEQ), "candidate_id", F.col("cycle").try_cast("int").alias("cycle"),
-        *[F.lit(None).cast("decimal(15,2)").alias(a) for a in amounts],
-        F.array(F.lit("amount_not_numeric")).alias(ERRORS))
-    summed = (numeric.groupBy("candidate_id", "cycle")
+    row_rules = [("candidate_id_required", F.col("candidate_id").isNull() | (F.col("candidate_id") == "")),
+                 ("cycle_required", F.col("cycle").isNull())]
+    row_rules += [(f"{a}_not_numeric", F.col(f"__raw_{a}").isNotNull() & F.col(a).isNull()) for a in amounts]
+    flagged = typed.withColumn(ERRORS, F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in row_rules]),
+                                                lambda x: x.isNotNull()))
+    good_rows, bad_rows = split(flagged)
+    summed = (good_rows.groupBy("candidate_id", "cycle")
               .agg(F.min(SEQ).alias(SEQ),
                    *[F.sum(F.coalesce(F.col(a), F.lit(0))).alias(a) for a in amounts]))
-    good, bad = split(validate(summed, INSIDE_TOTALS))
-    dups = numeric.limit(0)
-    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_amounts), skipped, dups)
+    width = [(f"{a}_overflow", F.col(a).try_cast(INSIDE_TOTALS_MONEY).isNull()) for a in amounts]
+    checked = summed.select(
+        SEQ, "candidate_id", "cycle",
+        *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts],
+        F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in width]), lambda x: x.isNotNull()).alias(ERRORS))
+    good, bad = split(checked)
+    bad_rows = bad_rows.select(SEQ, "candidate_id", "cycle",
+                               *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts], ERRORS)
+    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_rows), skipped, good_rows.limit(0))
 
 
 def transform_outside(raw_df: DataFrame) -> Transformed:

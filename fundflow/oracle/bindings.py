@@ -137,3 +137,50 @@ def with_views(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in names_in_order)
     return f"WITH {ctes}\n{body}"
+
+
+def cents_sql(v: str) -> str:
+    return f"CAST(({v}) * 100 AS HUGEINT)"
+
+
+def compact_sql(v: str) -> str:
+    """Compact dollars for non-negative amounts, half up, in integer cents."""
+    c = cents_sql(v)
+
+    def tenths(unit_cents: int) -> str:
+        return f"(({c} + {unit_cents // 20}) // {unit_cents // 10})"
+
+    def whole(unit_cents: int) -> str:
+        return f"(({c} + {unit_cents // 2}) // {unit_cents})"
+
+    def one_dp(unit_cents: int) -> str:
+        t = tenths(unit_cents)
+        return f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR)"
+
+    return (f"CASE WHEN ({v}) IS NULL THEN NULL "
+            f"WHEN ({v}) >= 1000000000 THEN '$' || {one_dp(100_000_000_000)} || 'B' "
+            f"WHEN ({v}) >= 1000000 THEN '$' || {one_dp(100_000_000)} || 'M' "
+            f"WHEN ({v}) >= 1000 THEN '$' || CAST({whole(100_000)} AS VARCHAR) || 'K' "
+            f"ELSE '$' || CAST({whole(100)} AS VARCHAR) END")
+
+
+def dollars_sql(v: str) -> str:
+    """'$1,234,568' with half-away-from-zero whole dollars; 'N/A' for null."""
+    r = f"CAST(ROUND(CAST(({v}) AS DECIMAL(38,2))) AS HUGEINT)"
+    return (f"CASE WHEN ({v}) IS NULL THEN 'N/A' WHEN {r} < 0 THEN '-$' || format('{{:,}}', -{r}) "
+            f"ELSE '$' || format('{{:,}}', {r}) END")
+
+
+view("summary_c", ["summary", "candidates"], """
+SELECT s.*, c.candidate_id AS c_id, c.name AS candidate_name, c.state AS candidate_state,
+  c.office AS candidate_office, c.district AS candidate_district, c.party AS candidate_party,
+  c.incumbent_challenge AS candidate_incumbent_challenge
+FROM summary s LEFT JOIN candidates c ON s.candidate_id = c.candidate_id
+""")
+
+SUMMARY_OUT = ("candidate_id, cycle, CAST(inside_receipts AS DOUBLE) AS inside_receipts, "
+               "CAST(inside_disbursements AS DOUBLE) AS inside_disbursements, "
+               "CAST(outside_support AS DOUBLE) AS outside_support, "
+               "CAST(outside_oppose AS DOUBLE) AS outside_oppose, influence_ratio, vulnerability_factor")
+CANDIDATE_INFO_OUT = ("candidate_name, candidate_state, candidate_office, candidate_district, "
+                      "candidate_party, candidate_incumbent_challenge")

@@ -37,3 +37,6 @@ def candidate_spending_summary_spine(spark: SparkSession, sf_dir: str):
                      "global_influence_ratio FROM election", "election"))
 def election_spending_summary(spark: SparkSession, sf_dir: str):
     return tables.as_output(tables.election(spark, sf_dir))
+
+
+from fundflow.plans import registered_reads, registered_tree  # noqa: E402,F401
