@@ -38,12 +38,27 @@ def distinct_from(a: list[Column], b: list[Column]) -> Column:
 
 @dataclass
 class MergeResult:
-    table: DataFrame     # next version: spec columns + created_at, updated_at
-    changes: DataFrame   # one row per key with its _action
+    """The merged frame: next-version table columns plus ``_action`` per key."""
+
+    frame: DataFrame
+    columns: tuple[str, ...]
+    key: tuple[str, ...]
+
+    @property
+    def table(self) -> DataFrame:
+        return self.frame.select(*self.columns)
+
+    @property
+    def changes(self) -> DataFrame:
+        return self.frame.select(*self.key, ACTION)
+
+    def checkpointed(self) -> "MergeResult":
+        """Materialise once in the checkpoint folder; table and stats then share it."""
+        return MergeResult(self.frame.checkpoint(eager=True), self.columns, self.key)
 
     def stats(self, quarantine: DataFrame | None = None) -> DataFrame:
         """inserted / updated / unchanged / kept / errors as one row, in one aggregate."""
-        acts = self.changes.select(ACTION)
+        acts = self.frame.select(ACTION)
         if quarantine is not None:
             acts = acts.unionByName(quarantine.select(F.lit("error").alias(ACTION)))
         return acts.agg(*[F.count_if(F.col(ACTION) == a).cast("bigint").alias(n) for a, n in
@@ -51,31 +66,48 @@ class MergeResult:
                            ("unchanged", "unchanged"), ("keep", "kept"), ("error", "errors"))])
 
 
-def merge(stored: DataFrame, incoming: DataFrame, spec: EntitySpec, run_ts: str) -> MergeResult:
-    """Merge ``incoming`` (spec columns + ``_seq``, duplicates allowed) into ``stored``."""
+def merge(stored: DataFrame, incoming: DataFrame, spec: EntitySpec, run_ts: str,
+          version: str | None = None) -> MergeResult:
+    """Merge ``incoming`` (spec columns + ``_seq``, duplicates allowed) into ``stored``.
+
+    With ``version`` (a column kept in the stored table, e.g. the arrival ``_seq``),
+    an incoming row applies only when it is newer than the stored one, which makes
+    replayed or out-of-order micro-batches converge to the same table.
+    """
     key = list(spec.key)
     vals = list(spec.value_columns)
     latest = dedupe.last_wins(incoming.select(*key, *vals, SEQ), key)
-    s = stored.select(*key, *[F.col(v).alias(f"s__{v}") for v in vals],
+    vcols = [version] if version else []
+    s = stored.select(*key, *[F.col(v).alias(f"s__{v}") for v in vals + vcols],
                       F.col("created_at").alias("s__created_at"),
                       F.col("updated_at").alias("s__updated_at"),
                       F.lit(True).alias("s__present"))
-    i = latest.select(*key, *[F.col(v).alias(f"i__{v}") for v in vals], F.lit(True).alias("i__present"))
+    i = latest.select(*key, *[F.col(v).alias(f"i__{v}") for v in vals],
+                      *([F.col(SEQ).alias(f"i__{version}")] if version else []),
+                      F.lit(True).alias("i__present"))
     j = s.join(i, key, "full_outer")
     in_s, in_i = F.col("s__present").isNotNull(), F.col("i__present").isNotNull()
     changed = distinct_from([F.col(f"s__{v}") for v in vals], [F.col(f"i__{v}") for v in vals])
-    action = (F.when(~in_s, "insert").when(~in_i, "keep")
+    stale = (F.col(f"i__{version}") <= F.col(f"s__{version}")) if version else F.lit(False)
+    action = (F.when(~in_s, "insert").when(~in_i, "keep").when(stale, "unchanged")
               .when(changed, "update").otherwise("unchanged"))
     run = F.lit(run_ts).cast("timestamp")
     j = j.withColumn(ACTION, action)
     take_new = F.col(ACTION).isin("insert", "update")
-    table = j.select(
+    newer = F.col(ACTION) == "insert"
+    if version:
+        newer = newer | (in_s & in_i & ~stale)
+    frame = j.select(
         *key,
         *[F.when(take_new, F.col(f"i__{v}")).otherwise(F.col(f"s__{v}")).alias(v) for v in vals],
+        *([F.when(newer, F.col(f"i__{version}")).otherwise(F.col(f"s__{version}")).alias(version)]
+          if version else []),
         F.coalesce(F.col("s__created_at"), run).alias("created_at"),
         F.when(take_new, run).otherwise(F.col("s__updated_at")).alias("updated_at"),
+        F.col(ACTION),
     )
-    return MergeResult(table, j.select(*key, ACTION))
+    cols = tuple(key + vals + vcols + ["created_at", "updated_at"])
+    return MergeResult(frame, cols, tuple(key))
 
 
 def write_counts(stored: DataFrame, incoming: DataFrame, spec: EntitySpec) -> DataFrame:

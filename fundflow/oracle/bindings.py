@@ -184,3 +184,63 @@ SUMMARY_OUT = ("candidate_id, cycle, CAST(inside_receipts AS DOUBLE) AS inside_r
                "CAST(outside_oppose AS DOUBLE) AS outside_oppose, influence_ratio, vulnerability_factor")
 CANDIDATE_INFO_OUT = ("candidate_name, candidate_state, candidate_office, candidate_district, "
                       "candidate_party, candidate_incumbent_challenge")
+
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def strip_sql(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+def title_sql(x: str) -> str:
+    """Each letter run: first letter upper, rest lower."""
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)'), "
+            f"lambda r: upper(r[1]) || lower(r[2:])), '')")
+
+
+def words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+view("candidates_raw", [], """
+SELECT CASE WHEN o.o_orderkey % 5 = 0 THEN ' ' || CAST(o.o_custkey AS VARCHAR) || ' '
+            ELSE CAST(o.o_custkey AS VARCHAR) END AS candidate_id,
+  CASE WHEN o.o_orderstatus = 'P' AND o.o_orderpriority = '5-LOW' THEN '   ' ELSE c.c_name END AS name,
+  LOWER(CASE c.c_mktsegment WHEN 'HOUSEHOLD' THEN 'H' WHEN 'BUILDING' THEN 'S' WHEN 'AUTOMOBILE' THEN 'P' END) AS office,
+  CAST(c.c_nationkey AS VARCHAR) AS state,
+  CAST(o.o_custkey % 20 AS VARCHAR) AS district,
+  SUBSTRING(o.o_orderpriority, 3, 10) AS party,
+  CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) AS last_file_date,
+  o.o_orderkey AS seq
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+""")
+
+view("candidates_checked", ["candidates_raw"], f"""
+SELECT seq, {strip_sql('candidate_id')} AS candidate_id,
+  array_to_string(list_transform({words_sql(strip_sql('name'))}, lambda w: {title_sql('w')}), ' ') AS name,
+  UPPER(office) AS office, {strip_sql('state')} AS state, {strip_sql('party')} AS party,
+  CASE WHEN regexp_matches({strip_sql('district')}, '^[0-9]+$') AND length({strip_sql('district')}) < 2
+       THEN lpad({strip_sql('district')}, 2, '0') ELSE {strip_sql('district')} END AS district,
+  CAST(CAST(last_file_date AS DATE) AS VARCHAR) AS last_file_date,
+  CASE WHEN {strip_sql('name')} = '' THEN 'name_required' ELSE '' END AS errors
+FROM candidates_raw
+""")
+
+view("candidates_last", ["candidates_checked"], """
+SELECT * EXCLUDE (last_rank) FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY candidate_id ORDER BY seq DESC) AS last_rank
+  FROM candidates_checked WHERE errors = '')
+WHERE last_rank = 1
+""")
+
+view("committees_checked", [], f"""
+SELECT s.s_suppkey AS seq, 'C' || lpad(CAST(s.s_suppkey AS VARCHAR), 8, '0') AS committee_id,
+  UPPER(s.s_name) AS name,
+  UPPER(CASE WHEN s.s_acctbal < 0 THEN 'z9'
+             ELSE lower(substr('CDEHINOPQSUVWXYZ', CAST(s.s_suppkey % 16 AS INTEGER) + 1, 1)) END) AS committee_type,
+  CASE WHEN s.s_suppkey % 3 IN (0, 1) THEN NULL ELSE {strip_sql('s.s_name')} END AS affiliated_committee_name,
+  UPPER(substr(n.n_name, 1, CASE WHEN s.s_acctbal < 0 THEN 3 ELSE 2 END)) AS state,
+  concat_ws(',', CASE WHEN s.s_acctbal < 0 THEN 'committee_type_domain' END,
+                 CASE WHEN s.s_acctbal < 0 AND length(n.n_name) > 2 THEN 'state_length' END) AS errors
+FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+""")

@@ -64,16 +64,23 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def committees_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw committee records (one per supplier) before cleaning."""
+    """Raw committee records (one per supplier) before cleaning.
+
+    Domain faults come from the data: suppliers with a negative balance send an
+    unknown type code ('z9') and a 3-letter state (first letters of the nation).
+    """
     s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("s_suppkey")
     code = F.substring(F.lit(COMMITTEE_TYPE_CODES), (k % 16).cast("int") + 1, 1)
-    return s.select(
+    negative = F.col("s_acctbal") < 0
+    return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
         F.concat(F.lit("C"), F.lpad(k.cast("string"), 8, "0")).alias("committee_id"),
         F.upper("s_name").alias("name"),
-        F.lower(code).alias("committee_type"),
+        F.when(negative, F.lit("z9")).otherwise(F.lower(code)).alias("committee_type"),
         F.when(k % 3 == 0, "NONE").when(k % 3 == 1, " none ").otherwise(F.col("s_name"))
          .alias("affiliated_committee_name"),
+        F.upper(F.substring("n_name", 1, F.when(negative, 3).otherwise(2))).alias("state"),
         k.alias("_seq"),
     )
 
@@ -172,13 +179,15 @@ def merge_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_incoming_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming inside totals with in-batch duplicates: one running version per order.
+    """Incoming inside totals with in-batch duplicates: one version per order.
 
-    For each (candidate, cycle) the feed repeats the key once per order, carrying the
-    order's own amounts; versions arrive in order-key order, so the last one wins.
+    For each (candidate, cycle) the feed repeats the key once per order from 1998
+    on; amounts are the order total rounded down to 100 000, so consecutive
+    versions often repeat the previous value (a write that changes nothing).
+    Versions arrive in order-key order, so the last one wins.
     """
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit(MERGE_INCOMING_FROM))
-    amount = F.col("o_totalprice").cast("decimal(15,2)")
+    amount = (F.floor(F.col("o_totalprice") / 100000) * 100000).cast("decimal(15,2)")
     return o.select(F.col("o_custkey").cast("string").alias("candidate_id"),
                     cycle_of("o_orderdate").alias("cycle"),
                     amount.alias("receipts"),

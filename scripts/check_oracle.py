@@ -23,10 +23,10 @@ from fundflow.sources.fixtures import TABLES  # noqa: E402
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
-            return None
+            return "\x00NULL"
         return repr(v)
     if v is None:
-        return None
+        return "\x00NULL"
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return str(v)
