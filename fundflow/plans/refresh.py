@@ -55,7 +55,9 @@ class TableStore:
         return self.spark.catalog.tableExists(name, self.db)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.table(self.qualified(name))
+        """The published version. Read by path so partition directories (``cycle=``)
+        are discovered from storage; the catalog entry is only the pointer."""
+        return self.spark.read.parquet(self.location(name))
 
     def location(self, name: str) -> str | None:
         if not self.exists(name):
