@@ -107,6 +107,12 @@ def candidate_by_id(candidates: DataFrame, candidate_id: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- spending
+def _info(candidates: DataFrame) -> list[Column]:
+    """The embedded candidate fields; a field the table lacks is a typed null."""
+    return [F.col(x) if x in candidates.columns else F.lit(None).cast("string").alias(x)
+            for x in CANDIDATE_INFO]
+
+
 def attach_candidates(page: DataFrame, candidates: DataFrame) -> DataFrame:
     """Nest candidate details into each row of a page; missing candidate -> null struct.
 
@@ -116,7 +122,7 @@ def attach_candidates(page: DataFrame, candidates: DataFrame) -> DataFrame:
     one row per page row, so it is again safe to broadcast for the final left join.
     """
     ids = page.select("candidate_id").distinct()
-    found = candidates.select(*CANDIDATE_INFO).join(F.broadcast(ids), "candidate_id", "left_semi")
+    found = candidates.select(*_info(candidates)).join(F.broadcast(ids), "candidate_id", "left_semi")
     c = found.select(F.col("candidate_id").alias("__cid"),
                      F.struct(*[F.col(x) for x in CANDIDATE_INFO]).alias("candidate"))
     j = page.join(F.broadcast(c), F.col("candidate_id") == F.col("__cid"), "left")
@@ -129,8 +135,7 @@ def with_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     No broadcast hint: for a whole table the planner (AQE) picks the strategy from
     measured sizes, shuffling both sides on ``candidate_id`` when they are large.
     """
-    c = candidates.select(F.col("candidate_id").alias("__cid"),
-                          F.struct(*[F.col(x) for x in CANDIDATE_INFO]).alias("candidate"))
+    c = candidates.select(F.col("candidate_id").alias("__cid"), F.struct(*_info(candidates)).alias("candidate"))
     return rows.join(c, F.col("candidate_id") == F.col("__cid"), "left").drop("__cid")
 
 

@@ -52,7 +52,7 @@ class TableStore:
         return f"{self.db}.{name}"
 
     def exists(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(name, self.db)
+        return self.spark.catalog.tableExists(f"{self.db}.{name}")
 
     def read(self, name: str) -> DataFrame:
         """The published version. Read by path so partition directories (``cycle=``)
