@@ -11,13 +11,12 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fundflow import catalog  # noqa: E402
-from fundflow.session import env_int, get_spark  # noqa: E402
+from fundflow.session import env_int, get_spark, shared_dir  # noqa: E402
 
 HEADLINE = [
     "candidate_spending_summary",
@@ -46,12 +45,10 @@ def main() -> None:
     cpus = env_int("BENCH_CPUS", 8)
     repeat = max(1, env_int("BENCH_REPEAT", 1))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
-    scratch = tempfile.mkdtemp(prefix="fundflow-bench-")
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="fundflow-bench",
                       extra={"spark.driver.memory": "16g",
                              "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024)})
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", scratch)
+    shared_dir(spark)  # session's spark.checkpoint.dir, or a scratch folder when unset
     qs = catalog.queries()
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
     times: dict[str, float] = {}

@@ -52,9 +52,17 @@ class MergeResult:
     def changes(self) -> DataFrame:
         return self.frame.select(*self.key, ACTION)
 
-    def checkpointed(self) -> "MergeResult":
-        """Materialise once in the checkpoint folder; table and stats then share it."""
-        return MergeResult(self.frame.checkpoint(eager=True), self.columns, self.key)
+    def staged(self, path: str) -> "MergeResult":
+        """Materialise the merge once as parquet at ``path`` (under the shared folder).
+
+        One job computes the join; the new table version and the statistics are
+        then read from these files, so neither recomputes the merge and a lost
+        executor only costs re-reading files. (``Dataset.checkpoint`` would run the
+        plan twice unless persisted first.)
+        """
+        spark = self.frame.sparkSession
+        self.frame.write.mode("errorifexists").parquet(path)
+        return MergeResult(spark.read.parquet(path), self.columns, self.key)
 
     def stats(self, quarantine: DataFrame | None = None) -> DataFrame:
         """inserted / updated / unchanged / kept / errors as one row, in one aggregate."""

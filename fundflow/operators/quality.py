@@ -7,6 +7,7 @@ validation is one projection inside whole-stage codegen (no Python per row).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -65,7 +66,8 @@ class EntitySpec:
     key: tuple[str, ...]
     columns: tuple[str, ...]
     clean: Callable[[DataFrame], dict[str, Column]]
-    rules: Callable[[DataFrame, dict[str, Column]], list[tuple[str, Column]]]
+    # rules(r, cleaned): r(name, dtype) is the raw field (typed null when absent)
+    rules: Callable[[Callable[..., Column], dict[str, Column]], list[tuple[str, Column]]]
     audit: bool = True
     extra: dict = field(default_factory=dict)
 
@@ -79,14 +81,32 @@ class EntitySpec:
 
 
 def validate(raw_df: DataFrame, spec: EntitySpec, keep: tuple[str, ...] = (SEQ,)) -> DataFrame:
-    """Cleaned table columns + ``_errors`` (array of violated rule names, empty if none)."""
+    """Cleaned table columns + ``_errors`` (array of violated rule names, empty if none).
+
+    Two projections: the cleaned columns are computed once, then the rules refer to
+    them by name. (Inlined, an expensive cleaning expression such as the person-name
+    rule would be evaluated once for the output and again inside its rule; Catalyst
+    keeps the two projections apart because the aliases are reused.)
+    """
     cleaned = spec.clean(raw_df)
-    checks = spec.rules(raw_df, cleaned)
+    kept = [k for k in keep if k in raw_df.columns]
+    raw_names = [c for c in raw_df.columns if c not in kept]
+    step1 = raw_df.select(*kept, *[F.col(c).alias(f"__raw__{c}") for c in raw_names],
+                          *[cleaned[c].alias(c) for c in spec.columns])
+
+    def r(name: str, dtype: str = "string") -> Column:
+        return F.col(f"__raw__{name}") if name in raw_names else F.lit(None).cast(dtype)
+
+    checks = spec.rules(r, {c: F.col(c) for c in spec.columns})
     flags = F.array(*[F.when(pred, F.lit(name)) for name, pred in checks]) if checks \
         else F.array().cast("array<string>")
-    kept = [F.col(k) for k in keep if k in raw_df.columns]
-    return raw_df.select(*kept, *[cleaned[c].alias(c) for c in spec.columns],
-                         F.filter(flags, lambda x: x.isNotNull()).alias(ERRORS))
+    out = step1.select(*kept, *spec.columns, F.filter(flags, lambda x: x.isNotNull()).alias(ERRORS))
+    # An observed-metrics node (public ``observe`` API) between the cleaning and the
+    # good/quarantine filters: Catalyst does not push filters through it, so the
+    # filters test ``_errors`` instead of re-inlining every cleaning expression.
+    return out.observe(f"validate_{spec.name}_{uuid.uuid4().hex[:12]}",
+                       F.count(F.lit(1)).alias("rows"),
+                       F.count_if(F.size(F.col(ERRORS)) > 0).alias("invalid"))
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

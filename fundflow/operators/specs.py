@@ -62,7 +62,7 @@ def _candidate_clean(df: DataFrame) -> dict[str, Column]:
     return out
 
 
-def _candidate_rules(df: DataFrame, c: dict[str, Column]) -> list[tuple[str, Column]]:
+def _candidate_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
     rules = [
         ("candidate_id_required", blank(c["candidate_id"])),
         ("name_required", blank(c["name"])),
@@ -71,14 +71,14 @@ def _candidate_rules(df: DataFrame, c: dict[str, Column]) -> list[tuple[str, Col
         ("district_length", too_long(c["district"], 2)),
         ("incumbent_challenge_length", too_long(c["incumbent_challenge"], 1)),
         ("candidate_status_length", too_long(c["candidate_status"], 1)),
-        ("active_through_type", bad_coercion(raw(df, "active_through"), c["active_through"])),
-        ("cycles_type", bad_array(raw(df, "cycles", "array<int>"), c["cycles"])),
-        ("election_years_type", bad_array(raw(df, "election_years", "array<int>"), c["election_years"])),
-        ("federal_funds_flag_type", bad_coercion(raw(df, "federal_funds_flag"), c["federal_funds_flag"])),
-        ("has_raised_funds_type", bad_coercion(raw(df, "has_raised_funds"), c["has_raised_funds"])),
-        ("load_date_type", bad_coercion(raw(df, "load_date"), c["load_date"])),
+        ("active_through_type", bad_coercion(r("active_through"), c["active_through"])),
+        ("cycles_type", bad_array(r("cycles", "array<int>"), c["cycles"])),
+        ("election_years_type", bad_array(r("election_years", "array<int>"), c["election_years"])),
+        ("federal_funds_flag_type", bad_coercion(r("federal_funds_flag"), c["federal_funds_flag"])),
+        ("has_raised_funds_type", bad_coercion(r("has_raised_funds"), c["has_raised_funds"])),
+        ("load_date_type", bad_coercion(r("load_date"), c["load_date"])),
     ]
-    rules += [(f"{d}_type", bad_coercion(raw(df, d), c[d])) for d in _CAND_DATES]
+    rules += [(f"{d}_type", bad_coercion(r(d), c[d])) for d in _CAND_DATES]
     return rules
 
 
@@ -111,7 +111,7 @@ def _committee_clean(df: DataFrame) -> dict[str, Column]:
     return out
 
 
-def _committee_rules(df: DataFrame, c: dict[str, Column]) -> list[tuple[str, Column]]:
+def _committee_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
     rules = [
         ("committee_id_required", blank(c["committee_id"])),
         ("name_required", blank(c["name"])),
@@ -120,9 +120,9 @@ def _committee_rules(df: DataFrame, c: dict[str, Column]) -> list[tuple[str, Col
         ("filing_frequency_length", too_long(c["filing_frequency"], 1)),
         ("organization_type_length", too_long(c["organization_type"], 1)),
         ("state_length", too_long(c["state"], 2)),
-        ("cycles_type", bad_array(raw(df, "cycles", "array<int>"), c["cycles"])),
+        ("cycles_type", bad_array(r("cycles", "array<int>"), c["cycles"])),
     ]
-    rules += [(f"{d}_type", bad_coercion(raw(df, d), c[d])) for d in _COMM_DATES]
+    rules += [(f"{d}_type", bad_coercion(r(d), c[d])) for d in _COMM_DATES]
     return rules
 
 
@@ -142,12 +142,12 @@ def _inside_clean(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _inside_rules(df: DataFrame, c: dict[str, Column]) -> list[tuple[str, Column]]:
+def _inside_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
     return [
         ("candidate_id_required", blank(c["candidate_id"])),
         ("cycle_required", c["cycle"].isNull()),
-        ("receipts_overflow", bad_coercion(raw(df, "receipts"), c["receipts"])),
-        ("disbursements_overflow", bad_coercion(raw(df, "disbursements"), c["disbursements"])),
+        ("receipts_overflow", bad_coercion(r("receipts"), c["receipts"])),
+        ("disbursements_overflow", bad_coercion(r("disbursements"), c["disbursements"])),
     ]
 
 
@@ -167,13 +167,13 @@ def _outside_clean(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _outside_rules(df: DataFrame, c: dict[str, Column]) -> list[tuple[str, Column]]:
+def _outside_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
     ind = c["support_oppose_indicator"]
     return [
         ("candidate_id_required", blank(c["candidate_id"])),
         ("cycle_required", c["cycle"].isNull()),
         ("indicator_domain", ind.isNull() | ~ind.isin(INDICATOR_CODES)),
-        ("total_overflow", bad_coercion(raw(df, "total"), c["total"])),
+        ("total_overflow", bad_coercion(r("total"), c["total"])),
     ]
 
 

@@ -1,10 +1,10 @@
 """Ingest jobs: one entity end to end, an ordered batch of entities, and the refresh gate.
 
 The loop over entities runs on the driver (a handful of specs); every step inside
-is a distributed Spark job. The merge's joined frame is checkpointed to the shared
-folder once, so the new table version and the statistics are both derived from the
-same materialised rows (no second pass over the feed, no lineage back to the raw
-pages if an executor is lost).
+is a distributed Spark job. The merge's joined frame is staged as parquet in the
+shared folder once, so the new table version and the statistics are both derived
+from the same materialised rows (no second pass over the feed, no lineage back to
+the raw pages if an executor is lost).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from fundflow.operators.ingest import TRANSFORMS
 from fundflow.operators.quality import SEQ
 from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES, ENTITY_ORDER
 from fundflow.plans.refresh import TableStore, refresh_spending
+from fundflow.session import new_location
 
 SPENDING_ENTITIES = ("inside_totals_by_candidate", "schedule_e_totals_by_candidate")
 
@@ -50,22 +51,26 @@ def order_entities(entities: list[str] | None) -> list[str]:
 def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str) -> EntityResult:
     """Transform, merge into the stored table, publish a new version; stats or None.
 
-    None means nothing survived the transform (no write happens).
+    Three jobs: the merge is materialised once (staged parquet), one aggregate over it
+    (plus the quarantine) gives the statistics, and the new version is written
+    from the staged files. None means nothing survived the transform: no write.
+    The merge output is unique on the key by construction (full outer join of two
+    key-unique sides), so no post-write uniqueness scan is needed here.
     """
     spec = ENTITIES[entity]
     t = TRANSFORMS[entity](raw)
     rows = t.rows.select(*spec.columns, SEQ)
-    if not rows.take(1):
+    if store.exists(entity):
+        stored = store.read(entity)
+    else:
+        stored = store.empty_like(rows.select(
+            *spec.columns, *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS]))
+    result = M.merge(stored, rows, spec, run_ts).staged(new_location(store.spark, f"staging/{entity}"))
+    stats = result.stats(t.quarantine).first().asDict()
+    if stats["inserted"] + stats["updated"] + stats["unchanged"] == 0:
         return EntityResult(entity, None, None, t.quarantine)
-    stored = store.read(entity) if store.exists(entity) else None
-    if stored is None:
-        schema_df = rows.select(*spec.columns,
-                                *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS])
-        stored = store.empty_like(schema_df)
-    result = M.merge(stored, rows, spec, run_ts).checkpointed()
-    store.write_version(entity, result.table, key=list(spec.key))
-    stats_row = result.stats(t.quarantine).first()
-    return EntityResult(entity, stats_row.asDict(), None, t.quarantine)
+    store.write_version(entity, result.table)
+    return EntityResult(entity, stats, None, t.quarantine)
 
 
 def spending_inputs(store: TableStore) -> tuple[DataFrame, DataFrame]:

@@ -42,20 +42,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_FALLBACK_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for staged tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` as the session names it. Only when the
-    session leaves it unset (local runs, tests) is a private scratch folder
-    created and registered, so lineage cuts still have somewhere to go.
+    Read from ``spark.checkpoint.dir`` as the session names it (a static setting:
+    it can only come from the launcher / spark-defaults). Only when the session
+    leaves it unset (local runs, tests) is a private scratch folder created once per
+    application and registered with ``SparkContext.setCheckpointDir``, so lineage
+    cuts still have somewhere to go.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="fundflow-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        path = _FALLBACK_DIRS.get(sc.applicationId)
+        if path is None:
+            path = tempfile.mkdtemp(prefix="fundflow-")
+            _FALLBACK_DIRS[sc.applicationId] = path
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 

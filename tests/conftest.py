@@ -1,20 +1,19 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from fundflow.session import get_spark  # noqa: E402
+from fundflow.session import get_spark, shared_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = get_spark("local[4]", 4, app_name="fundflow-tests")
-    # tests set their own shared folder only because the session leaves it unset
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fundflow-test-"))
+    # the session's spark.checkpoint.dir is used when set; otherwise shared_dir
+    # registers a private scratch folder for this test run
+    shared_dir(s)
     yield s
     s.stop()
 
