@@ -26,6 +26,7 @@ from fundflow.functions.labels import (
     office_label, party_group, spending_group, spending_label,
 )
 from fundflow.functions.money import compact_dollars
+from fundflow.operators.ordered import rank_within_group
 
 DEFAULT_THRESHOLD = 1_000_000
 SEP = "/"
@@ -37,8 +38,13 @@ def race_scaffold(spark: SparkSession) -> DataFrame:
                                  "office string, race string, race_order int")
 
 
-def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Flat tree over spending rows that carry a ``candidate`` struct (or null)."""
+def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+                  bounded: bool = False) -> DataFrame:
+    """Flat tree over spending rows that carry a ``candidate`` struct (or null).
+
+    ``bounded``: the caller guarantees few input rows (e.g. a top-k feed), so the
+    sibling rank may use one window partition per parent.
+    """
     zero = F.lit(0).cast("decimal(15,2)")
     base = rows.select(
         "candidate_id",
@@ -107,6 +113,11 @@ def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAU
         F.col("value").cast("decimal(17,2)").alias("value"),
         compact_dollars(F.col("value")).alias("value_text"),
         crumbs.alias("breadcrumb"))
-    # siblings by summed value, largest first; ties by name then path for a total order
-    w = Window.partitionBy("parent").orderBy(F.col("value").desc(), F.col("name").asc(), F.col("path").asc())
-    return nodes.withColumn("sibling_rank", F.row_number().over(w).cast("int"))
+    # siblings by summed value, largest first; ties by name then path for a total order.
+    order = [F.col("value").desc(), F.col("name").asc(), F.col("path").asc()]
+    if bounded:
+        w = Window.partitionBy("parent").orderBy(*order)
+        return nodes.withColumn("sibling_rank", F.row_number().over(w).cast("int"))
+    # unbounded feed: a race can have very many candidate children, so rank on
+    # balanced range slices instead of one window partition per parent
+    return rank_within_group(nodes, ["parent"], order, name="sibling_rank")

@@ -20,9 +20,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from fundflow.operators import dedupe
+from fundflow.operators.ordered import previous_in_group
 from fundflow.operators.quality import SEQ, EntitySpec
 
 ACTION = "_action"
@@ -127,17 +127,18 @@ def write_counts(stored: DataFrame, incoming: DataFrame, spec: EntitySpec) -> Da
     """
     key = list(spec.key)
     vals = list(spec.value_columns)
-    w = Window.partitionBy(*key).orderBy(SEQ)
-    prev = [F.lag(F.col(v)).over(w).alias(f"p__{v}") for v in vals]
-    seq_rows = incoming.select(*key, *vals, SEQ, F.row_number().over(w).alias("__rn"), *prev)
+    canon = F.to_json(F.struct(*[F.col(v) for v in vals]), {"ignoreNullFields": "false"})
+    # previous row of the same key in _seq order, computed on balanced range slices
+    seq_rows = previous_in_group(incoming.select(*key, *vals, SEQ), key, SEQ, canon)
     # only the first row of a key looks at the stored table
-    s = stored.select(*key, *[F.col(v).alias(f"s__{v}") for v in vals], F.lit(True).alias("s__present"))
-    firsts = seq_rows.filter(F.col("__rn") == 1).join(s, key, "left")
-    stored_here = F.col("s__present").isNotNull()
-    vs_stored = distinct_from([F.col(v) for v in vals], [F.col(f"s__{v}") for v in vals])
-    first_flags = firsts.select((~stored_here).alias("ins"), (stored_here & vs_stored).alias("upd"))
-    vs_prev = distinct_from([F.col(v) for v in vals], [F.col(f"p__{v}") for v in vals])
-    later_flags = seq_rows.filter(F.col("__rn") > 1).select(F.lit(False).alias("ins"), vs_prev.alias("upd"))
+    s = stored.select(*key, F.to_json(F.struct(*[F.col(v) for v in vals]), {"ignoreNullFields": "false"})
+                      .alias("__sv"))
+    firsts = seq_rows.filter(F.col("__first")).join(s, key, "left")
+    stored_here = F.col("__sv").isNotNull()
+    first_flags = firsts.select((~stored_here).alias("ins"),
+                                (stored_here & (F.col("__v") != F.col("__sv"))).alias("upd"))
+    later_flags = seq_rows.filter(~F.col("__first")).select(
+        F.lit(False).alias("ins"), (F.col("__v") != F.col("__prev")).alias("upd"))
     return first_flags.unionByName(later_flags).agg(
         F.count_if("ins").cast("bigint").alias("inserted"),
         F.count_if("upd").cast("bigint").alias("updated"))

@@ -82,7 +82,8 @@ FROM nodes"""
 def spending_hierarchy(spark: SparkSession, sf_dir: str):
     feed = Q.top_outside_spenders(tables.summary(spark, sf_dir), CYCLE, TOP_N)
     rows = Q.attach_candidates(feed, tables.candidates(spark, sf_dir))
-    return tables.as_output(spending_tree(spark, rows, THRESHOLD))
+    # the feed is a top-k of TOP_N rows: a proven bound on the tree size
+    return tables.as_output(spending_tree(spark, rows, THRESHOLD, bounded=True))
 
 
 @register("spending_hierarchy_all", tree_sql(None))
