@@ -25,8 +25,8 @@ def test_previous_in_group_matches_lag_across_blocks(spark):
     w = Window.partitionBy("k").orderBy("seq")
     want = df.select("k", "seq", F.lag(canon).over(w).alias("__prev"),
                      F.row_number().over(w).alias("rn"))
-    a = sorted((r.k, r.seq, r.__prev, r.__first) for r in got.collect())
-    b = sorted((r.k, r.seq, r.__prev, r.rn == 1) for r in want.collect())
+    a = sorted((r["k"], r["seq"], r["__prev"], r["__first"]) for r in got.collect())
+    b = sorted((r["k"], r["seq"], r["__prev"], r["rn"] == 1) for r in want.collect())
     assert a == b
 
 
