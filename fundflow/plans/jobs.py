@@ -117,3 +117,25 @@ def ingest_batch(store: TableStore, feeds: dict[str, DataFrame], run_ts: str,
 def should_refresh(batch: BatchResult) -> bool:
     return any(r.entity in SPENDING_ENTITIES and r.stats is not None and r.error is None
                for r in batch.results.values())
+
+
+def ingest(store: TableStore, feeds: dict[str, DataFrame], run_ts: str, start: str | None = None,
+           end: str | None = None, entities: list[str] | None = None) -> BatchResult:
+    """Single entry point: resolve the date window, restrict dated feeds, run the batch.
+
+    Missing ``start`` / ``end`` default to local yesterday / today of ``run_ts``
+    (America/New_York). Feeds that carry ``first_file_date`` (candidates,
+    committees) keep rows filed inside the window; the totals feeds are not dated.
+    """
+    from fundflow.functions.dates import date_window
+    spark = store.spark
+    lo, hi = date_window(F.lit(start).cast("string"), F.lit(end).cast("string"),
+                         F.lit(run_ts).cast("timestamp"))
+    bounds = spark.range(1).select(lo.alias("lo"), hi.alias("hi")).first()
+    dated = {}
+    for name, df in feeds.items():
+        if "first_file_date" in df.columns:
+            d = F.col("first_file_date").try_cast("date")
+            df = df.filter(d.between(F.lit(bounds.lo), F.lit(bounds.hi)))
+        dated[name] = df
+    return ingest_batch(store, dated, run_ts, entities)

@@ -233,3 +233,12 @@ SELECT CAST(COUNT(*) FILTER (WHERE r.rn = 1 AND s.candidate_id IS NULL) AS BIGIN
 FROM r LEFT JOIN stored s ON r.candidate_id = s.candidate_id AND r.cycle = s.cycle""")
 def merge_duplicate_stats(spark: SparkSession, sf_dir: str):
     return M.write_counts(FX.merge_stored(spark, sf_dir), FX.merge_incoming_versions(spark, sf_dir), INSIDE_TOTALS)
+
+
+@register("merge_empty_batch", _MERGE_VIEWS + """
+SELECT CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS unchanged,
+  CAST(COUNT(*) AS BIGINT) AS kept, CAST(0 AS BIGINT) AS errors FROM stored""")
+def merge_empty_batch(spark: SparkSession, sf_dir: str):
+    """An empty incoming batch: every stored row is kept, nothing else counted."""
+    incoming = FX.merge_incoming(spark, sf_dir).filter(F.lit(False))  # the batch that arrives empty
+    return M.merge(FX.merge_stored(spark, sf_dir), incoming, INSIDE_TOTALS, FX.RUN_TS).stats()

@@ -40,6 +40,28 @@ CAND_OUT_SQL = (f"{CAND_COLS}, array_to_string(cycles, ',') AS cycles, "
                 "CAST(first_file_date AS VARCHAR) AS first_file_date")
 
 
+# ---------------------------------------------------------------- key spine
+@register("all_pairs", with_views(
+    "SELECT candidate_id, cycle FROM inside_t UNION SELECT candidate_id, cycle FROM outside_t",
+    "inside_t", "outside_t"))
+def all_pairs(spark: SparkSession, sf_dir: str):
+    return marts.all_pairs(tables.inside_totals(spark, sf_dir), tables.outside_totals(spark, sf_dir))
+
+
+@register("node_labels", with_views(
+    "SELECT candidate_id, CASE office WHEN 'P' THEN 'Presidential' WHEN 'S' THEN 'Senate' "
+    "WHEN 'H' THEN 'House' END AS race, "
+    "CASE office WHEN 'H' THEN 'house' WHEN 'S' THEN 'senate' WHEN 'P' THEN 'president' ELSE 'neutral' END "
+    "AS office_group, CASE WHEN party IN ('DEM', 'DFL') THEN 'dem' WHEN party = 'REP' THEN 'rep' "
+    "ELSE 'neutral' END AS party_group FROM candidates", "candidates"))
+def node_labels(spark: SparkSession, sf_dir: str):
+    from fundflow.functions.labels import office_group, office_label, party_group
+    c = tables.candidates(spark, sf_dir)
+    race = office_label("office")
+    return c.select("candidate_id", race.alias("race"), office_group(race).alias("office_group"),
+                    party_group("party").alias("party_group"))
+
+
 # ---------------------------------------------------------------- candidates
 @register("candidate_list_by_state_office", with_views(
     f"SELECT {CAND_OUT_SQL} FROM candidates WHERE state = '07' AND office = 'H' "

@@ -105,3 +105,17 @@ def test_stream_is_replay_safe(spark):
     merge_batch(store, "candidates", read_pages(spark, os.path.join(d, "p0.json"), rec), "2024-06-02 00:00:00")
     got2 = {r.candidate_id: (r.party, r.updated_at.day) for r in store.read("candidates").collect()}
     assert got2["C1"] == ("REP", 1)
+
+
+def test_single_entry_applies_date_window(spark):
+    store = _store(spark)
+    cands = spark.createDataFrame(
+        [("C1", "DOE, JANE", "2024-05-31", 1), ("C2", "ROE, RICK", "2024-06-01", 2), ("C3", "POE, ED", "2024-01-01", 3)],
+        "candidate_id string, name string, first_file_date string, _seq long")
+    # run at 2024-06-01 12:00 UTC: default window = New York yesterday .. today
+    out = jobs.ingest(store, {"candidates": cands}, "2024-06-01 12:00:00", entities=["candidates"])
+    assert out.results["candidates"].stats["inserted"] == 2
+    assert sorted(r.candidate_id for r in store.read("candidates").collect()) == ["C1", "C2"]
+    out2 = jobs.ingest(store, {"candidates": cands}, "2024-06-01 12:00:00", start="2024-01-01",
+                       entities=["candidates"])
+    assert out2.results["candidates"].stats["inserted"] == 1
