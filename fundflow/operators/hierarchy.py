@@ -9,10 +9,10 @@ among siblings. Tree shape:
         candidate (outside total >= threshold), with 3 leaves: Inside, Outside Support, Outside Oppose
         Others (always present; inside + outside money of everyone under the threshold)
 
-Plan: the leaf table is built with one projection + ``stack`` (unpivot), candidates
-under the threshold are folded into one "Others" leaf per office by a grouped sum,
-and every inner node's value comes from a single ``rollup`` (Expand + partial/final
-aggregate), so no stage holds more than a row per node.
+Plan: one pass over the input explodes each row into its leaves (3 for a named
+candidate, in leaf order; one "Others" leaf otherwise), a 3-row race scaffold is
+unioned in, and every inner node's value, Others included, comes from a single
+``rollup`` (Expand + partial/final aggregate).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from fundflow.functions.labels import (
 )
 from fundflow.functions.money import compact_dollars
 from fundflow.operators.ordered import rank_within_group
+from fundflow.session import new_location
 
 DEFAULT_THRESHOLD = 1_000_000
 SEP = "/"
@@ -43,7 +44,9 @@ def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAU
     """Flat tree over spending rows that carry a ``candidate`` struct (or null).
 
     ``bounded``: the caller guarantees few input rows (e.g. a top-k feed), so the
-    sibling rank may use one window partition per parent.
+    sibling rank may use one window partition per parent. Otherwise the node rows
+    are staged in the shared folder (so the rank's range sampling and slices do not
+    re-run the query above) and ranked on balanced range slices.
     """
     zero = F.lit(0).cast("decimal(15,2)")
     base = rows.select(
@@ -58,22 +61,26 @@ def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAU
     outside_total = F.col("v_support") + F.col("v_oppose")
     named = outside_total >= F.lit(threshold)
 
-    # leaves of named candidates: unpivot 3 money columns into 3 rows, in leaf order
-    stack = "stack(3, " + ", ".join(f"'{n}', {i}, {c}" for i, (n, c) in
-                                    enumerate(zip(LEAF_NAMES, ["v_inside", "v_support", "v_oppose"]))) \
-        + ") as (leaf, leaf_order, value)"
-    leaves = base.filter(named).selectExpr("office", "candidate_id", "cand_name", "party", stack)
-
-    # everyone under the threshold folds into "Others" (scaffold: all 3 races, 0 if none)
-    others_sum = (base.filter(~named).groupBy("office")
-                  .agg(F.sum(F.col("v_inside") + outside_total).alias("others_value")))
-    others = (race_scaffold(spark).join(others_sum, "office", "left")
-              .select("office", F.lit(OTHERS).alias("candidate_id"), F.lit(OTHERS).alias("cand_name"),
-                      F.lit(None).cast("string").alias("party"), F.lit(None).cast("string").alias("leaf"),
-                      F.lit(None).cast("int").alias("leaf_order"),
-                      F.coalesce(F.col("others_value"), zero).alias("value")))
-
-    all_leaves = leaves.unionByName(others)
+    # one pass over the input: a named candidate becomes its 3 leaves (in leaf order),
+    # anyone under the threshold becomes one "Others" leaf of its race (summed by the
+    # rollup below); the 3-row race scaffold guarantees every race and Others exists
+    leaf = lambda name, order, v: F.struct(
+        F.col("candidate_id").alias("candidate_id"), F.col("cand_name").alias("cand_name"),
+        F.col("party").alias("party"), F.lit(name).alias("leaf"), F.lit(order).alias("leaf_order"),
+        v.cast("decimal(17,2)").alias("value"))
+    other = F.struct(F.lit(OTHERS).alias("candidate_id"), F.lit(OTHERS).alias("cand_name"),
+                     F.lit(None).cast("string").alias("party"), F.lit(None).cast("string").alias("leaf"),
+                     F.lit(None).cast("int").alias("leaf_order"),
+                     (F.col("v_inside") + outside_total).cast("decimal(17,2)").alias("value"))
+    named_leaves = F.array(*[leaf(n, i, F.col(c)) for i, (n, c) in
+                             enumerate(zip(LEAF_NAMES, ["v_inside", "v_support", "v_oppose"]))])
+    exploded = base.select("office", F.explode(F.when(named, named_leaves).otherwise(F.array(other))).alias("x"))
+    leaves = exploded.select("office", "x.*")
+    scaffold = race_scaffold(spark).select(
+        "office", F.lit(OTHERS).alias("candidate_id"), F.lit(OTHERS).alias("cand_name"),
+        F.lit(None).cast("string").alias("party"), F.lit(None).cast("string").alias("leaf"),
+        F.lit(None).cast("int").alias("leaf_order"), F.lit(0).cast("decimal(17,2)").alias("value"))
+    all_leaves = leaves.unionByName(scaffold)
     agg = (all_leaves.rollup("office", "candidate_id", "leaf")
            .agg(F.sum("value").alias("value"),
                 F.first("cand_name", ignorenulls=True).alias("cand_name"),
@@ -120,4 +127,6 @@ def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAU
         return nodes.withColumn("sibling_rank", F.row_number().over(w).cast("int"))
     # unbounded feed: a race can have very many candidate children, so rank on
     # balanced range slices instead of one window partition per parent
-    return rank_within_group(nodes, ["parent"], order, name="sibling_rank")
+    path = new_location(spark, "staging/tree_nodes")
+    nodes.write.mode("errorifexists").parquet(path)
+    return rank_within_group(spark.read.parquet(path), ["parent"], order, name="sibling_rank")

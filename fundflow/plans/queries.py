@@ -129,14 +129,25 @@ def attach_candidates(page: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.drop("__cid")
 
 
-def with_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def attach_known_candidates(page: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Like ``attach_candidates`` but drops rows whose candidate is unknown.
+
+    For consumers that skip such rows anyway (the spending tree). An inner join can
+    build on the bounded page, so the page is read once and candidates stream past it.
+    """
+    c = candidates.select(F.col("candidate_id").alias("__cid"), F.struct(*_info(candidates)).alias("candidate"))
+    return c.join(F.broadcast(page), F.col("__cid") == F.col("candidate_id"), "inner").drop("__cid")
+
+
+def with_candidates(rows: DataFrame, candidates: DataFrame, keep_unmatched: bool = True) -> DataFrame:
     """Unbounded form of ``attach_candidates``: a plain left join on the key.
 
     No broadcast hint: for a whole table the planner (AQE) picks the strategy from
     measured sizes, shuffling both sides on ``candidate_id`` when they are large.
     """
     c = candidates.select(F.col("candidate_id").alias("__cid"), F.struct(*_info(candidates)).alias("candidate"))
-    return rows.join(c, F.col("candidate_id") == F.col("__cid"), "left").drop("__cid")
+    how = "left" if keep_unmatched else "inner"
+    return rows.join(c, F.col("candidate_id") == F.col("__cid"), how).drop("__cid")
 
 
 def spending_order(sort_by: str, order: str) -> list[Column]:

@@ -81,7 +81,8 @@ FROM nodes"""
 @register("spending_hierarchy", tree_sql(TOP_N))
 def spending_hierarchy(spark: SparkSession, sf_dir: str):
     feed = Q.top_outside_spenders(tables.summary(spark, sf_dir), CYCLE, TOP_N)
-    rows = Q.attach_candidates(feed, tables.candidates(spark, sf_dir))
+    # rows without a known candidate are skipped by the tree, so an inner join (page read once)
+    rows = Q.attach_known_candidates(feed, tables.candidates(spark, sf_dir))
     # the feed is a top-k of TOP_N rows: a proven bound on the tree size
     return tables.as_output(spending_tree(spark, rows, THRESHOLD, bounded=True))
 
@@ -89,5 +90,5 @@ def spending_hierarchy(spark: SparkSession, sf_dir: str):
 @register("spending_hierarchy_all", tree_sql(None))
 def spending_hierarchy_all(spark: SparkSession, sf_dir: str):
     rows = Q.with_candidates(tables.summary(spark, sf_dir).filter(F.col("cycle") == CYCLE),
-                             tables.candidates(spark, sf_dir))
+                             tables.candidates(spark, sf_dir), keep_unmatched=False)
     return tables.as_output(spending_tree(spark, rows, THRESHOLD))
