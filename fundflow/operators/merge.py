@@ -26,6 +26,7 @@ from fundflow.operators.ordered import previous_in_group
 from fundflow.operators.quality import SEQ, EntitySpec
 
 ACTION = "_action"
+ACTION_COUNTS = (("insert", "inserted"), ("update", "updated"), ("unchanged", "unchanged"), ("keep", "kept"))
 
 
 def distinct_from(a: list[Column], b: list[Column]) -> Column:
@@ -70,8 +71,7 @@ class MergeResult:
         if quarantine is not None:
             acts = acts.unionByName(quarantine.select(F.lit("error").alias(ACTION)))
         return acts.agg(*[F.count_if(F.col(ACTION) == a).cast("bigint").alias(n) for a, n in
-                          (("insert", "inserted"), ("update", "updated"),
-                           ("unchanged", "unchanged"), ("keep", "kept"), ("error", "errors"))])
+                          ACTION_COUNTS + (("error", "errors"),)])
 
 
 def merge(stored: DataFrame, incoming: DataFrame, spec: EntitySpec, run_ts: str,

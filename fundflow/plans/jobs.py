@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fundflow.operators import merge as M
 from fundflow.operators.ingest import TRANSFORMS
 from fundflow.operators.quality import SEQ
 from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES, ENTITY_ORDER
-from fundflow.plans.refresh import TableStore, refresh_spending
+from fundflow.plans.refresh import BUCKET, TableStore, bucket_count, bucket_of, refresh_spending
 from fundflow.session import new_location
 
 SPENDING_ENTITIES = ("inside_totals_by_candidate", "schedule_e_totals_by_candidate")
@@ -48,28 +50,60 @@ def order_entities(entities: list[str] | None) -> list[str]:
     return [e for e in ENTITY_ORDER if e in set(entities)]
 
 
-def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str) -> EntityResult:
-    """Transform, merge into the stored table, publish a new version; stats or None.
+def merge_into(store: TableStore, entity: str, rows: DataFrame, run_ts: str,
+               quarantine: DataFrame | None = None, version: str | None = None) -> dict | None:
+    """Merge clean ``rows`` (spec columns + ``_seq``) into the stored entity table.
 
-    Three jobs: the merge is materialised once (staged parquet), one aggregate over it
-    (plus the quarantine) gives the statistics, and the new version is written
-    from the staged files. None means nothing survived the transform: no write.
-    The merge output is unique on the key by construction (full outer join of two
-    key-unique sides), so no post-write uniqueness scan is needed here.
+    1. the incoming rows are staged once (the transform runs once); the set of
+       buckets they touch (at most n ids) is an observed metric of that write;
+    2. only the stored rows of those buckets are read (partition pruning);
+    3. the merge of those buckets is staged; its action counts are observed metrics
+       of that write (no separate statistics pass);
+    4. exactly those buckets are replaced in the table.
+    Returns the statistics, or None when no row survived (nothing is written).
     """
+    spark = store.spark
     spec = ENTITIES[entity]
-    t = TRANSFORMS[entity](raw)
-    rows = t.rows.select(*spec.columns, SEQ)
+    key = list(spec.key)
+    n = bucket_count(spark)
+    staged_path = new_location(spark, f"staging/{entity}_in")
+    seen = Observation(f"incoming_{uuid.uuid4().hex[:12]}")
+    (rows.withColumn(BUCKET, bucket_of(key, n))
+     .observe(seen, F.collect_set(BUCKET).alias("touched"))
+     .write.mode("errorifexists").parquet(staged_path))
+    touched = sorted(seen.get["touched"] or [])
+    if not touched:
+        return None
+    incoming = spark.read.parquet(staged_path)
+    extra = [version] if version else []
     if store.exists(entity):
-        stored = store.read(entity)
+        stored = store.read(entity).filter(F.col(BUCKET).isin(touched))
     else:
-        stored = store.empty_like(rows.select(
-            *spec.columns, *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS]))
-    result = M.merge(stored, rows, spec, run_ts).staged(new_location(store.spark, f"staging/{entity}"))
-    stats = result.stats(t.quarantine).first().asDict()
-    if stats["inserted"] + stats["updated"] + stats["unchanged"] == 0:
-        return EntityResult(entity, None, None, t.quarantine)
-    store.write_version(entity, result.table)
+        stored = store.empty_like(incoming.select(
+            *spec.columns, *[F.col(v) for v in extra],
+            *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS]))
+    result = M.merge(stored, incoming.drop(BUCKET), spec, run_ts, version=version)
+    counted = Observation(f"merge_{uuid.uuid4().hex[:12]}")
+    merged_path = new_location(spark, f"staging/{entity}_merged")
+    (result.frame.observe(counted, *[F.count_if(F.col(M.ACTION) == a).alias(name)
+                                     for a, name in M.ACTION_COUNTS])
+     .write.mode("errorifexists").parquet(merged_path))
+    stats = {name: int(v) for name, v in counted.get.items()}
+    stats["errors"] = int(quarantine.count()) if quarantine is not None else 0
+    merged = M.MergeResult(spark.read.parquet(merged_path), result.columns, result.key)
+    store.upsert_buckets(entity, merged.table.withColumn(BUCKET, bucket_of(key, n)))
+    return stats
+
+
+def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str) -> EntityResult:
+    """Transform, merge into the stored table (touched buckets only); stats or None.
+
+    None means nothing survived the transform (no write). ``kept`` counts the
+    untouched keys of the touched buckets only.
+    """
+    spec = ENTITIES[entity]
+    t = TRANSFORMS[entity](raw)
+    stats = merge_into(store, entity, t.rows.select(*spec.columns, SEQ), run_ts, t.quarantine)
     return EntityResult(entity, stats, None, t.quarantine)
 
 

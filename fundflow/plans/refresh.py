@@ -1,10 +1,14 @@
 """Versioned tables and the derived-table refresh chain.
 
-A table is a catalog entry (``<db>.<name>``) pointing at an immutable parquet
-directory. A new version is written to a fresh directory under the cluster's
-shared folder, checked, and only then published by moving the catalog pointer
-(``ALTER TABLE ... SET LOCATION``): readers keep the old version until the swap, and
-a failed or repeated job leaves no half-written table behind.
+A table is a catalog entry (``<db>.<name>``) pointing at parquet under the cluster's
+shared folder.
+
+* Derived tables (summaries) are rebuilt whole: each new version goes to a fresh
+  directory, is checked, and is published by moving the catalog pointer
+  (``ALTER TABLE ... SET LOCATION``); readers keep the old version until the swap.
+* Keyed entity tables are partitioned by a hash bucket of the key; a merge replaces
+  only the buckets its batch touches (dynamic partition overwrite), from merge
+  output that was first staged in full, so a failed write is simply re-run.
 """
 
 from __future__ import annotations
@@ -18,6 +22,19 @@ from fundflow.plans import marts
 from fundflow.session import shared_dir
 
 DB = "fundflow"
+# Keyed entity tables are hash-bucketed on their key; a merge rewrites only the
+# buckets its batch touches. The count is part of a table's layout, fixed per
+# deployment via ``spark.fundflow.buckets`` (size it so a bucket is ~1 GB at scale).
+BUCKETS = 64
+BUCKET = "_bucket"
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.fundflow.buckets", str(BUCKETS)))
+
+
+def bucket_of(key: list[str], n: int = BUCKETS):
+    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(n)).cast("int")
 
 
 class UniqueKeyError(RuntimeError):
@@ -83,6 +100,23 @@ class TableStore:
         self.publish(name, path)
         return path
 
+    def upsert_buckets(self, name: str, df: DataFrame) -> str:
+        """Replace exactly the ``_bucket`` partitions present in ``df`` (dynamic overwrite).
+
+        ``df`` must hold the complete new content of each bucket it touches (the merge
+        output for those buckets); untouched buckets are left as they are, so a batch
+        costs in proportion to the keys it touches, not to the table.
+        """
+        path = f"{self.root}/{name}/keyed"
+        # one writer per touched bucket (not one per task and bucket): few, large files
+        (df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(BUCKET).parquet(path))
+        if self.exists(name):
+            self.spark.sql(f"REFRESH TABLE {self.qualified(name)}")
+        else:
+            self.publish(name, path)
+        return path
+
     def publish(self, name: str, path: str) -> None:
         q = self.qualified(name)
         if self.exists(name):

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundflow.operators import merge as M
 from fundflow.operators.ingest import TRANSFORMS
 from fundflow.operators.quality import SEQ
-from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES
+from fundflow.operators.specs import ENTITIES
+from fundflow.plans.jobs import merge_into
 from fundflow.plans.refresh import TableStore
 from fundflow.session import new_location
 from fundflow.sources.paged_json import read_pages
@@ -30,21 +30,11 @@ from fundflow.sources.paged_json import read_pages
 SEQ_TYPE = "struct<page:int,pos:int>"
 
 
-def _empty_target(store: TableStore, rows: DataFrame, columns) -> DataFrame:
-    df = rows.select(*columns, F.col(SEQ),
-                     *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS])
-    return store.empty_like(df)
-
-
 def merge_batch(store: TableStore, entity: str, batch: DataFrame, run_ts: str) -> None:
-    """One micro-batch: transform, versioned merge, publish a new table version."""
+    """One micro-batch: transform, versioned merge into the touched buckets only."""
     spec = ENTITIES[entity]
     t = TRANSFORMS[entity](batch)
-    rows = t.rows.select(*spec.columns, SEQ)
-    stored = store.read(entity) if store.exists(entity) else _empty_target(store, rows, spec.columns)
-    # key-unique by construction (full outer join of key-unique sides): no extra scan
-    result = M.merge(stored, rows, spec, run_ts, version=SEQ).staged(new_location(store.spark, f"staging/{entity}"))
-    store.write_version(entity, result.table)
+    merge_into(store, entity, t.rows.select(*spec.columns, SEQ), run_ts, version=SEQ)
 
 
 def run_incremental(spark: SparkSession, store: TableStore, landing: str, record: T.StructType,
