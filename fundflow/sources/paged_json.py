@@ -97,9 +97,19 @@ def first_page_rule(records: DataFrame) -> DataFrame:
 
 
 def page_coverage(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """Pages expected (1..pages) but not delivered, per endpoint."""
+    """Pages expected (1..pages) but not delivered, per endpoint.
+
+    Expected page numbers are generated by a distributed ``spark.range`` rather
+    than by exploding ``sequence(1, pages)`` in the one task that holds an
+    endpoint's row. The per-endpoint page counts are one row per endpoint (a fixed,
+    small set), so they are the broadcast side of the ``page <= pages`` join; the
+    largest count is a single number read on the driver to size the range.
+    """
     env = spark.read.schema(envelope_schema(record)).json(path) \
         .select("endpoint", F.col("pagination.page").alias("page"), F.col("pagination.pages").alias("pages"))
-    expected = (env.groupBy("endpoint").agg(F.max("pages").alias("pages"))
-                .select("endpoint", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page")))
-    return expected.join(env.select("endpoint", "page"), ["endpoint", "page"], "left_anti")
+    per_endpoint = env.groupBy("endpoint").agg(F.max("pages").alias("pages"))
+    top = per_endpoint.agg(F.max("pages").alias("m")).first()["m"] or 0
+    numbers = spark.range(1, top + 1).select(F.col("id").cast("int").alias("page"))
+    expected = numbers.join(F.broadcast(per_endpoint), F.col("page") <= F.col("pages")).select("endpoint", "page")
+    delivered = env.select("endpoint", "page").distinct()
+    return expected.join(delivered, ["endpoint", "page"], "left_anti")
