@@ -13,12 +13,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fundflow.functions.text import strip_ws
 from fundflow.operators import dedupe
-from fundflow.operators.quality import ERRORS, SEQ, EntitySpec, split, validate
+from fundflow.operators.quality import ERRORS, SEQ, EntitySpec, count_invalid, split, validate
 from fundflow.functions.money import MONEY as INSIDE_TOTALS_MONEY
 from fundflow.operators.specs import CANDIDATES, COMMITTEES, INSIDE_TOTALS, OUTSIDE_TOTALS
 
@@ -30,6 +32,15 @@ class Transformed:
     quarantine: DataFrame    # rows that broke a rule, with _errors
     skipped: DataFrame       # rows dropped for a missing key
     duplicates: DataFrame    # valid rows replaced by another row of the same key
+    checks: tuple = ()       # Observations with an "invalid" count, filled when ``rows`` runs
+
+    def invalid_count(self) -> int:
+        """Quarantined rows, read from metrics observed while ``rows`` was computed.
+
+        Call only after an action that ran ``rows``; every quarantined row passes one
+        of the observed rule checkpoints on its way out of the plan of ``rows``.
+        """
+        return sum(int(o.get["invalid"]) for o in self.checks)
 
     def report(self) -> DataFrame:
         """(entity, metric, rows) in one plan; no driver round trips."""
@@ -47,12 +58,13 @@ def _empty_like(df: DataFrame) -> DataFrame:
 
 
 def transform_keyed_last_wins(spec: EntitySpec, raw_df: DataFrame) -> Transformed:
-    checked = validate(raw_df, spec)
+    seen = Observation(f"validate_{spec.name}_{uuid.uuid4().hex[:12]}")
+    checked = validate(raw_df, spec, observation=seen)
     good, bad = split(checked)
     rows = dedupe.last_wins(good, list(spec.key))
     dups = good.join(rows.select(*spec.key, F.col(SEQ).alias("__kept")), list(spec.key)) \
                .filter(F.col(SEQ) != F.col("__kept")).drop("__kept")
-    return Transformed(spec.name, rows, bad, _empty_like(raw_df), dups)
+    return Transformed(spec.name, rows, bad, _empty_like(raw_df), dups, (seen,))
 
 
 def transform_candidates(raw_df: DataFrame) -> Transformed:
@@ -82,8 +94,9 @@ def transform_inside(raw_df: DataFrame) -> Transformed:
     row_rules = [("candidate_id_required", F.col("candidate_id").isNull() | (F.col("candidate_id") == "")),
                  ("cycle_required", F.col("cycle").isNull())]
     row_rules += [(f"{a}_not_numeric", F.col(f"__raw_{a}").isNotNull() & F.col(a).isNull()) for a in amounts]
-    flagged = typed.withColumn(ERRORS, F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in row_rules]),
-                                                lambda x: x.isNotNull()))
+    row_check = Observation(f"inside_rows_{uuid.uuid4().hex[:12]}")
+    flagged = count_invalid(typed.withColumn(ERRORS, F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in row_rules]),
+                                                              lambda x: x.isNotNull())), row_check)
     good_rows, bad_rows = split(flagged)
     summed = (good_rows.groupBy("candidate_id", "cycle")
               .agg(F.min(SEQ).alias(SEQ),
@@ -93,10 +106,12 @@ def transform_inside(raw_df: DataFrame) -> Transformed:
         SEQ, "candidate_id", "cycle",
         *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts],
         F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in width]), lambda x: x.isNotNull()).alias(ERRORS))
-    good, bad = split(checked)
+    sum_check = Observation(f"inside_sums_{uuid.uuid4().hex[:12]}")
+    good, bad = split(count_invalid(checked, sum_check))
     bad_rows = bad_rows.select(SEQ, "candidate_id", "cycle",
                                *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts], ERRORS)
-    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_rows), skipped, good_rows.limit(0))
+    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_rows), skipped, good_rows.limit(0),
+                       (row_check, sum_check))
 
 
 def transform_outside(raw_df: DataFrame) -> Transformed:
@@ -106,8 +121,9 @@ def transform_outside(raw_df: DataFrame) -> Transformed:
     first = dedupe.first_wins(kept, raw_key)
     dups = kept.join(first.select(*raw_key, F.col(SEQ).alias("__kept")), raw_key) \
                .filter(F.col(SEQ) != F.col("__kept")).drop("__kept")
-    good, bad = split(validate(first, OUTSIDE_TOTALS))
-    return Transformed(OUTSIDE_TOTALS.name, good, bad, skipped, dups)
+    seen = Observation(f"validate_outside_{uuid.uuid4().hex[:12]}")
+    good, bad = split(validate(first, OUTSIDE_TOTALS, observation=seen))
+    return Transformed(OUTSIDE_TOTALS.name, good, bad, skipped, dups, (seen,))
 
 
 TRANSFORMS = {

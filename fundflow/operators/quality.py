@@ -11,7 +11,7 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 ERRORS = "_errors"
@@ -80,7 +80,8 @@ class EntitySpec:
         return tuple(c for c in self.columns if c not in self.key)
 
 
-def validate(raw_df: DataFrame, spec: EntitySpec, keep: tuple[str, ...] = (SEQ,)) -> DataFrame:
+def validate(raw_df: DataFrame, spec: EntitySpec, keep: tuple[str, ...] = (SEQ,),
+             observation: Observation | None = None) -> DataFrame:
     """Cleaned table columns + ``_errors`` (array of violated rule names, empty if none).
 
     Two projections: the cleaned columns are computed once, then the rules refer to
@@ -103,10 +104,15 @@ def validate(raw_df: DataFrame, spec: EntitySpec, keep: tuple[str, ...] = (SEQ,)
     out = step1.select(*kept, *spec.columns, F.filter(flags, lambda x: x.isNotNull()).alias(ERRORS))
     # An observed-metrics node (public ``observe`` API) between the cleaning and the
     # good/quarantine filters: Catalyst does not push filters through it, so the
-    # filters test ``_errors`` instead of re-inlining every cleaning expression.
-    return out.observe(f"validate_{spec.name}_{uuid.uuid4().hex[:12]}",
-                       F.count(F.lit(1)).alias("rows"),
-                       F.count_if(F.size(F.col(ERRORS)) > 0).alias("invalid"))
+    # filters test ``_errors`` instead of re-inlining every cleaning expression. Its
+    # counts (rows, invalid) arrive with whatever action runs the plan.
+    return count_invalid(out, observation or f"validate_{spec.name}_{uuid.uuid4().hex[:12]}")
+
+
+def count_invalid(df: DataFrame, observation) -> DataFrame:
+    """Observe (rows, invalid) of a frame carrying ``_errors``; no extra pass."""
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"),
+                      F.count_if(F.size(F.col(ERRORS)) > 0).alias("invalid"))
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,7 +51,7 @@ def order_entities(entities: list[str] | None) -> list[str]:
 
 
 def merge_into(store: TableStore, entity: str, rows: DataFrame, run_ts: str,
-               quarantine: DataFrame | None = None, version: str | None = None) -> dict | None:
+               errors=None, version: str | None = None) -> dict | None:
     """Merge clean ``rows`` (spec columns + ``_seq``) into the stored entity table.
 
     1. the incoming rows are staged once (the transform runs once); the set of
@@ -72,6 +72,8 @@ def merge_into(store: TableStore, entity: str, rows: DataFrame, run_ts: str,
      .observe(seen, F.collect_set(BUCKET).alias("touched"))
      .write.mode("errorifexists").parquet(staged_path))
     touched = sorted(seen.get["touched"] or [])
+    # rule failures were observed while the staging write computed the rows
+    n_errors = int(errors()) if errors is not None else 0
     if not touched:
         return None
     incoming = spark.read.parquet(staged_path)
@@ -89,7 +91,7 @@ def merge_into(store: TableStore, entity: str, rows: DataFrame, run_ts: str,
                                      for a, name in M.ACTION_COUNTS])
      .write.mode("errorifexists").parquet(merged_path))
     stats = {name: int(v) for name, v in counted.get.items()}
-    stats["errors"] = int(quarantine.count()) if quarantine is not None else 0
+    stats["errors"] = n_errors
     merged = M.MergeResult(spark.read.parquet(merged_path), result.columns, result.key)
     store.upsert_buckets(entity, merged.table.withColumn(BUCKET, bucket_of(key, n)))
     return stats
@@ -103,7 +105,7 @@ def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str) -
     """
     spec = ENTITIES[entity]
     t = TRANSFORMS[entity](raw)
-    stats = merge_into(store, entity, t.rows.select(*spec.columns, SEQ), run_ts, t.quarantine)
+    stats = merge_into(store, entity, t.rows.select(*spec.columns, SEQ), run_ts, t.invalid_count)
     return EntityResult(entity, stats, None, t.quarantine)
 
 
