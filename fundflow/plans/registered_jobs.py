@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +90,9 @@ ELECTION_OUT = ("cycle, candidate_count, CAST(total_inside_receipts AS DOUBLE) A
 
 
 def _fresh_store(spark: SparkSession, tag: str) -> TableStore:
-    return TableStore(spark, root=new_location(spark, f"tables_{tag}"), db=f"ff_{tag}")
+    """An empty store per call: a new folder and a new catalog database, so calling a
+    query twice in one session gives the same result."""
+    return TableStore(spark, root=new_location(spark, f"tables_{tag}"), db=f"ff_{tag}_{uuid.uuid4().hex[:12]}")
 
 
 @register("refresh_chain", with_views(f"SELECT {ELECTION_OUT} FROM election", "election"))
