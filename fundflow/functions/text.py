@@ -29,18 +29,29 @@ def split_ws(c) -> Column:
     return F.filter(F.split(_col(c), rf"(?U){_WS}+"), lambda x: x != "")
 
 
+# A private-use character that cannot occur in names; marks inserted word breaks.
+_MARK = "\ue000"
+
+
+def collapse_ws(c) -> Column:
+    """Runs of white space become one space, outer blanks removed (``' '.join(s.split())``)."""
+    return strip_ws(F.regexp_replace(_col(c), rf"(?U){_WS}+", " "))
+
+
 def title_case(c) -> Column:
     """Each run of letters: first letter upper, the rest lower (``O'Malley``, ``3Rd``).
 
-    The string is cut into alternating letter / non-letter runs; ``initcap`` of a
-    letter run capitalises exactly its first letter, and leaves other runs as-is.
+    ``initcap`` starts a word only after a space, so a marker and a space are put
+    after every other non-letter first, and removed again afterwards. Plain string
+    functions, no lambdas: the whole expression stays in generated code.
     """
-    runs = F.regexp_extract_all(_col(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
+    spaced = F.regexp_replace(_col(c), r"([^\p{L} ])", "$1" + _MARK + " ")
+    return F.regexp_replace(F.initcap(spaced), _MARK + " ", "")
 
 
-def _title_words(words: Column) -> Column:
-    return F.transform(words, lambda w: title_case(w))
+_SUFFIX_ALT = "|".join(UPPER_SUFFIXES + TITLE_SUFFIXES)
+# a whole space-separated token that is a suffix, any case, with optional trailing dots
+_SUFFIX_TOKEN = rf"(?i)(?<=^| )(?:{_SUFFIX_ALT})\.*(?= |$)"
 
 
 def person_name(c) -> Column:
@@ -49,27 +60,22 @@ def person_name(c) -> Column:
     * no comma: words title-cased and joined by one space;
     * comma: the text before the first comma is the last name (inner spaces kept);
       words after it whose upper-case form without trailing dots is a known suffix
-      move to the end (upper-case set kept upper, the other set title-cased);
+      move to the end, in order (upper-case set kept upper, the other set title-cased);
     * the result is stripped; blank input gives an empty string (a rule rejects it).
     """
     v = strip_ws(c)
-    no_comma = F.array_join(_title_words(split_ws(v)), " ")
-
-    parts = F.split(v, ",", -1)
-    last = strip_ws(F.element_at(parts, 1))
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-    words = split_ws(F.array_join(rest, " "))
-    norm = lambda w: F.regexp_replace(F.upper(w), r"\.+$", "")
-    is_upper_sfx = lambda w: norm(w).isin(UPPER_SUFFIXES)
-    is_title_sfx = lambda w: norm(w).isin(TITLE_SUFFIXES)
-    given = F.filter(words, lambda w: ~(is_upper_sfx(w) | is_title_sfx(w)))
-    suffixes = F.transform(
-        F.filter(words, lambda w: is_upper_sfx(w) | is_title_sfx(w)),
-        lambda w: F.when(is_upper_sfx(w), norm(w)).otherwise(title_case(norm(w))),
-    )
-    core = F.array_join(_title_words(F.concat(given, F.array(last))), " ")
-    with_comma = F.when(F.size(suffixes) > 0,
-                        F.concat_ws(" ", core, F.array_join(suffixes, " "))).otherwise(core)
+    no_comma = title_case(collapse_ws(v))
+
+    last = strip_ws(F.substring_index(v, ",", 1))
+    rest = collapse_ws(F.regexp_replace(F.regexp_replace(v, r"^[^,]*,", ""), ",", " "))
+    given = collapse_ws(F.regexp_replace(rest, _SUFFIX_TOKEN, ""))
+    sfx = F.regexp_replace(F.upper(F.array_join(
+        F.regexp_extract_all(rest, F.lit(rf"(?i)(?<=^| )((?:{_SUFFIX_ALT})\.*)(?= |$)"), 1), " ")),
+        r"\.+(?= |$)", "")
+    for t in TITLE_SUFFIXES:
+        sfx = F.regexp_replace(sfx, rf"(?<=^| ){t}(?= |$)", t.title())
+    core = title_case(F.when(given == "", last).otherwise(F.concat_ws(" ", given, last)))
+    with_comma = F.when(sfx != "", F.concat_ws(" ", core, sfx)).otherwise(core)
 
     out = F.when(v.contains(","), with_comma).otherwise(no_comma)
     return F.when(_col(c).isNull(), F.lit(None).cast("string")).otherwise(strip_ws(out))

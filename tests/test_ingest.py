@@ -103,3 +103,32 @@ def test_fk_split(spark):
     ok, bad = fk_split(child, parent)
     assert sorted(rows(ok, "candidate_id")) == [("A",), ("B",)]
     assert rows(bad, "candidate_id") == [("Z",)]
+
+
+def test_typed_coercion_from_landed_strings(spark):
+    """Records landed as JSON text: coercible values are typed, others reject the record."""
+    raw = spark.createDataFrame(
+        [("C1", "A", "2024", "true", "2020-01-31", [" 2020", "2022"], 1),
+         ("C2", "B", "soon", None, None, None, 2),
+         ("C3", "C", None, "maybe", "31/01/2020", ["x"], 3)],
+        "candidate_id string, name string, active_through string, has_raised_funds string, "
+        "first_file_date string, cycles array<string>, _seq long")
+    t = transform_candidates(raw)
+    good = t.rows.first()
+    import datetime as dt
+    assert (good.candidate_id, good.active_through, good.has_raised_funds, good.first_file_date, good.cycles) == \
+        ("C1", 2024, True, dt.date(2020, 1, 31), [2020, 2022])
+    bad = {r.candidate_id: sorted(r._errors) for r in t.quarantine.collect()}
+    assert bad == {"C2": ["active_through_type"],
+                   "C3": ["cycles_type", "first_file_date_type", "has_raised_funds_type"]}
+
+
+def test_committee_lists_default_to_empty_and_strip(spark):
+    raw = spark.createDataFrame([("C1", " ACME ", [" P1 ", "P2"], None, [2022], 1),
+                                 ("C2", "   ", None, None, None, 2)],
+                                "committee_id string, name string, candidate_ids array<string>, "
+                                "sponsor_candidate_ids array<string>, cycles array<int>, _seq long")
+    t = transform_committees(raw)
+    r = t.rows.first()
+    assert (r.name, r.candidate_ids, r.sponsor_candidate_ids, r.cycles) == ("ACME", ["P1", "P2"], [], [2022])
+    assert rows(t.quarantine, "committee_id", "_errors") == [("C2", ["name_required"])]
