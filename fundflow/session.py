@@ -22,6 +22,24 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
+    """Settings for a large cluster, sized from the bytes a job reads.
+
+    Shuffle partitions start at input / 256 MB (AQE then merges small ones toward the
+    advisory size and splits skewed join partitions), scans cut files into 256 MB
+    splits, and broadcast joins stay at the default measured-size threshold.
+    """
+    shuffle = max(200, int(input_bytes // target_partition_bytes))
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "fundflow", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the fundflow defaults.
