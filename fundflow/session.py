@@ -25,11 +25,12 @@ BASE_CONF = {
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
     """Settings for a large cluster, sized from the bytes a job reads.
 
-    Shuffle partitions start at input / 256 MB (AQE then merges small ones toward the
-    advisory size and splits skewed join partitions), scans cut files into 256 MB
-    splits, and broadcast joins stay at the default measured-size threshold.
+    Shuffle partitions start at input / 256 MB, capped at 65 536 (shuffles carry far
+    less than the input after pruning and partial aggregation; AQE merges small
+    partitions toward the advisory size and splits skewed join partitions), scans cut
+    files into 256 MB splits, and broadcast joins keep the measured-size threshold.
     """
-    shuffle = max(200, int(input_bytes // target_partition_bytes))
+    shuffle = max(200, min(65536, int(input_bytes // target_partition_bytes)))
     size = str(target_partition_bytes)
     return {
         "spark.sql.shuffle.partitions": str(shuffle),
