@@ -54,7 +54,8 @@ class Transformed:
 
 
 def _empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+    """An empty frame with ``df``'s columns (a step that has nothing to report)."""
+    return df.sparkSession.createDataFrame([], df.schema)
 
 
 def transform_keyed_last_wins(spec: EntitySpec, raw_df: DataFrame) -> Transformed:
@@ -110,7 +111,7 @@ def transform_inside(raw_df: DataFrame) -> Transformed:
     good, bad = split(count_invalid(checked, sum_check))
     bad_rows = bad_rows.select(SEQ, "candidate_id", "cycle",
                                *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts], ERRORS)
-    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_rows), skipped, good_rows.limit(0),
+    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_rows), skipped, _empty_like(good_rows),
                        (row_check, sum_check))
 
 
