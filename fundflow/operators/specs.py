@@ -185,3 +185,7 @@ ENTITIES = {s.name: s for s in (COMMITTEES, CANDIDATES, INSIDE_TOTALS, OUTSIDE_T
 # Dependency order of a batch: committees, candidates, then the two totals tables.
 ENTITY_ORDER = ["committees", "candidates", "inside_totals_by_candidate",
                 "schedule_e_totals_by_candidate"]
+# Entities of one level do not reference each other; a level starts when the previous
+# one (the tables its rows refer to) is done.
+ENTITY_LEVELS = [["committees", "candidates"],
+                 ["inside_totals_by_candidate", "schedule_e_totals_by_candidate"]]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from fundflow.operators import merge as M
 from fundflow.operators.ingest import TRANSFORMS
 from fundflow.operators.quality import SEQ
-from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES, ENTITY_ORDER
+from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES, ENTITY_LEVELS, ENTITY_ORDER
 from fundflow.plans.refresh import BUCKET, TableStore, bucket_count, bucket_of, refresh_spending
 from fundflow.session import new_location
 
@@ -129,21 +130,36 @@ SPENDING_TYPES = {
 
 
 def ingest_batch(store: TableStore, feeds: dict[str, DataFrame], run_ts: str,
-                 entities: list[str] | None = None) -> BatchResult:
+                 entities: list[str] | None = None, parallel: bool = True) -> BatchResult:
     """Run entities in dependency order; a failing entity is recorded, the rest go on.
 
+    Entities of the same dependency level run concurrently (``parallel``).
+
     Afterwards the spending tables are refreshed only if a spending entity ran,
     produced rows and raised no error (row-level errors do not block a refresh).
     """
     out = BatchResult()
-    for e in order_entities(entities):
+    wanted = order_entities(entities)
+
+    def run_one(e: str) -> EntityResult:
         if e not in feeds:
-            out.results[e] = EntityResult(e, None, f"no feed for {e}")
-            continue
+            return EntityResult(e, None, f"no feed for {e}")
         try:
-            out.results[e] = ingest_entity(store, e, feeds[e], run_ts)
+            return ingest_entity(store, e, feeds[e], run_ts)
         except Exception as exc:  # noqa: BLE001 - isolate one entity's failure
-            out.results[e] = EntityResult(e, None, f"{type(exc).__name__}: {exc}")
+            return EntityResult(e, None, f"{type(exc).__name__}: {exc}")
+
+    # levels in dependency order; the entities of a level are independent, so their
+    # Spark jobs are submitted together and share the cluster
+    for level in ENTITY_LEVELS:
+        todo = [e for e in wanted if e in level]
+        if len(todo) <= 1 or not parallel:
+            done = [run_one(e) for e in todo]
+        else:
+            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+                done = list(pool.map(run_one, todo))
+        for r in done:
+            out.results[r.entity] = r
     if should_refresh(out):
         refresh_spending(store, *spending_inputs(store))
         out.refreshed = True
