@@ -16,14 +16,20 @@ def _col(c) -> Column:
 
 
 def local_date(utc_ts) -> Column:
-    """Calendar date of a UTC instant in the source's home time zone."""
-    return F.to_date(F.from_utc_timestamp(_col(utc_ts), LOCAL_TZ))
+    """Calendar date, in the source's home time zone, of a UTC wall-clock time.
+
+    The input is read as a timestamp without time zone (the parquet columns are
+    TIMESTAMP_NTZ) and converted explicitly from UTC, so the session time zone
+    plays no part.
+    """
+    ntz = _col(utc_ts).cast("timestamp_ntz")
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_TZ), ntz))
 
 
 def date_window(start, end, run_ts) -> tuple[Column, Column]:
     """Default window: missing start = local yesterday, missing end = local today.
 
-    ``run_ts`` is the job's reference instant (UTC), passed in so runs repeat.
+    ``run_ts`` is the job's reference time (UTC wall clock), passed in so runs repeat.
     Given bounds are parsed as ``yyyy-MM-dd``.
     """
     today = local_date(run_ts)

@@ -182,7 +182,7 @@ def ingest(store: TableStore, feeds: dict[str, DataFrame], run_ts: str, start: s
     from fundflow.functions.dates import date_window
     spark = store.spark
     lo, hi = date_window(F.lit(start).cast("string"), F.lit(end).cast("string"),
-                         F.lit(run_ts).cast("timestamp"))
+                         F.lit(run_ts).cast("timestamp_ntz"))
     bounds = spark.range(1).select(lo.alias("lo"), hi.alias("hi")).first()
     dated = {}
     for name, df in feeds.items():

@@ -78,7 +78,7 @@ FROM events""")
 def date_window_q(spark: SparkSession, sf_dir: str):
     ev = FX.table(spark, sf_dir, "events")
     start = F.when(F.col("event_type") == "click", F.lit("2024-01-01"))
-    lo, hi = date_window(start, F.lit(None).cast("string"), F.col("ts").cast("timestamp"))
+    lo, hi = date_window(start, F.lit(None).cast("string"), F.col("ts"))
     return ev.select("event_id", lo.cast("string").alias("window_start"), hi.cast("string").alias("window_end"))
 
 

@@ -98,7 +98,7 @@ def test_labels(spark):
 
 
 def test_default_date_window_uses_new_york_date(spark):
-    df = spark.createDataFrame([(dt.datetime(2024, 6, 15, 2, 0),)], "ts timestamp")
+    df = spark.createDataFrame([(dt.datetime(2024, 6, 15, 2, 0),)], "ts timestamp_ntz")
     lo, hi = date_window(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("ts"))
     r = df.select(lo.alias("lo"), hi.alias("hi")).first()
     assert (r.lo, r.hi) == (dt.date(2024, 6, 13), dt.date(2024, 6, 14))
