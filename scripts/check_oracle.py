@@ -1,6 +1,6 @@
 """Run registered Spark queries and their DuckDB oracles side by side; report matches.
 
-Usage: python scripts/check_oracle.py [sf_dir] [name ...]
+Usage: python scripts/check_oracle.py [sf_dir] [name ...]   (env ORACLE_SESSION_TZ: Spark session zone)
 Compares row count, column names, and an order-insensitive multiset of rows.
 """
 
@@ -42,7 +42,8 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
-    spark = get_spark("local[8]", 8)
+    tz = os.environ.get("ORACLE_SESSION_TZ")  # e.g. America/Los_Angeles: results must not move
+    spark = get_spark("local[8]", 8, extra={"spark.sql.session.timeZone": tz} if tz else None)
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
