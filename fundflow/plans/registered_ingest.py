@@ -3,26 +3,18 @@ refresh, batch job and incremental stream, with oracles."""
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.catalog import register
-from fundflow.functions.dates import date_window
 from fundflow.functions.text import person_name
 from fundflow.operators import merge as M
-from fundflow.operators.ingest import (
-    transform_candidates, transform_committees, transform_inside, transform_outside,
-)
-from fundflow.operators.quality import ERRORS, SEQ, fk_split, quarantine_report, split, validate
+from fundflow.operators.ingest import transform_candidates, transform_committees, transform_outside
+from fundflow.operators.quality import ERRORS, SEQ, fk_split, quarantine_report, validate
 from fundflow.operators.specs import CANDIDATES, INSIDE_TOTALS
 from fundflow.oracle.bindings import title_sql, with_views, words_sql, strip_sql
 from fundflow.plans import tables
-from fundflow.plans.refresh import ELECTION_TABLE, SUMMARY_TABLE, TableStore, key_report, refresh_spending
-from fundflow.session import new_location
 from fundflow.sources import fixtures as FX
-from fundflow.sources.predicates import first_file_range, source_filter
 
 CAND_RAW_OUT = ["candidate_id", "name", "office", "state", "party", "district", "last_file_date"]
 

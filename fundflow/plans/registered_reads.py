@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fundflow.catalog import register
 from fundflow.functions.money import compact_dollars
-from fundflow.operators.hierarchy import spending_tree
 from fundflow.oracle.bindings import (
     CANDIDATE_INFO_OUT, SUMMARY_OUT, compact_sql, dollars_sql, with_views,
 )

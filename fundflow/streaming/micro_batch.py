@@ -16,7 +16,6 @@ processing-time trigger.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fundflow.operators.ingest import TRANSFORMS
