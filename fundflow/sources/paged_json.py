@@ -48,13 +48,12 @@ def land_pages(records: DataFrame, path: str, endpoint: str, page_size: int = 10
                   .alias("results")))
     if drop_page is not None:
         pages = pages.filter(~drop_page)
-    # the page count travels with every envelope: a one-row aggregate joined on a constant key
-    meta = total.select(F.lit(1).alias("__k"), "count",
-                        F.greatest(F.ceil(F.col("count") / page_size), F.lit(1)).cast("int").alias("pages"))
-    env = (pages.withColumn("__k", F.lit(1)).join(F.broadcast(meta), "__k")
-           .select(F.lit(endpoint).alias("endpoint"), "results",
-                   F.struct(F.col("page"), F.col("pages"), F.lit(page_size).alias("per_page"),
-                            F.col("count")).alias("pagination")))
+    # the page count travels with every envelope: a scalar subquery over the row count
+    n_pages = total.select(F.greatest(F.ceil(F.col("count") / page_size), F.lit(1)).cast("int")).scalar()
+    n_rows = total.select(F.col("count").cast("long")).scalar()
+    env = pages.select(F.lit(endpoint).alias("endpoint"), "results",
+                       F.struct(F.col("page"), n_pages.alias("pages"), F.lit(page_size).alias("per_page"),
+                                n_rows.alias("count")).alias("pagination"))
     if files:
         env = env.repartitionByRange(files, F.col("pagination.page"))
     env.write.mode("errorifexists").json(path)
