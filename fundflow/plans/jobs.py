@@ -22,7 +22,7 @@ from fundflow.operators.ingest import TRANSFORMS
 from fundflow.operators.quality import SEQ
 from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES, ENTITY_LEVELS, ENTITY_ORDER
 from fundflow.plans.refresh import BUCKET, TableStore, bucket_count, bucket_of, refresh_spending
-from fundflow.session import new_location
+from fundflow.session import discard, new_location
 
 SPENDING_ENTITIES = ("inside_totals_by_candidate", "schedule_e_totals_by_candidate")
 
@@ -76,6 +76,7 @@ def merge_into(store: TableStore, entity: str, rows: DataFrame, run_ts: str,
     # rule failures were observed while the staging write computed the rows
     n_errors = int(errors()) if errors is not None else 0
     if not touched:
+        discard(spark, staged_path)
         return None
     incoming = spark.read.parquet(staged_path)
     extra = [version] if version else []
@@ -95,6 +96,9 @@ def merge_into(store: TableStore, entity: str, rows: DataFrame, run_ts: str,
     stats["errors"] = n_errors
     merged = M.MergeResult(spark.read.parquet(merged_path), result.columns, result.key)
     store.upsert_buckets(entity, merged.table.withColumn(BUCKET, bucket_of(key, n)))
+    # the table now holds the result; the two staged copies are no longer read
+    discard(spark, staged_path)
+    discard(spark, merged_path)
     return stats
 
 

@@ -100,3 +100,14 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library staged, once nothing reads it any more.
+
+    Uses the Hadoop file system of the path (same as Spark's own writers), so it
+    works for the cluster's shared storage as well as local folders.
+    """
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
