@@ -119,3 +119,42 @@ def test_single_entry_applies_date_window(spark):
     out2 = jobs.ingest(store, {"candidates": cands}, "2024-06-01 12:00:00", start="2024-01-01",
                        entities=["candidates"])
     assert out2.results["candidates"].stats["inserted"] == 1
+
+
+def test_merge_rewrites_only_touched_buckets(spark):
+    from pyspark.sql import functions as F
+    from fundflow.plans.refresh import BUCKET
+    from fundflow.session import local_path, shared_dir
+    store = _store(spark)
+    first = spark.createDataFrame([(f"C{i}", 2024, D(i), D(i), i) for i in range(200)], INSIDE)
+    jobs.ingest_entity(store, "inside_totals_by_candidate", first, "2024-06-01 00:00:00")
+    table = store.read("inside_totals_by_candidate")
+    loc = local_path(store.location("inside_totals_by_candidate"))
+
+    def files_by_bucket():
+        out = {}
+        for d in os.listdir(loc):
+            if d.startswith(BUCKET + "="):
+                out[d] = sorted(f for f in os.listdir(os.path.join(loc, d)) if f.endswith(".parquet"))
+        return out
+
+    before = files_by_bucket()
+    assert table.count() == 200 and len(before) > 10
+    staging = os.path.join(local_path(shared_dir(spark)), "staging")
+
+    def staged():
+        return {(d, e) for d in (os.listdir(staging) if os.path.isdir(staging) else [])
+                for e in os.listdir(os.path.join(staging, d))}
+
+    staged_before = staged()
+    # change one key: exactly its bucket is rewritten, every other bucket keeps its files
+    one = spark.createDataFrame([("C7", 2024, D(70), D(70), 1000)], INSIDE)
+    r = jobs.ingest_entity(store, "inside_totals_by_candidate", one, "2024-07-01 00:00:00")
+    assert (r.stats["inserted"], r.stats["updated"]) == (0, 1)
+    after = files_by_bucket()
+    changed = [b for b in before if before[b] != after.get(b)]
+    target = store.read("inside_totals_by_candidate").filter(F.col("candidate_id") == "C7").first()
+    assert changed == [f"{BUCKET}={target[BUCKET]}"]
+    assert target.receipts == D("70.00") and store.read("inside_totals_by_candidate").count() == 200
+    # the merge's staged copies were removed: nothing new is left in the staging folder
+    assert staged() - staged_before == set()
