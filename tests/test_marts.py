@@ -68,3 +68,17 @@ def test_summary_plan_has_two_exchanges_without_broadcast(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_filters_and_columns_reach_the_parquet_scan(spark):
+    import os
+    from fundflow.sources import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    df = FX.merge_stored(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "FileScan parquet" in line or "Scan parquet" in line]
+    assert scan, plan
+    assert "LessThan(o_orderdate" in plan                # the date predicate is pushed to the reader
+    assert "o_orderpriority" not in plan                # unused columns are not read
