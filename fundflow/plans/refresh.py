@@ -63,6 +63,7 @@ class TableStore:
         self.spark = spark
         self.root = (root or f"{shared_dir(spark)}/tables").rstrip("/")
         self.db = db
+        self._locations: dict[str, str] = {}   # what this store published (saves a DESCRIBE)
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
 
     def qualified(self, name: str) -> str:
@@ -77,6 +78,8 @@ class TableStore:
         return self.spark.read.parquet(self.location(name))
 
     def location(self, name: str) -> str | None:
+        if name in self._locations:
+            return self._locations[name]
         if not self.exists(name):
             return None
         rows = (self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.qualified(name)}")
@@ -119,6 +122,7 @@ class TableStore:
 
     def publish(self, name: str, path: str) -> None:
         q = self.qualified(name)
+        self._locations[name] = path
         if self.exists(name):
             self.spark.sql(f"ALTER TABLE {q} SET LOCATION '{path}'")
             self.spark.sql(f"REFRESH TABLE {q}")
