@@ -64,6 +64,8 @@ class TableStore:
         self.root = (root or f"{shared_dir(spark)}/tables").rstrip("/")
         self.db = db
         self._locations: dict[str, str] = {}   # what this store published (saves a DESCRIBE)
+        self._versions: dict[str, list[str]] = {}  # versions this store wrote, oldest first
+        self.keep_versions = 2                    # current + previous (readers still on it)
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
 
     def qualified(self, name: str) -> str:
@@ -101,8 +103,17 @@ class TableStore:
             if duplicate_keys(written, key).take(1):
                 raise UniqueKeyError(f"{name}: duplicate keys {key} in {path}; version not published")
         self.publish(name, path)
+        self._retire(name, path)
         return path
 
+    def _retire(self, name: str, path: str) -> None:
+        """Delete versions older than the last ``keep_versions`` that this store wrote."""
+        from fundflow.session import discard
+        history = self._versions.setdefault(name, [])
+        history.append(path)
+        while len(history) > self.keep_versions:
+            discard(self.spark, history.pop(0))
+
     def upsert_buckets(self, name: str, df: DataFrame) -> str:
         """Replace exactly the ``_bucket`` partitions present in ``df`` (dynamic overwrite).
 

@@ -158,3 +158,13 @@ def test_merge_rewrites_only_touched_buckets(spark):
     assert target.receipts == D("70.00") and store.read("inside_totals_by_candidate").count() == 200
     # the merge's staged copies were removed: nothing new is left in the staging folder
     assert staged() - staged_before == set()
+
+
+def test_old_derived_versions_are_retired(spark):
+    from fundflow.session import local_path
+    store = _store(spark)
+    df = spark.createDataFrame([(2024, 1)], "cycle int, n int")
+    paths = [store.write_version("t", df, key=["cycle"]) for _ in range(4)]
+    alive = [os.path.isdir(local_path(p)) for p in paths]
+    assert alive == [False, False, True, True]
+    assert store.read("t").count() == 1
