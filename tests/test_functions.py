@@ -113,3 +113,12 @@ def test_even_cycle_rule():
     for bad in (2023, 1978, 2026):
         with pytest.raises(ValueError):
             check_even_cycle(bad, today)
+
+
+def test_cluster_conf_sizing():
+    from fundflow.session import cluster_conf
+    small, mid, huge = cluster_conf(1024 ** 3), cluster_conf(10 * 1024 ** 4), cluster_conf(100 * 1024 ** 4)
+    assert small["spark.sql.shuffle.partitions"] == "200"          # floor
+    assert mid["spark.sql.shuffle.partitions"] == str(10 * 1024 ** 4 // (256 * 1024 ** 2))
+    assert huge["spark.sql.shuffle.partitions"] == "65536"          # cap; AQE coalesces from there
+    assert huge["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 ** 2)
