@@ -180,12 +180,16 @@ def spending_history(summary: DataFrame, candidates: DataFrame, candidate_id: st
 def history_gate(candidates: DataFrame, summary: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probed id: not_found / found_empty / found, and its number of history rows.
 
-    Equivalent to checking existence before listing history: a left join from the
-    probes to the candidates (existence) and to per-candidate row counts (history).
+    Equivalent to checking existence before listing history. Both tables are first
+    reduced to the probed ids (semi joins, which AQE turns into broadcasts of the probe
+    list when it measures it small), so only the probed candidates are aggregated.
     """
-    known = candidates.select(F.col("candidate_id").alias("k_id")).distinct()
-    counts = summary.groupBy(F.col("candidate_id").alias("h_id")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("history_rows"))
+    ids = probes.select("candidate_id").distinct()
+    known = (candidates.select("candidate_id").join(ids, "candidate_id", "left_semi")
+             .select(F.col("candidate_id").alias("k_id")).distinct())
+    counts = (summary.select("candidate_id").join(ids, "candidate_id", "left_semi")
+              .groupBy(F.col("candidate_id").alias("h_id"))
+              .agg(F.count(F.lit(1)).cast("bigint").alias("history_rows")))
     j = (probes.join(known, probes.candidate_id == known.k_id, "left")
          .join(counts, probes.candidate_id == counts.h_id, "left"))
     n = F.coalesce(F.col("history_rows"), F.lit(0).cast("bigint"))
