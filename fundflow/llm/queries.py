@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fundflow.llm import byte_bpe, token_files
+from fundflow.llm import byte_bpe, language_id, pii, token_files
 from fundflow.llm.common import table
 
 #: The end id of operator 1's documents.
@@ -22,5 +22,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op8_pii, op10_language_id)}
 ORACLE: dict[str, str] = {}
