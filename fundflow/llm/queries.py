@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fundflow.llm import byte_bpe, language_id, pii, token_files
+from fundflow.llm import byte_bpe, decontaminate, language_id, pii, simhash, token_files, url_filter
 from fundflow.llm.common import table
+from fundflow.llm.url_filter import ALLOW, BLOCK, Rule
 
 #: The end id of operator 1's documents.
 END_ID = 2
@@ -22,6 +23,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Operator 4's rules.
+URL_RULES = [Rule(ALLOW, "org", "/"), Rule(BLOCK, "example.org", "/es/"), Rule(BLOCK, "example.org", "/en/1"),
+             Rule(ALLOW, "com", "/fr/"), Rule(BLOCK, "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -30,5 +48,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op8_pii, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op4_url_filter, op6_simhash, op7_decontaminate, op8_pii, op10_language_id)}
 ORACLE: dict[str, str] = {}
