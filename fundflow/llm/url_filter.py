@@ -34,8 +34,9 @@ SLOTS = 1 << 16
 #: Rows of the labelled table that are used; steps, rate and L2 penalty of the fit.
 TABLE_ROWS = 20_000
 STEPS, RATE, PENALTY = 4000, 6.0, 2e-4
-#: Share of blocked urls that the fit assumes, whatever the table's.
-PRIOR = 0.15
+#: Share of blocked urls that the fit assumes, whatever the table's; the bias is fixed at its log-odds,
+#: so that a url of which no n-gram is known is judged by it.
+PRIOR = 0.35
 
 
 class Rule(NamedTuple):
@@ -53,7 +54,7 @@ BLOCKED_SITES = (
     "casino-royal.test best-casino.test casinobonus.test win-big.test winslots.test jackpot-win.test free-spins.test "
     "bets-online.test sportbets.test free-poker.test cheap-meds.test pills-shop.test buy-pills.test cheapviagra.test "
     "cheap-watches.test replica-bags.test spam-net.test spamhost.test link-farm.test linkfarm.test content-farm.test "
-    "adult-video.test adultchat.test xxx-cams.test x-rated.test hot-adult.test ads-server.test adserver.test "
+    "adult-video.test adultchat.test adult-site.test xxx-cams.test x-rated.test hot-adult.test ads-server.test adserver.test "
     "popup-ads.test click-track.test trackers.test pixel-track.test ad-track.test quick-loans.test payday-loan.test "
     "free-money.test crypto-double.test free-iphone.test win-prize.test lottery-win.test warez-crack.test "
     "keygen-free.test torrent-free.test weight-loss-pills.test hack-tool.test phish-login.test"
@@ -122,18 +123,17 @@ def train(urls: DataFrame) -> Model:
              .orderBy(F.xxhash64("host", "path"), "y").limit(TABLE_ROWS).collect())  # bounded by TABLE_ROWS
     y = np.array([r.y for r in table])
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(SLOTS), -1.0 if not len(y) or y[0] == 0 else 1.0)
+        return Model(np.zeros(SLOTS), float(np.log(PRIOR / (1 - PRIOR))) * (-1.0 if len(y) and y[0] else 1.0))
     used = [slots(r.host, r.path) for r in table]
     row = np.repeat(np.arange(len(used)), [len(u) for u in used])
     columns, at = np.unique(np.concatenate(used), return_inverse=True)
     value = 1 / np.sqrt(np.array([max(1, len(u)) for u in used]))[row]
     share = np.where(y == 1, PRIOR / y.sum(), (1 - PRIOR) / (1 - y).sum())
-    w, b = np.zeros(len(columns)), 0.0
+    w, b = np.zeros(len(columns)), np.log(PRIOR / (1 - PRIOR))
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(np.bincount(row, w[at] * value, len(y)) + b)))
         error = (p - y) * share
         w -= RATE * (np.bincount(at, error[row] * value, len(columns)) + PENALTY * w)
-        b -= RATE * error.sum()
     weights = np.zeros(SLOTS)
     weights[columns] = w
     return Model(weights, float(b))
