@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fundflow.llm import byte_bpe, decontaminate, language_id, pii, simhash, token_files, url_filter
+from fundflow.llm import byte_bpe, decontaminate, language_id, pii, quality_gam, simhash, token_files, url_filter
 from fundflow.llm.common import table
 from fundflow.llm.url_filter import ALLOW, BLOCK, Rule
 
@@ -44,9 +44,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op4_url_filter, op6_simhash, op7_decontaminate, op8_pii, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op4_url_filter, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id)}
 ORACLE: dict[str, str] = {}
