@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fundflow.llm import byte_bpe, decontaminate, language_id, pii, quality_gam, simhash, token_files, url_filter
+from fundflow.llm import byte_bpe, decontaminate, embedding_dedup, language_id, pii, quality_gam, simhash, token_files, url_filter
 from fundflow.llm.common import table
 from fundflow.llm.url_filter import ALLOW, BLOCK, Rule
 
@@ -32,6 +32,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), words=3, max_bits=3)
 
@@ -52,5 +56,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op4_url_filter, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op4_url_filter, op5_embedding_dedup, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id)}
+#: Operator 5 by brute force. The components are the closure of the links; small tables only.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+components AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN components USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+ORACLE: dict[str, str] = {"op5_embedding_dedup": OP5_SQL}
