@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fundflow.llm import byte_bpe, decontaminate, embedding_dedup, language_id, pii, quality_gam, simhash, token_files, url_filter
+from fundflow.llm import byte_bpe, decontaminate, embedding_dedup, language_id, pii, quality_gam, simhash, suffix_dedup, token_files, url_filter
 from fundflow.llm.common import table
 from fundflow.llm.url_filter import ALLOW, BLOCK, Rule
 
@@ -18,6 +19,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), words=13)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -56,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_byte_bpe, op4_url_filter, op5_embedding_dedup, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_byte_bpe, op4_url_filter, op5_embedding_dedup, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id)}
 #: Operator 5 by brute force. The components are the closure of the links; small tables only.
 OP5_SQL = """
 WITH RECURSIVE v AS (
