@@ -134,24 +134,27 @@ def _load(spark: SparkSession, rank_file: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def digest_column(spark: SparkSession, rank_file: str, pattern: str):
-    """Column function: text -> struct(n_tokens, ids_sha256, decoded_sha256); the ids are decoded again."""
+def digest_column(spark: SparkSession, rank_file: str, pattern: str, with_ids: bool = False):
+    """Column function: text -> struct(n_tokens, ids_sha256, decoded_sha256, and ids if asked); the ids are decoded again."""
     bounded_batches(spark)
     held = _load(spark, rank_file)
 
-    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
+    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>" * with_ids + ">")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = ByteCodec.of(held.value, pattern)
         for texts in batches:
-            counts, ids_sha, text_sha = [], [], []
+            counts, ids_sha, text_sha, lists = [], [], [], []
             for text in texts:
                 ids = codec.encode(text.as_py() or "")
+                lists.append(ids_of(ids) if with_ids else None)
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
-                                              pa.array(text_sha, pa.string())],
-                                             ["n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()),
+                       "decoded_sha256": pa.array(text_sha, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
+            yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     return digests
 
