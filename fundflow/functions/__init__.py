@@ -1,9 +1,7 @@
 from fundflow.functions.dates import check_even_cycle, cycle_of, date_window, local_date  # noqa: F401
-from fundflow.functions.labels import (  # noqa: F401
-    office_group, office_label, party_group, spending_group, spending_label,
-)
+from fundflow.functions.labels import display_category, leaf_label, office_label  # noqa: F401
 from fundflow.functions.money import (  # noqa: F401
-    compact_dollars, full_dollars, nullif_zero, ratio, to_money, zero_if_null,
+    compact_dollars, full_dollars, nullif_zero, ratio, zero_if_null,
 )
 from fundflow.functions.text import (  # noqa: F401
     none_sentinel, pad_district, person_name, split_ws, strip_ws, title_case,

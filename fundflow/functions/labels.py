@@ -5,63 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Office codes and their race names, in display order.
-OFFICE_ORDER = ["P", "S", "H"]
+# Office codes and race names in display order, leaf names of a candidate in
+# order with their long labels, names of the other nodes, and the display category of each
+# party code, race name and leaf name.
 OFFICE_LABELS = {"P": "Presidential", "S": "Senate", "H": "House"}
-
-# Leaf names of a candidate node, in order, and their long labels.
-LEAF_NAMES = ["Inside", "Outside Support", "Outside Oppose"]
 LEAF_LABELS = {
     "Inside": "Direct Campaign Spending",
     "Outside Support": "Independent Support",
     "Outside Oppose": "Independent Opposition",
 }
-OTHERS = "Others"
-ROOT_NAME = "root"
-ROOT_LABEL = "All Races"
-
-
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
+OTHERS, ROOT_NAME, ROOT_LABEL = "Others", "root", "All Races"
+CATEGORIES = {
+    "party": {"DEM": "dem", "DFL": "dem", "REP": "rep"},
+    "race": {"Presidential": "president", "Senate": "senate", "House": "house"},
+    "leaf": {"Inside": "president", "Outside Support": "house", "Outside Oppose": "rep"},
+}
+NO_CATEGORY = "neutral"
 
-def office_label(c) -> Column:
-    x = _col(c)
-    out = F.lit(None).cast("string")
-    for code in reversed(OFFICE_ORDER):
-        out = F.when(x == code, F.lit(OFFICE_LABELS[code])).otherwise(out)
-    return out
+OFFICE_ORDER, LEAF_NAMES = list(OFFICE_LABELS), list(LEAF_LABELS)
 
 
-def party_group(c) -> Column:
-    """DEM and DFL -> dem, REP -> rep, anything else (null too) -> neutral."""
-    x = _col(c)
-    return (F.when(x.isin("DEM", "DFL"), "dem")
-            .when(x == "REP", "rep")
-            .otherwise("neutral"))
+def looked_up(names: dict[str, str], key: Column | str) -> Column:
+    """The name of a key, null if it has none: one map literal, one lookup."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.element_at(table, F.col(key) if isinstance(key, str) else key)
 
 
-def office_group(c) -> Column:
-    """Race label -> office group; unknown -> neutral."""
-    x = _col(c)
-    return (F.when(x == "House", "house")
-            .when(x == "Senate", "senate")
-            .when(x == "Presidential", "president")
-            .otherwise("neutral"))
+def office_label(office: Column | str) -> Column:
+    return looked_up(OFFICE_LABELS, office)
 
 
-def spending_group(c) -> Column:
-    """Leaf name -> colour group of the spending type."""
-    x = _col(c)
-    return (F.when(x == "Inside", "president")
-            .when(x == "Outside Oppose", "rep")
-            .when(x == "Outside Support", "house")
-            .otherwise("neutral"))
+def leaf_label(leaf: Column | str) -> Column:
+    """The long label of a leaf; other names stay as they are."""
+    return F.coalesce(looked_up(LEAF_LABELS, leaf), F.col(leaf) if isinstance(leaf, str) else leaf)
 
 
-def spending_label(c) -> Column:
-    x = _col(c)
-    out = x
-    for short, long in LEAF_LABELS.items():
-        out = F.when(x == short, F.lit(long)).otherwise(out)
-    return out
+def display_category(kind: str, key: Column | str) -> Column:
+    """Category of a party code, race name or leaf name (``kind``)."""
+    return F.coalesce(looked_up(CATEGORIES[kind], key), F.lit(NO_CATEGORY))

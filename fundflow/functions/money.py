@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(15,2)"
 OUTSIDE_MONEY = "decimal(14,2)"
-RATIO = "decimal(10,2)"
+#: Sums over any number of rows, and ratios of them, keep the widest decimal: totals grow with the data.
+WIDE_MONEY = "decimal(38,2)"
 
 
 def _col(c) -> Column:
@@ -26,14 +27,11 @@ def nullif_zero(c) -> Column:
 def ratio(numerator, denominator, scale: int = 2) -> Column:
     """``ROUND(n / NULLIF(d, 0), 2)`` on decimals: half away from zero, null at d = 0.
 
-    The denominator is guarded before dividing, so ANSI mode never raises.
+    The denominator is guarded before dividing, so ANSI mode never raises. Both sides are
+    brought to 24 digits before the point, which leaves the quotient six exact places.
     """
-    return F.round(_col(numerator) / nullif_zero(denominator), scale).cast(RATIO)
-
-
-def to_money(c, dtype: str = MONEY) -> Column:
-    """Cast a sum back to the table width; an overflow becomes null (caught by a rule)."""
-    return F.try_cast(_col(c), dtype) if hasattr(F, "try_cast") else _col(c).try_cast(dtype)
+    n, d = _col(numerator).cast("decimal(26,2)"), nullif_zero(denominator).cast("decimal(26,2)")
+    return F.round(n / d, scale).cast(WIDE_MONEY)
 
 
 def compact_dollars(c) -> Column:
@@ -42,7 +40,7 @@ def compact_dollars(c) -> Column:
     Computed on exact decimals, rounding half up (the display rule for the
     non-negative amounts it is used on).
     """
-    v = _col(c).cast("decimal(20,2)")
+    v = _col(c).cast("decimal(27,2)")  # leaves the scaled value 13 exact places
 
     def scaled(unit: int, places: int) -> Column:
         return F.round(v / F.lit(unit).cast("decimal(10,0)"), places).cast("string")
@@ -51,7 +49,7 @@ def compact_dollars(c) -> Column:
             .when(v >= 10**9, F.concat(F.lit("$"), scaled(10**9, 1), F.lit("B")))
             .when(v >= 10**6, F.concat(F.lit("$"), scaled(10**6, 1), F.lit("M")))
             .when(v >= 10**3, F.concat(F.lit("$"), scaled(10**3, 0), F.lit("K")))
-            .otherwise(F.concat(F.lit("$"), F.round(v, 0).cast("decimal(20,0)").cast("string"))))
+            .otherwise(F.concat(F.lit("$"), F.round(v, 0).cast("decimal(38,0)").cast("string"))))
 
 
 def full_dollars(c) -> Column:

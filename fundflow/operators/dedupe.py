@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 SEQ = "_seq"
 
 
-def _pick(df: DataFrame, key: list[str], by_first: bool, seq: str) -> DataFrame:
+def _pick(df: DataFrame, key: list[str], by_first: bool, seq: str, count: str | None = None) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
     payload = F.struct(*[F.col(c) for c in rest])
     agg = F.min_by(payload, F.col(seq)) if by_first else F.max_by(payload, F.col(seq))
-    return (df.groupBy(*key).agg(agg.alias("__row"))
-            .select(*key, *[F.col("__row")[c].alias(c) for c in rest]))
+    counted = [F.count(F.lit(1)).alias(count)] if count else []
+    return (df.groupBy(*key).agg(agg.alias("__row"), *counted)
+            .select(*key, *[F.col("__row")[c].alias(c) for c in rest], *[count] * bool(count)))
 
 
 def last_wins(df: DataFrame, key: list[str], seq: str = SEQ) -> DataFrame:
@@ -26,9 +27,9 @@ def last_wins(df: DataFrame, key: list[str], seq: str = SEQ) -> DataFrame:
     return _pick(df, key, by_first=False, seq=seq)
 
 
-def first_wins(df: DataFrame, key: list[str], seq: str = SEQ) -> DataFrame:
-    """One row per key: the one that arrived first (smallest ``_seq``)."""
-    return _pick(df, key, by_first=True, seq=seq)
+def first_wins(df: DataFrame, key: list[str], seq: str = SEQ, count: str | None = None) -> DataFrame:
+    """One row per key: the one that arrived first (smallest ``_seq``); ``count`` names a column for the key's rows."""
+    return _pick(df, key, by_first=True, seq=seq, count=count)
 
 
 def falsy(c: Column, kind: str) -> Column:
@@ -38,11 +39,17 @@ def falsy(c: Column, kind: str) -> Column:
     return c.isNull() | (c.try_cast("double") == 0)
 
 
-def key_present(df: DataFrame, text_keys: list[str], number_keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key fields are all truthy, skipped rows)."""
+def key_missing(text_keys: list[str], number_keys: list[str]) -> Column:
+    """Whether some key field of a row is falsy."""
     bad = F.lit(False)
     for k in text_keys:
         bad = bad | falsy(F.col(k), "text")
     for k in number_keys:
         bad = bad | falsy(F.col(k), "number")
+    return F.coalesce(bad, F.lit(True))
+
+
+def key_present(df: DataFrame, text_keys: list[str], number_keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key fields are all truthy, skipped rows)."""
+    bad = key_missing(text_keys, number_keys)
     return df.filter(~bad), df.filter(bad)

@@ -10,9 +10,9 @@ among siblings. Tree shape:
         Others (always present; inside + outside money of everyone under the threshold)
 
 Plan: one pass over the input explodes each row into its leaves (3 for a named
-candidate, in leaf order; one "Others" leaf otherwise), a 3-row race scaffold is
-unioned in, and every inner node's value, Others included, comes from a single
-``rollup`` (Expand + partial/final aggregate).
+candidate, one "Others" leaf otherwise), a 3-row race scaffold is unioned in, and every
+inner node's value, Others included, comes from a single ``rollup`` (Expand +
+partial/final aggregate).
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fundflow.functions.labels import (
-    LEAF_NAMES, OFFICE_LABELS, OFFICE_ORDER, OTHERS, ROOT_LABEL, ROOT_NAME, office_group,
-    office_label, party_group, spending_group, spending_label,
+    LEAF_NAMES, NO_CATEGORY, OFFICE_LABELS, OFFICE_ORDER, OTHERS, ROOT_LABEL, ROOT_NAME, display_category, leaf_label,
+    office_label,
 )
-from fundflow.functions.money import compact_dollars
+from fundflow.functions.money import WIDE_MONEY, compact_dollars
 from fundflow.operators.ordered import rank_within_group
 from fundflow.session import new_location
 
@@ -39,16 +39,15 @@ def race_scaffold(spark: SparkSession) -> DataFrame:
                                  "office string, race string, race_order int")
 
 
-def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  bounded: bool = False) -> DataFrame:
+def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Flat tree over spending rows that carry a ``candidate`` struct (or null).
 
-    ``bounded``: the caller guarantees few input rows (e.g. a top-k feed), so the
-    sibling rank may use one window partition per parent. Otherwise the node rows
-    are staged in the shared folder (so the rank's range sampling and slices do not
-    re-run the query above) and ranked on balanced range slices.
+    The node rows are staged in the shared folder (so the rank's range sampling does not
+    re-run the query above) and siblings are ranked on balanced range slices, whatever the
+    size of the input: a race can have very many candidates. Labels are joined back to the
+    nodes after the rollup, which sums values only.
     """
-    zero = F.lit(0).cast("decimal(15,2)")
+    zero = F.lit(0).cast(WIDE_MONEY)
     base = rows.select(
         "candidate_id",
         F.col("candidate.office").alias("office"),
@@ -61,31 +60,26 @@ def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAU
     outside_total = F.col("v_support") + F.col("v_oppose")
     named = outside_total >= F.lit(threshold)
 
-    # one pass over the input: a named candidate becomes its 3 leaves (in leaf order),
-    # anyone under the threshold becomes one "Others" leaf of its race (summed by the
-    # rollup below); the 3-row race scaffold guarantees every race and Others exists
-    leaf = lambda name, order, v: F.struct(
-        F.col("candidate_id").alias("candidate_id"), F.col("cand_name").alias("cand_name"),
-        F.col("party").alias("party"), F.lit(name).alias("leaf"), F.lit(order).alias("leaf_order"),
-        v.cast("decimal(17,2)").alias("value"))
-    other = F.struct(F.lit(OTHERS).alias("candidate_id"), F.lit(OTHERS).alias("cand_name"),
-                     F.lit(None).cast("string").alias("party"), F.lit(None).cast("string").alias("leaf"),
-                     F.lit(None).cast("int").alias("leaf_order"),
-                     (F.col("v_inside") + outside_total).cast("decimal(17,2)").alias("value"))
-    named_leaves = F.array(*[leaf(n, i, F.col(c)) for i, (n, c) in
-                             enumerate(zip(LEAF_NAMES, ["v_inside", "v_support", "v_oppose"]))])
-    exploded = base.select("office", F.explode(F.when(named, named_leaves).otherwise(F.array(other))).alias("x"))
-    leaves = exploded.select("office", "x.*")
-    scaffold = race_scaffold(spark).select(
-        "office", F.lit(OTHERS).alias("candidate_id"), F.lit(OTHERS).alias("cand_name"),
-        F.lit(None).cast("string").alias("party"), F.lit(None).cast("string").alias("leaf"),
-        F.lit(None).cast("int").alias("leaf_order"), F.lit(0).cast("decimal(17,2)").alias("value"))
-    all_leaves = leaves.unionByName(scaffold)
-    agg = (all_leaves.rollup("office", "candidate_id", "leaf")
-           .agg(F.sum("value").alias("value"),
-                F.first("cand_name", ignorenulls=True).alias("cand_name"),
-                F.first("party", ignorenulls=True).alias("party"),
-                F.grouping_id().alias("gid")))
+    # one pass over the input: a named candidate becomes its 3 leaves, anyone under the
+    # threshold one "Others" leaf of its race (summed by the rollup below); the 3-row race
+    # scaffold guarantees every race and Others exists
+    text = lambda v: F.lit(v).cast("string")
+    leaf = lambda name, v: F.struct(F.col("candidate_id").alias("candidate_id"), text(name).alias("leaf"),
+                                    v.cast(WIDE_MONEY).alias("value"))
+    other = F.struct(F.lit(OTHERS).alias("candidate_id"), text(None).alias("leaf"),
+                     (F.col("v_inside") + outside_total).cast(WIDE_MONEY).alias("value"))
+    named_leaves = F.array(*[leaf(n, F.col(c)) for n, c in zip(LEAF_NAMES, ["v_inside", "v_support", "v_oppose"])])
+    leaves = (base.select("office", F.explode(F.when(named, named_leaves).otherwise(F.array(other))).alias("x"))
+              .select("office", "x.*"))
+    scaffold = race_scaffold(spark).select("office", F.lit(OTHERS).alias("candidate_id"), text(None).alias("leaf"),
+                                           zero.alias("value"))
+    sums = (leaves.unionByName(scaffold).rollup("office", "candidate_id", "leaf")
+            .agg(F.sum("value").alias("value"), F.grouping_id().alias("gid")))
+    labels = (base.where(named).groupBy("office", "candidate_id")
+              .agg(F.max("cand_name").alias("cand_name"), F.max("party").alias("party"))
+              .unionByName(race_scaffold(spark).select("office", F.lit(OTHERS).alias("candidate_id"),
+                                                       F.lit(OTHERS).alias("cand_name"), text(None).alias("party"))))
+    agg = sums.join(labels, ["office", "candidate_id"], "left")
     # gid bits (office, candidate_id, leaf): 0 leaf, 1 candidate/others node, 3 race, 7 root.
     # "Others" is a leaf of its race: keep its node-level row, drop its empty leaf-level twin.
     agg = agg.filter(~((F.col("gid") == 0) & F.col("leaf").isNull()))
@@ -104,29 +98,24 @@ def spending_tree(spark: SparkSession, rows: DataFrame, threshold: float = DEFAU
               .when(level == 2, F.concat_ws(SEP, F.lit(ROOT_NAME), race))
               .otherwise(F.concat_ws(SEP, F.lit(ROOT_NAME), race, F.col("candidate_id"))))
     crumbs = F.concat_ws(" > ", F.lit(ROOT_LABEL), F.when(level >= 1, race),
-                         F.when(level >= 2, F.col("cand_name")), F.when(level >= 3, spending_label("leaf")))
+                         F.when(level >= 2, F.col("cand_name")), F.when(level >= 3, leaf_label("leaf")))
     kind = (F.when(level == 0, "root").when(level == 1, "race")
             .when((level == 2) & is_others, "others").when(level == 2, "candidate").otherwise("spending"))
-    group = (F.when(level == 1, office_group(race))
-             .when((level == 2) & ~is_others, party_group("party"))
-             .when(level == 3, spending_group("leaf"))
-             .otherwise(F.lit("neutral")))
+    group = (F.when(level == 1, display_category("race", race))
+             .when((level == 2) & ~is_others, display_category("party", "party"))
+             .when(level == 3, display_category("leaf", "leaf"))
+             .otherwise(F.lit(NO_CATEGORY)))
     nodes = agg.select(
         level.alias("level"), kind.alias("kind"), path.alias("path"), parent.alias("parent"),
         node_name.alias("name"),
-        F.when(level == 3, spending_label("leaf")).otherwise(node_name).alias("label"),
+        F.when(level == 3, leaf_label("leaf")).otherwise(node_name).alias("label"),
         F.when((level == 2) & ~is_others, F.col("party")).alias("party"),
         group.alias("color_group"),
-        F.col("value").cast("decimal(17,2)").alias("value"),
+        F.col("value").cast(WIDE_MONEY).alias("value"),
         compact_dollars(F.col("value")).alias("value_text"),
         crumbs.alias("breadcrumb"))
-    # siblings by summed value, largest first; ties by name then path for a total order.
+    # siblings by summed value, largest first; ties by name then path for a total order
     order = [F.col("value").desc(), F.col("name").asc(), F.col("path").asc()]
-    if bounded:
-        w = Window.partitionBy("parent").orderBy(*order)
-        return nodes.withColumn("sibling_rank", F.row_number().over(w).cast("int"))
-    # unbounded feed: a race can have very many candidate children, so rank on
-    # balanced range slices instead of one window partition per parent
-    path = new_location(spark, "staging/tree_nodes")
-    nodes.write.mode("errorifexists").parquet(path)
-    return rank_within_group(spark.read.parquet(path), ["parent"], order, name="sibling_rank")
+    stored = new_location(spark, "staging/tree_nodes")
+    nodes.write.mode("errorifexists").parquet(stored)
+    return rank_within_group(spark.read.schema(nodes.schema).parquet(stored), ["parent"], order, name="sibling_rank")

@@ -6,7 +6,8 @@ The order of steps differs by entity, as in the source system:
 * inside totals: drop rows without id/cycle, sum amounts per key, then validate
   (amounts that are not numbers are quarantined before the sum);
 * schedule E totals: drop rows without id/cycle/indicator, first-wins by the *raw*
-  key (an invalid first row hides later valid ones), then validate.
+  key (an invalid first row hides later valid ones), then validate, then last-wins by
+  the clean key (as the store's upsert would).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fundflow.functions.text import strip_ws
@@ -31,7 +32,7 @@ class Transformed:
     rows: DataFrame          # clean rows, one per key, table columns (+ _seq)
     quarantine: DataFrame    # rows that broke a rule, with _errors
     skipped: DataFrame       # rows dropped for a missing key
-    duplicates: DataFrame    # valid rows replaced by another row of the same key
+    tally: DataFrame         # one row: kept, invalid, skipped, duplicates, from one pass over the feed
     checks: tuple = ()       # Observations with an "invalid" count, filled when ``rows`` runs
 
     def invalid_count(self) -> int:
@@ -43,17 +44,24 @@ class Transformed:
         return sum(int(o.get["invalid"]) for o in self.checks)
 
     def report(self) -> DataFrame:
-        """(entity, metric, rows) in one plan; no driver round trips."""
-        def metric(df: DataFrame, name: str) -> DataFrame:
-            return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows")) \
-                     .select(F.lit(self.entity).alias("entity"), F.lit(name).alias("metric"), "rows")
-        return (metric(self.rows, "kept")
-                .unionByName(metric(self.quarantine, "invalid"))
-                .unionByName(metric(self.skipped, "skipped"))
-                .unionByName(metric(self.duplicates, "duplicates")))
+        """(entity, metric, rows): the tally, one row for each metric."""
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("rows")) for m in METRICS])
+        return self.tally.select(F.lit(self.entity).alias("entity"), F.explode(pairs).alias("m")).select("entity", "m.*")
 
 
-def _empty_like(df: DataFrame) -> DataFrame:
+METRICS = ("kept", "invalid", "skipped", "duplicates")
+
+
+def _tally(per_key: DataFrame) -> DataFrame:
+    """Sum a table of keys with ``rows`` (raw), ``invalid`` and ``skipped`` rows and whether one is ``kept``."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = per_key.agg(total(F.col("kept").cast("int")).alias("kept"), total("invalid").alias("invalid"),
+                       total("skipped").alias("skipped"), total("rows").alias("rows"))
+    return sums.select("kept", "invalid", "skipped",
+                       (F.col("rows") - F.col("kept") - F.col("invalid") - F.col("skipped")).alias("duplicates"))
+
+
+def _none(df: DataFrame) -> DataFrame:
     """An empty frame with ``df``'s columns (a step that has nothing to report)."""
     return df.sparkSession.createDataFrame([], df.schema)
 
@@ -62,10 +70,11 @@ def transform_keyed_last_wins(spec: EntitySpec, raw_df: DataFrame) -> Transforme
     seen = Observation(f"validate_{spec.name}_{uuid.uuid4().hex[:12]}")
     checked = validate(raw_df, spec, observation=seen)
     good, bad = split(checked)
-    rows = dedupe.last_wins(good, list(spec.key))
-    dups = good.join(rows.select(*spec.key, F.col(SEQ).alias("__kept")), list(spec.key)) \
-               .filter(F.col(SEQ) != F.col("__kept")).drop("__kept")
-    return Transformed(spec.name, rows, bad, _empty_like(raw_df), dups, (seen,))
+    ok = F.size(ERRORS) == 0
+    per_key = (validate(raw_df, spec).groupBy(*spec.key)
+               .agg(F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("invalid"), (F.count_if(ok) > 0).alias("kept"))
+               .withColumn("skipped", F.lit(0)))
+    return Transformed(spec.name, dedupe.last_wins(good, list(spec.key)), bad, _none(raw_df), _tally(per_key), (seen,))
 
 
 def transform_candidates(raw_df: DataFrame) -> Transformed:
@@ -76,55 +85,76 @@ def transform_committees(raw_df: DataFrame) -> Transformed:
     return transform_keyed_last_wins(COMMITTEES, raw_df)
 
 
+def _rule_names(rules) -> Column:
+    return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]), lambda x: x.isNotNull())
+
+
 def transform_inside(raw_df: DataFrame) -> Transformed:
     """Accumulate every raw row of a (candidate, cycle): null amounts count as 0.
 
     Key rules hold for a whole group, so they are checked per raw row *before*
     the sum, and only the amount width after it. The sum's output keeps the hash
     partitioning on (candidate_id, cycle), so later aggregates and joins on that
-    key (the spending summary) add no exchange.
+    key (the spending summary) add no exchange. In the tally, rows that are summed
+    into a key count as duplicates of the one row that is kept.
     """
-    kept, skipped = dedupe.key_present(raw_df, ["candidate_id"], ["cycle"])
-    amounts = ["receipts", "disbursements"]
-    typed = kept.select(
-        F.col(SEQ),
-        strip_ws(F.col("candidate_id").cast("string")).alias("candidate_id"),
-        F.col("cycle").try_cast("int").alias("cycle"),
-        *[F.col(a).alias(f"__raw_{a}") for a in amounts],
-        *[F.col(a).try_cast("decimal(38,2)").alias(a) for a in amounts])
-    row_rules = [("candidate_id_required", F.col("candidate_id").isNull() | (F.col("candidate_id") == "")),
+    amounts, key = ["receipts", "disbursements"], ["candidate_id", "cycle"]
+
+    def typed(df: DataFrame, *more: Column) -> DataFrame:
+        cast = df.select(
+            F.col(SEQ), *more,
+            strip_ws(F.col("candidate_id").cast("string")).alias("candidate_id"),
+            F.col("cycle").try_cast("int").alias("cycle"),
+            *[F.col(a).alias(f"__raw_{a}") for a in amounts],
+            *[F.col(a).try_cast("decimal(38,2)").alias(a) for a in amounts])
+        rules = [("candidate_id_required", F.col("candidate_id").isNull() | (F.col("candidate_id") == "")),
                  ("cycle_required", F.col("cycle").isNull())]
-    row_rules += [(f"{a}_not_numeric", F.col(f"__raw_{a}").isNotNull() & F.col(a).isNull()) for a in amounts]
+        rules += [(f"{a}_not_numeric", F.col(f"__raw_{a}").isNotNull() & F.col(a).isNull()) for a in amounts]
+        return cast.withColumn(ERRORS, _rule_names(rules))
+
+    too_wide = [(f"{a}_overflow", F.col(a).try_cast(INSIDE_TOTALS_MONEY).isNull()) for a in amounts]
+    sums = [F.sum(F.coalesce(F.col(a), F.lit(0))).alias(a) for a in amounts]
+
+    kept, skipped = dedupe.key_present(raw_df, ["candidate_id"], ["cycle"])
     row_check = Observation(f"inside_rows_{uuid.uuid4().hex[:12]}")
-    flagged = count_invalid(typed.withColumn(ERRORS, F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in row_rules]),
-                                                              lambda x: x.isNotNull())), row_check)
-    good_rows, bad_rows = split(flagged)
-    summed = (good_rows.groupBy("candidate_id", "cycle")
-              .agg(F.min(SEQ).alias(SEQ),
-                   *[F.sum(F.coalesce(F.col(a), F.lit(0))).alias(a) for a in amounts]))
-    width = [(f"{a}_overflow", F.col(a).try_cast(INSIDE_TOTALS_MONEY).isNull()) for a in amounts]
-    checked = summed.select(
-        SEQ, "candidate_id", "cycle",
-        *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts],
-        F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in width]), lambda x: x.isNotNull()).alias(ERRORS))
+    good_rows, bad_rows = split(count_invalid(typed(kept), row_check))
+    summed = good_rows.groupBy(*key).agg(F.min(SEQ).alias(SEQ), *sums)
+    checked = summed.select(SEQ, *key, *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts],
+                            _rule_names(too_wide).alias(ERRORS))
     sum_check = Observation(f"inside_sums_{uuid.uuid4().hex[:12]}")
     good, bad = split(count_invalid(checked, sum_check))
-    bad_rows = bad_rows.select(SEQ, "candidate_id", "cycle",
-                               *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts], ERRORS)
-    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_rows), skipped, _empty_like(good_rows),
-                       (row_check, sum_check))
+    bad_rows = bad_rows.select(SEQ, *key, *[F.col(a).try_cast(INSIDE_TOTALS_MONEY).alias(a) for a in amounts], ERRORS)
+
+    missing = dedupe.key_missing(["candidate_id"], ["cycle"])
+    flags = typed(raw_df, missing.alias("__skip")).withColumn("__ok", ~F.col("__skip") & (F.size(ERRORS) == 0))
+    per_key = (flags.groupBy(*key)
+               .agg(F.count(F.lit(1)).alias("rows"), F.count_if("__skip").alias("skipped"),
+                    F.count_if(~F.col("__skip") & ~F.col("__ok")).alias("bad_rows"), F.count_if("__ok").alias("ok_rows"),
+                    *[F.sum(F.when(F.col("__ok"), F.coalesce(F.col(a), F.lit(0)))).alias(a) for a in amounts])
+               .withColumn("fits", F.size(_rule_names(too_wide)) == 0)
+               .select("rows", "skipped", (F.col("fits") & (F.col("ok_rows") > 0)).alias("kept"),
+                       (F.col("bad_rows") + (~F.col("fits") & (F.col("ok_rows") > 0)).cast("int")).alias("invalid")))
+    return Transformed(INSIDE_TOTALS.name, good, bad.unionByName(bad_rows), skipped, _tally(per_key), (row_check, sum_check))
 
 
 def transform_outside(raw_df: DataFrame) -> Transformed:
-    """First row of each raw (candidate, cycle, indicator) wins, before validation."""
-    kept, skipped = dedupe.key_present(raw_df, ["candidate_id", "support_oppose_indicator"], ["cycle"])
+    """First row of each raw (candidate, cycle, indicator) wins, then validation, then the
+    last row of each clean key: raw keys that differ only in case are one stored key."""
     raw_key = ["candidate_id", "cycle", "support_oppose_indicator"]
-    first = dedupe.first_wins(kept, raw_key)
-    dups = kept.join(first.select(*raw_key, F.col(SEQ).alias("__kept")), raw_key) \
-               .filter(F.col(SEQ) != F.col("__kept")).drop("__kept")
+    kept, skipped = dedupe.key_present(raw_df, ["candidate_id", "support_oppose_indicator"], ["cycle"])
     seen = Observation(f"validate_outside_{uuid.uuid4().hex[:12]}")
-    good, bad = split(validate(first, OUTSIDE_TOTALS, observation=seen))
-    return Transformed(OUTSIDE_TOTALS.name, good, bad, skipped, dups, (seen,))
+    good, bad = split(validate(dedupe.first_wins(kept, raw_key), OUTSIDE_TOTALS, observation=seen))
+    rows = dedupe.last_wins(good, list(OUTSIDE_TOTALS.key))
+
+    missing = dedupe.key_missing(["candidate_id", "support_oppose_indicator"], ["cycle"])
+    tagged = raw_df.withColumn("__skip", missing)
+    firsts = dedupe.first_wins(tagged, ["__skip", *raw_key], count="__rows")
+    flagged = validate(firsts, OUTSIDE_TOTALS, keep=(SEQ, "__skip", "__rows"))
+    ok = ~F.col("__skip") & (F.size(ERRORS) == 0)
+    per_key = (flagged.groupBy(*OUTSIDE_TOTALS.key)
+               .agg(F.sum("__rows").alias("rows"), F.sum(F.when(F.col("__skip"), F.col("__rows")).otherwise(0)).alias("skipped"),
+                    F.count_if(~F.col("__skip") & ~ok).alias("invalid"), (F.count_if(ok) > 0).alias("kept")))
+    return Transformed(OUTSIDE_TOTALS.name, rows, bad, skipped, _tally(per_key), (seen,))
 
 
 TRANSFORMS = {

@@ -6,8 +6,10 @@ third of all rows would then be sorted by a single core. Two ways around it:
 * ``previous_in_group`` (arrival order is an integer): window per (group, fixed
   block of the order), then repair block boundaries from one row per block;
 * ``rank_within_group`` (any order): range-partition on (group, order) so Spark's
-  sampled bounds cut a hot group into contiguous, evenly sized slices, number rows
-  inside each slice and add the counts of the group's earlier slices.
+  sampled bounds cut a hot group into contiguous, evenly sized slices, store the rows
+  with their slice number, number rows inside each slice and add the counts of the
+  group's earlier slices. The slices are read from the stored rows by both steps: a
+  range partitioning that is planned twice may sample different bounds.
 """
 
 from __future__ import annotations
@@ -16,13 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fundflow.session import new_location
+
 SLICE = "__slice"
 
 
 def _slices(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> DataFrame:
+    """``df`` with the number of its range slice, stored once in the shared folder."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *sort_cols).withColumn(SLICE, F.spark_partition_id())
+    sliced = df.repartitionByRange(n, *sort_cols).withColumn(SLICE, F.spark_partition_id())
+    path = new_location(spark, "staging/slices")
+    sliced.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(sliced.schema).parquet(path)
 
 
 def previous_in_group(df: DataFrame, group: list[str], seq: str, value: Column,
@@ -55,7 +63,8 @@ def rank_within_group(df: DataFrame, group: list[str], order: list[Column],
                       partitions: int | None = None, name: str = "rank") -> DataFrame:
     """``row_number()`` within ``group`` by ``order`` without sending a group to one task.
 
-    Local row numbers inside each (slice, group), plus the number of rows the same
+    Ties in ``order`` are numbered in no fixed order, as by ``row_number()``; equal rows
+    stay in one slice. Local row numbers inside each (slice, group), plus the number of rows the same
     group has in earlier slices. The per-(slice, group) counts are at most
     slices + groups rows and are joined back on (slice, group). Groups are keyed by
     a non-null encoding, so a null group value is a group like any other.

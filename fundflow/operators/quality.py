@@ -71,10 +71,6 @@ class EntitySpec:
     audit: bool = True
     extra: dict = field(default_factory=dict)
 
-    @property
-    def id_field(self) -> str:
-        return self.key[0]
-
     @property
     def value_columns(self) -> tuple[str, ...]:
         return tuple(c for c in self.columns if c not in self.key)

@@ -56,7 +56,7 @@ GROUP BY candidate_id, cycle
 view("outside_raw", [], f"""
 SELECT CAST(o.o_custkey AS VARCHAR) AS candidate_id,
   {CYCLE.format(t='l.l_shipdate')} AS cycle,
-  CASE l.l_returnflag WHEN 'A' THEN 's' WHEN 'R' THEN 'O' END AS support_oppose_indicator,
+  CASE l.l_returnflag WHEN 'A' THEN (CASE WHEN l.l_linenumber % 3 = 0 THEN 'S' ELSE 's' END) WHEN 'R' THEN 'O' END AS support_oppose_indicator,
   CAST(l.l_extendedprice AS DECIMAL(14,2)) AS total,
   l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -73,9 +73,14 @@ SELECT * FROM (
 WHERE first_rank = 1
 """)
 
+# the store keeps one row per clean key: of raw keys that differ in case, the one that came last
 view("outside_t", ["outside_first"], """
-SELECT candidate_id, cycle, UPPER(support_oppose_indicator) AS support_oppose_indicator, total
-FROM outside_first WHERE UPPER(support_oppose_indicator) IN ('S', 'O')
+SELECT candidate_id, cycle, indicator AS support_oppose_indicator, total FROM (
+  SELECT *, UPPER(support_oppose_indicator) AS indicator, ROW_NUMBER() OVER (
+    PARTITION BY candidate_id, cycle, UPPER(support_oppose_indicator)
+    ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS last_rank
+  FROM outside_first WHERE UPPER(support_oppose_indicator) IN ('S', 'O'))
+WHERE last_rank = 1
 """)
 
 
@@ -182,6 +187,10 @@ SUMMARY_OUT = ("candidate_id, cycle, CAST(inside_receipts AS DOUBLE) AS inside_r
                "CAST(inside_disbursements AS DOUBLE) AS inside_disbursements, "
                "CAST(outside_support AS DOUBLE) AS outside_support, "
                "CAST(outside_oppose AS DOUBLE) AS outside_oppose, influence_ratio, vulnerability_factor")
+ELECTION_OUT = ("cycle, candidate_count, CAST(total_inside_receipts AS DOUBLE) AS total_inside_receipts, "
+                "CAST(total_inside_disbursements AS DOUBLE) AS total_inside_disbursements, "
+                "CAST(total_outside_support AS DOUBLE) AS total_outside_support, "
+                "CAST(total_outside_oppose AS DOUBLE) AS total_outside_oppose, global_influence_ratio")
 CANDIDATE_INFO_OUT = ("candidate_name, candidate_state, candidate_office, candidate_district, "
                       "candidate_party, candidate_incumbent_challenge")
 

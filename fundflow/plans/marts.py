@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundflow.functions.money import MONEY, ratio, zero_if_null
+from fundflow.functions.money import WIDE_MONEY, ratio, zero_if_null
 
 KEY = ["candidate_id", "cycle"]
 SUMMARY_MONEY = ["inside_receipts", "inside_disbursements", "outside_support", "outside_oppose"]
@@ -41,7 +41,7 @@ def all_pairs(inside: DataFrame, outside: DataFrame) -> DataFrame:
 
 
 def _finish(df: DataFrame) -> DataFrame:
-    money = {c: zero_if_null(c).cast(MONEY) for c in SUMMARY_MONEY}
+    money = {c: zero_if_null(c).cast(WIDE_MONEY) for c in SUMMARY_MONEY}
     support, oppose, disb = money["outside_support"], money["outside_oppose"], money["inside_disbursements"]
     return df.select(*KEY, *[money[c].alias(c) for c in SUMMARY_MONEY],
                      ratio(support + oppose, disb).alias("influence_ratio"),
@@ -67,7 +67,7 @@ def election_spending_summary(summary: DataFrame) -> DataFrame:
     """Per-cycle totals over the candidate summary.
 
     ``candidate_count`` is COUNT(DISTINCT candidate_id); the summary is unique on
-    (candidate_id, cycle) (asserted by ``plans.refresh.assert_unique``), so a plain
+    (candidate_id, cycle) (checked when ``plans.refresh`` writes it), so a plain
     count per cycle is the same number without the distinct-aggregate expansion.
     The ratio is a ratio of sums, never an average of ratios.
     """
@@ -75,10 +75,10 @@ def election_spending_summary(summary: DataFrame) -> DataFrame:
     sums = {c: F.sum(c) for c in SUMMARY_MONEY}
     return (s.groupBy("cycle").agg(
         F.count("candidate_id").cast("int").alias("candidate_count"),
-        sums["inside_receipts"].cast(MONEY).alias("total_inside_receipts"),
-        sums["inside_disbursements"].cast(MONEY).alias("total_inside_disbursements"),
-        sums["outside_support"].cast(MONEY).alias("total_outside_support"),
-        sums["outside_oppose"].cast(MONEY).alias("total_outside_oppose"),
+        sums["inside_receipts"].cast(WIDE_MONEY).alias("total_inside_receipts"),
+        sums["inside_disbursements"].cast(WIDE_MONEY).alias("total_inside_disbursements"),
+        sums["outside_support"].cast(WIDE_MONEY).alias("total_outside_support"),
+        sums["outside_oppose"].cast(WIDE_MONEY).alias("total_outside_oppose"),
         ratio(F.sum(F.col("outside_support") + F.col("outside_oppose")),
               F.sum("inside_disbursements")).alias("global_influence_ratio")))
 

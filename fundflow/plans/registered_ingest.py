@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.catalog import register
-from fundflow.functions.text import person_name
+from fundflow.functions.text import TITLE_SUFFIXES, UPPER_SUFFIXES, person_name
 from fundflow.operators import merge as M
 from fundflow.operators.ingest import transform_candidates, transform_committees, transform_outside
 from fundflow.operators.quality import ERRORS, SEQ, fk_split, quarantine_report, validate
@@ -39,14 +39,12 @@ def outside_first_wins(spark: SparkSession, sf_dir: str):
 
 
 @register("outside_duplicates", with_views(
-    "SELECT CAST(COUNT(*) - COUNT(DISTINCT (candidate_id, cycle, support_oppose_indicator)) AS BIGINT) "
-    "AS duplicates FROM outside_raw "
-    "WHERE COALESCE(candidate_id, '') <> '' AND COALESCE(cycle, 0) <> 0 "
-    "AND COALESCE(support_oppose_indicator, '') <> ''", "outside_raw") + "")
+    "SELECT CAST((SELECT COUNT(*) FROM outside_raw WHERE COALESCE(candidate_id, '') <> '' AND COALESCE(cycle, 0) <> 0 "
+    "AND COALESCE(support_oppose_indicator, '') <> '') - (SELECT COUNT(*) FROM outside_t) AS BIGINT) AS duplicates",
+    "outside_raw", "outside_t"))
 def outside_duplicates(spark: SparkSession, sf_dir: str):
-    """Rows dropped by first-wins (all kept raw rows minus one per raw key)."""
-    t = transform_outside(FX.outside_raw(spark, sf_dir))
-    return t.duplicates.agg(F.count(F.lit(1)).cast("bigint").alias("duplicates"))
+    """Rows dropped by first-wins on the raw key and last-wins on the clean key."""
+    return transform_outside(FX.outside_raw(spark, sf_dir)).tally.select("duplicates")
 
 
 # ---------------------------------------------------------------- candidates
@@ -71,9 +69,17 @@ def candidates_last_wins(spark: SparkSession, sf_dir: str):
     "UNION ALL SELECT 'candidates', 'invalid', CAST(COUNT(*) FILTER (WHERE errors <> '') AS BIGINT) FROM candidates_checked "
     "UNION ALL SELECT 'candidates', 'skipped', CAST(0 AS BIGINT) "
     "UNION ALL SELECT 'candidates', 'duplicates', CAST(COUNT(*) FILTER (WHERE errors = '') AS BIGINT) - "
-    "(SELECT COUNT(*) FROM candidates_last) FROM candidates_checked", "candidates_last", "candidates_checked"))
+    "(SELECT COUNT(*) FROM candidates_last) FROM candidates_checked "
+    "UNION ALL SELECT 'schedule_e_totals_by_candidate', 'kept', COUNT(*) FROM outside_t "
+    "UNION ALL SELECT 'schedule_e_totals_by_candidate', 'invalid', COUNT(*) FILTER (WHERE UPPER(support_oppose_indicator) "
+    "NOT IN ('S', 'O')) FROM outside_first "
+    "UNION ALL SELECT 'schedule_e_totals_by_candidate', 'skipped', COUNT(*) FILTER (WHERE support_oppose_indicator IS NULL) FROM outside_raw "
+    "UNION ALL SELECT 'schedule_e_totals_by_candidate', 'duplicates', (SELECT COUNT(*) FROM outside_raw "
+    "WHERE support_oppose_indicator IS NOT NULL) - (SELECT COUNT(*) FROM outside_t)",
+    "candidates_last", "candidates_checked", "outside_t"))
 def quality_report(spark: SparkSession, sf_dir: str):
-    return transform_candidates(FX.candidates_raw(spark, sf_dir)).report()
+    return (transform_candidates(FX.candidates_raw(spark, sf_dir)).report()
+            .unionByName(transform_outside(FX.outside_raw(spark, sf_dir)).report()))
 
 
 @register("quarantine_rules", with_views(
@@ -94,8 +100,8 @@ def committees_clean(spark: SparkSession, sf_dir: str):
 
 
 # ---------------------------------------------------------------- person names
-_UPPER = "'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'PHD', 'MD'"
-_TITLE = "'JR', 'SR', 'ESQ'"
+_UPPER = ", ".join(f"'{s}'" for s in UPPER_SUFFIXES)
+_TITLE = ", ".join(f"'{s}'" for s in TITLE_SUFFIXES)
 _NORM = "regexp_replace(upper(w), '\\.+$', '')"
 PERSON_NAMES_SQL = f"""
 WITH p AS (

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from fundflow.catalog import register
 from fundflow.functions.dates import date_window
-from fundflow.oracle.bindings import with_views
+from fundflow.oracle.bindings import ELECTION_OUT, with_views
 from fundflow.plans import jobs, tables
 from fundflow.plans.refresh import ELECTION_TABLE, SUMMARY_TABLE, TableStore, key_report, refresh_spending
 from fundflow.session import new_location
@@ -83,12 +83,6 @@ def date_window_q(spark: SparkSession, sf_dir: str):
 
 
 # ---------------------------------------------------------------- refresh chain
-ELECTION_OUT = ("cycle, candidate_count, CAST(total_inside_receipts AS DOUBLE) AS total_inside_receipts, "
-                "CAST(total_inside_disbursements AS DOUBLE) AS total_inside_disbursements, "
-                "CAST(total_outside_support AS DOUBLE) AS total_outside_support, "
-                "CAST(total_outside_oppose AS DOUBLE) AS total_outside_oppose, global_influence_ratio")
-
-
 def _fresh_store(spark: SparkSession, tag: str) -> TableStore:
     """An empty store per call: a new folder and a new catalog database, so calling a
     query twice in one session gives the same result."""

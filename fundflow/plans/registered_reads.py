@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fundflow.catalog import register
 from fundflow.functions.money import compact_dollars
 from fundflow.oracle.bindings import (
-    CANDIDATE_INFO_OUT, SUMMARY_OUT, compact_sql, dollars_sql, with_views,
+    CANDIDATE_INFO_OUT, ELECTION_OUT, SUMMARY_OUT, compact_sql, dollars_sql, with_views,
 )
 from fundflow.plans import marts, queries as Q, tables
 from fundflow.sources.fixtures import RUN_TS
@@ -54,11 +54,11 @@ def all_pairs(spark: SparkSession, sf_dir: str):
     "AS office_group, CASE WHEN party IN ('DEM', 'DFL') THEN 'dem' WHEN party = 'REP' THEN 'rep' "
     "ELSE 'neutral' END AS party_group FROM candidates", "candidates"))
 def node_labels(spark: SparkSession, sf_dir: str):
-    from fundflow.functions.labels import office_group, office_label, party_group
+    from fundflow.functions.labels import display_category, office_label
     c = tables.candidates(spark, sf_dir)
     race = office_label("office")
-    return c.select("candidate_id", race.alias("race"), office_group(race).alias("office_group"),
-                    party_group("party").alias("party_group"))
+    return c.select("candidate_id", race.alias("race"), display_category("race", race).alias("office_group"),
+                    display_category("party", "party").alias("party_group"))
 
 
 # ---------------------------------------------------------------- candidates
@@ -169,12 +169,6 @@ def top_outside_spenders(spark: SparkSession, sf_dir: str):
 
 
 # ---------------------------------------------------------------- elections
-ELECTION_OUT = ("cycle, candidate_count, CAST(total_inside_receipts AS DOUBLE) AS total_inside_receipts, "
-                "CAST(total_inside_disbursements AS DOUBLE) AS total_inside_disbursements, "
-                "CAST(total_outside_support AS DOUBLE) AS total_outside_support, "
-                "CAST(total_outside_oppose AS DOUBLE) AS total_outside_oppose, global_influence_ratio")
-
-
 @register("election_list", with_views(f"SELECT {ELECTION_OUT} FROM election ORDER BY cycle DESC", "election"))
 def election_list(spark: SparkSession, sf_dir: str):
     return tables.as_output(Q.election_list(tables.election(spark, sf_dir)))

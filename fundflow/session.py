@@ -25,12 +25,11 @@ BASE_CONF = {
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
     """Settings for a large cluster, sized from the bytes a job reads.
 
-    Shuffle partitions start at input / 256 MB, capped at 65 536 (shuffles carry far
-    less than the input after pruning and partial aggregation; AQE merges small
-    partitions toward the advisory size and splits skewed join partitions), scans cut
-    files into 256 MB splits, and broadcast joins keep the measured-size threshold.
+    Shuffle partitions start at input / 256 MB (AQE merges small partitions toward the
+    advisory size and splits skewed join partitions), scans cut files into 256 MB
+    splits, and broadcast joins keep the measured-size threshold.
     """
-    shuffle = max(200, min(65536, int(input_bytes // target_partition_bytes)))
+    shuffle = max(200, int(input_bytes // target_partition_bytes))
     size = str(target_partition_bytes)
     return {
         "spark.sql.shuffle.partitions": str(shuffle),
@@ -68,14 +67,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for staged tables and checkpoints.
 
     Read from ``spark.checkpoint.dir`` as the session names it (a static setting:
-    it can only come from the launcher / spark-defaults). Only when the session
-    leaves it unset (local runs, tests) is a private scratch folder created once per
-    application and registered with ``SparkContext.setCheckpointDir``, so lineage
-    cuts still have somewhere to go.
+    it can only come from the launcher / spark-defaults). Only when a local master
+    leaves it unset (tests) is a private scratch folder created once per application
+    and registered with ``SparkContext.setCheckpointDir``, so lineage cuts still have
+    somewhere to go; on a cluster an unset folder is an error, since the driver's
+    disk is not the executors'.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = _FALLBACK_DIRS.get(sc.applicationId)
         if path is None:
             path = tempfile.mkdtemp(prefix="fundflow-")

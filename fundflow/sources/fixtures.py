@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.functions.dates import cycle_of
+from fundflow.operators.specs import COMMITTEE_TYPE_CODES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -20,7 +21,6 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 SEGMENT_OFFICE = {"HOUSEHOLD": "H", "BUILDING": "S", "AUTOMOBILE": "P"}
 PARTY_BY_MOD4 = {0: "DEM", 1: "REP", 2: "DFL"}
 CHALLENGE_BY_MOD3 = {0: "I", 1: "C"}
-COMMITTEE_TYPE_CODES = "CDEHINOPQSUVWXYZ"
 # Suffix appended to a synthesised person name, by part size modulo 5.
 NAME_SUFFIXES = [", JR.", " III", " PhD", " V", ""]
 
@@ -72,7 +72,7 @@ def committees_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("s_suppkey")
-    code = F.substring(F.lit(COMMITTEE_TYPE_CODES), (k % 16).cast("int") + 1, 1)
+    code = F.element_at(F.array(*[F.lit(c) for c in COMMITTEE_TYPE_CODES]), (k % len(COMMITTEE_TYPE_CODES)).cast("int") + 1)
     negative = F.col("s_acctbal") < 0
     return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
         F.concat(F.lit("C"), F.lpad(k.cast("string"), 8, "0")).alias("committee_id"),
@@ -106,14 +106,15 @@ OUTSIDE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_exte
 def outside_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw independent-expenditure totals, one row per line item.
 
-    The five order columns together are unique and give the arrival order.
+    The five order columns together are unique and give the arrival order. Support comes
+    in either case, so a clean key can have two raw keys.
     """
     li = table(spark, sf_dir, "lineitem").select(*OUTSIDE_ORDER, "l_returnflag", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .select(F.col("o_custkey").cast("string").alias("candidate_id"),
                     cycle_of("l_shipdate").alias("cycle"),
-                    F.when(F.col("l_returnflag") == "A", "s")
+                    F.when(F.col("l_returnflag") == "A", F.when(F.col("l_linenumber") % 3 == 0, "S").otherwise("s"))
                      .when(F.col("l_returnflag") == "R", "O")
                      .alias("support_oppose_indicator"),
                     F.col("l_extendedprice").cast("decimal(14,2)").alias("total"),

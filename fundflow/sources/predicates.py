@@ -19,11 +19,16 @@ def source_filter(df: DataFrame, offices=DEFAULT_OFFICES, cycle: int | None = No
     """``office IN offices``, cycle membership/equality, and any other named equalities.
 
     ``cycle`` tests an array column by containment and a scalar column by equality.
-    Arguments that are None add no predicate.
+    Arguments that are None add no predicate; one that names a column the feed lacks
+    is an error, never an unfiltered result.
     """
-    if offices is not None and "office" in df.columns:
+    wanted = {"office": offices, cycle_column: cycle, **equals}
+    missing = [c for c, v in wanted.items() if v is not None and c not in df.columns]
+    if missing:
+        raise ValueError(f"the feed has no column {missing} to filter by; it has {df.columns}")
+    if offices is not None:
         df = df.filter(F.col("office").isin(list(offices)))
-    if cycle is not None and cycle_column in df.columns:
+    if cycle is not None:
         dtype = df.schema[cycle_column].dataType.typeName()
         df = df.filter(F.array_contains(cycle_column, cycle) if dtype == "array"
                        else F.col(cycle_column) == cycle)

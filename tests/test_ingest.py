@@ -37,7 +37,7 @@ def test_last_wins_after_validation(spark):
                                 "candidate_id string, name string, party string, _seq long")
     t = transform_candidates(raw)
     assert rows(t.rows, "candidate_id", "party") == [("C1", "REP")]
-    assert t.duplicates.count() == 1
+    assert t.tally.first().duplicates == 1
 
 
 def test_committee_rules(spark):
@@ -91,10 +91,10 @@ def test_outside_first_wins_before_validation(spark):
         "candidate_id string, cycle int, support_oppose_indicator string, total decimal(14,2), _seq long")
     t = transform_outside(raw)
     assert sorted(rows(t.rows, "candidate_id", "support_oppose_indicator", "total")) == \
-        [("C2", "S", D("10.00")), ("C2", "S", D("12.00"))]
+        [("C2", "S", D("12.00"))]                                            # of its raw keys the last
     assert rows(t.quarantine, "candidate_id", "_errors") == [("C1", ["indicator_domain"])]
     assert t.skipped.count() == 1
-    assert t.duplicates.count() == 2
+    assert t.tally.first().duplicates == 3
 
 
 def test_fk_split(spark):
@@ -132,3 +132,23 @@ def test_committee_lists_default_to_empty_and_strip(spark):
     r = t.rows.first()
     assert (r.name, r.candidate_ids, r.sponsor_candidate_ids, r.cycles) == ("ACME", ["P1", "P2"], [], [2022])
     assert rows(t.quarantine, "committee_id", "_errors") == [("C2", ["name_required"])]
+
+
+def test_case_twins_of_a_key_are_not_summed(spark):
+    raw = spark.createDataFrame([("C1", 2024, "s", D("10"), 1), ("C1", 2024, "S", D("12"), 2), ("C1", 2024, "s", D("99"), 3),
+                                 ("C1", 2024, "x", D("1"), 4), (None, 2024, "S", D("1"), 5), ("", 2024, "S", D("1"), 6)],
+                                "candidate_id string, cycle int, support_oppose_indicator string, total decimal(14,2), _seq long")
+    t = transform_outside(raw)
+    assert rows(t.rows, "candidate_id", "support_oppose_indicator", "total") == [("C1", "S", D("12.00"))]
+    assert tuple(t.tally.first()) == (1, 1, 2, 2)  # kept, invalid, skipped, duplicates
+    assert {r.metric: r["rows"] for r in t.report().collect()} == {"kept": 1, "invalid": 1, "skipped": 2, "duplicates": 2}
+
+
+def test_tally_of_sums_and_of_an_empty_feed(spark):
+    schema = "candidate_id string, cycle int, receipts string, disbursements string, _seq long"
+    raw = spark.createDataFrame([("C1", 2024, "1", None, 1), ("C1", 2024, "2", "1", 2), (" ", 2024, "1", "1", 3),
+                                 ("C2", 2024, "abc", "1", 4), ("C3", 0, "1", "1", 5), ("C4", 2024, "1e15", "1", 6)], schema)
+    t = transform_inside(raw)
+    assert tuple(t.tally.first()) == (1, 3, 1, 1)
+    assert t.rows.count() == 1 and t.quarantine.count() == 3 and t.skipped.count() == 1
+    assert tuple(transform_inside(raw.limit(0)).tally.first()) == (0, 0, 0, 0)

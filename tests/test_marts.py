@@ -82,3 +82,13 @@ def test_filters_and_columns_reach_the_parquet_scan(spark):
     assert scan, plan
     assert "LessThan(o_orderdate" in plan                # the date predicate is pushed to the reader
     assert "o_orderpriority" not in plan                # unused columns are not read
+
+
+def test_totals_beyond_the_column_width(spark):
+    """A cycle total of 2e13 and a ratio of 5e8 are results, not errors."""
+    top = D("9999999999999.99")
+    s = _summary(spark, [("C1", 2024, top, D("0.01")), ("C2", 2024, top, top), ("C3", 2024, top, None)], [("C1", 2024, "S", D("5000000"))])
+    e = marts.election_spending_summary(s).first()
+    assert e.total_inside_receipts == 3 * top
+    one = next(r for r in s.collect() if r.candidate_id == "C1")
+    assert one.influence_ratio == D("500000000.00") and one.vulnerability_factor == D("0.00")

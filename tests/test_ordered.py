@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,18 @@ def test_previous_in_group_matches_lag_across_blocks(spark):
     assert a == b
 
 
-def test_rank_within_group_matches_row_number(spark):
-    df = _data(spark).withColumn("g", F.when(F.col("k") == "HOT", F.lit(None)).otherwise(F.col("k")))
-    order = [F.col("v").desc_nulls_last(), F.col("seq").asc()]
-    got = rank_within_group(df, ["g"], order, partitions=7, name="r")
-    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-    assert sorted((r.seq, r.r) for r in got.collect()) == sorted((r.seq, r.r) for r in want.collect())
+@pytest.mark.parametrize("partitions", [2, 3, 4, 8, 50])
+def test_rank_within_group_matches_row_number(spark, tmp_path, partitions):
+    """More rows than range sampling sees, in several files, one group with most of them; three runs."""
+    rnd = random.Random(7)
+    rows = [("HOT" if rnd.random() < 0.6 else rnd.choice([None, "a", "b"]), i, rnd.randint(0, 500)) for i in range(20_000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "g string, seq long, v int").repartition(6).write.parquet(path)
+    df = spark.read.parquet(path)
+    expected = {}
+    for g in ("HOT", None, "a", "b"):
+        group = sorted((-v, seq) for gg, seq, v in rows if gg == g)
+        expected.update({seq: n + 1 for n, (_, seq) in enumerate(group)})
+    for _ in range(3):
+        got = rank_within_group(df, ["g"], [F.col("v").desc_nulls_last(), F.col("seq").asc()], partitions=partitions, name="r")
+        assert {r.seq: r.r for r in got.collect()} == expected
