@@ -1,7 +1,7 @@
 """Insert-or-update of keyed rows into a stored table, with change detection.
 
-The stored table is immutable parquet, so a merge produces the *next version* of
-the table (written elsewhere by ``plans.refresh``) plus a change log:
+The stored table is immutable parquet, so a merge produces the *next state* of the
+keys plus a change log (``plans.refresh`` stores the changed rows):
 
 * a key only in the incoming batch        -> ``insert`` (created_at = updated_at = run time)
 * a key in both, some value distinct      -> ``update`` (all values overwritten, nulls too;
@@ -26,6 +26,8 @@ from fundflow.operators.ordered import previous_in_group
 from fundflow.operators.quality import SEQ, EntitySpec
 
 ACTION = "_action"
+#: Whether a merged row differs from the stored one in any column (values, version) and must be written.
+WRITE = "_write"
 ACTION_COUNTS = (("insert", "inserted"), ("update", "updated"), ("unchanged", "unchanged"), ("keep", "kept"))
 
 
@@ -53,18 +55,6 @@ class MergeResult:
     def changes(self) -> DataFrame:
         return self.frame.select(*self.key, ACTION)
 
-    def staged(self, path: str) -> "MergeResult":
-        """Materialise the merge once as parquet at ``path`` (under the shared folder).
-
-        One job computes the join; the new table version and the statistics are
-        then read from these files, so neither recomputes the merge and a lost
-        executor only costs re-reading files. (``Dataset.checkpoint`` would run the
-        plan twice unless persisted first.)
-        """
-        spark = self.frame.sparkSession
-        self.frame.write.mode("errorifexists").parquet(path)
-        return MergeResult(spark.read.parquet(path), self.columns, self.key)
-
     def stats(self, quarantine: DataFrame | None = None) -> DataFrame:
         """inserted / updated / unchanged / kept / errors as one row, in one aggregate."""
         acts = self.frame.select(ACTION)
@@ -103,7 +93,7 @@ def merge(stored: DataFrame, incoming: DataFrame, spec: EntitySpec, run_ts: str,
     j = j.withColumn(ACTION, action)
     take_new = F.col(ACTION).isin("insert", "update")
     newer = F.col(ACTION) == "insert"
-    if version:
+    if version:  # an unchanged row takes the newer version
         newer = newer | (in_s & in_i & ~stale)
     frame = j.select(
         *key,
@@ -112,7 +102,7 @@ def merge(stored: DataFrame, incoming: DataFrame, spec: EntitySpec, run_ts: str,
           if version else []),
         F.coalesce(F.col("s__created_at"), run).alias("created_at"),
         F.when(take_new, run).otherwise(F.col("s__updated_at")).alias("updated_at"),
-        F.col(ACTION),
+        F.col(ACTION), (take_new | newer).alias(WRITE),
     )
     cols = tuple(key + vals + vcols + ["created_at", "updated_at"])
     return MergeResult(frame, cols, tuple(key))

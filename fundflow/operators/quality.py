@@ -8,7 +8,7 @@ validation is one projection inside whole-stage codegen (no Python per row).
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -30,8 +30,16 @@ def coerce(c: Column, dtype: str) -> Column:
     return c.try_cast(dtype)
 
 
+def whole_number(c: Column) -> Column:
+    """An int from a number without a fraction or from its text; anything else is null (and so rejected)."""
+    text = c.cast("string")
+    value = text.try_cast("decimal(38,10)")
+    return F.when((value == F.floor(value)) & text.rlike(r"^\s*[+-]?[0-9]+([.]0*)?([eE][+]?[0-9]+)?\s*$"),
+                  value.try_cast("int"))
+
+
 def coerce_array(c: Column, dtype: str) -> Column:
-    return F.transform(c.cast("array<string>"), lambda x: x.try_cast(dtype))
+    return F.transform(c.cast("array<string>"), lambda x: whole_number(x) if dtype == "int" else x.try_cast(dtype))
 
 
 def bad_coercion(raw_c: Column, typed: Column) -> Column:
@@ -68,8 +76,7 @@ class EntitySpec:
     clean: Callable[[DataFrame], dict[str, Column]]
     # rules(r, cleaned): r(name, dtype) is the raw field (typed null when absent)
     rules: Callable[[Callable[..., Column], dict[str, Column]], list[tuple[str, Column]]]
-    audit: bool = True
-    extra: dict = field(default_factory=dict)
+    parent: str | None = None  # entity whose key the first key column refers to
 
     @property
     def value_columns(self) -> tuple[str, ...]:

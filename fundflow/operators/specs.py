@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fundflow.functions.money import MONEY, OUTSIDE_MONEY
 from fundflow.functions.text import none_sentinel, pad_district, person_name, strip_ws
 from fundflow.operators.quality import (
-    EntitySpec, bad_array, bad_coercion, blank, coerce, coerce_array, outside, raw, too_long,
+    EntitySpec, bad_array, bad_coercion, blank, coerce, coerce_array, outside, raw, too_long, whole_number,
 )
 
 # Closed code domains.
@@ -30,6 +30,7 @@ def _str_list(df: DataFrame, name: str) -> Column:
 
 
 # ---------------------------------------------------------------- candidates
+# Table columns.
 CANDIDATE_COLUMNS = (
     "candidate_id", "name", "office", "state", "party", "party_full", "district",
     "incumbent_challenge", "incumbent_challenge_full", "candidate_status", "active_through",
@@ -45,7 +46,7 @@ def _candidate_clean(df: DataFrame) -> dict[str, Column]:
         "name": person_name(raw(df, "name").cast("string")),
         "office": F.upper(raw(df, "office").cast("string")),
         "district": pad_district(_s(df, "district")),
-        "active_through": coerce(raw(df, "active_through"), "int"),
+        "active_through": whole_number(raw(df, "active_through")),
         "cycles": F.coalesce(coerce_array(raw(df, "cycles", "array<int>"), "int"),
                              F.array().cast("array<int>")),
         "election_years": F.coalesce(coerce_array(raw(df, "election_years", "array<int>"), "int"),
@@ -86,6 +87,7 @@ CANDIDATES = EntitySpec("candidates", ("candidate_id",), CANDIDATE_COLUMNS,
                         _candidate_clean, _candidate_rules)
 
 # ---------------------------------------------------------------- committees
+# Table columns.
 COMMITTEE_COLUMNS = (
     "committee_id", "name", "committee_type", "committee_type_full", "affiliated_committee_name",
     "candidate_ids", "sponsor_candidate_ids", "cycles", "designation", "designation_full",
@@ -130,6 +132,7 @@ COMMITTEES = EntitySpec("committees", ("committee_id",), COMMITTEE_COLUMNS,
                         _committee_clean, _committee_rules)
 
 # ---------------------------------------------------------------- inside totals
+# Table columns.
 INSIDE_COLUMNS = ("candidate_id", "cycle", "receipts", "disbursements")
 
 
@@ -152,9 +155,10 @@ def _inside_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
 
 
 INSIDE_TOTALS = EntitySpec("inside_totals_by_candidate", ("candidate_id", "cycle"),
-                           INSIDE_COLUMNS, _inside_clean, _inside_rules)
+                           INSIDE_COLUMNS, _inside_clean, _inside_rules, parent="candidates")
 
 # ---------------------------------------------------------------- outside totals
+# Table columns.
 OUTSIDE_COLUMNS = ("candidate_id", "cycle", "support_oppose_indicator", "total")
 
 
@@ -179,7 +183,7 @@ def _outside_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
 
 OUTSIDE_TOTALS = EntitySpec("schedule_e_totals_by_candidate",
                             ("candidate_id", "cycle", "support_oppose_indicator"),
-                            OUTSIDE_COLUMNS, _outside_clean, _outside_rules)
+                            OUTSIDE_COLUMNS, _outside_clean, _outside_rules, parent="candidates")
 
 ENTITIES = {s.name: s for s in (COMMITTEES, CANDIDATES, INSIDE_TOTALS, OUTSIDE_TOTALS)}
 # Dependency order of a batch: committees, candidates, then the two totals tables.

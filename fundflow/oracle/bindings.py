@@ -22,7 +22,12 @@ SELECT CAST(c.c_custkey AS VARCHAR) AS candidate_id, c.c_name AS name,
   CAST(c.c_custkey % 20 AS VARCHAR) AS district,
   CASE c.c_custkey % 4 WHEN 0 THEN 'DEM' WHEN 1 THEN 'REP' WHEN 2 THEN 'DFL' END AS party,
   CASE c.c_custkey % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'C' ELSE 'O' END AS incumbent_challenge,
-  COALESCE(o.cycles, []) AS cycles, o.first_file_date, o.last_file_date
+  COALESCE(o.cycles, []) AS cycles, o.first_file_date, o.last_file_date,
+  c.c_mktsegment || ' PARTY' AS party_full,
+  CASE c.c_custkey % 3 WHEN 0 THEN 'Incumbent' WHEN 1 THEN 'Challenger' ELSE 'Open seat' END AS incumbent_challenge_full,
+  SUBSTRING(c.c_mktsegment, 1, 1) AS candidate_status, CAST(YEAR(o.last_file_date) AS INTEGER) AS active_through,
+  list_transform(COALESCE(o.cycles, []), lambda y: y + 2) AS election_years,
+  c.c_acctbal < 0 AS federal_funds_flag, c.c_acctbal > 5000 AS has_raised_funds
 FROM customer c LEFT JOIN (
   SELECT o_custkey,
     CAST(MIN(o_orderdate) AS DATE) AS first_file_date,

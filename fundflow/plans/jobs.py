@@ -1,10 +1,10 @@
 """Ingest jobs: one entity end to end, an ordered batch of entities, and the refresh gate.
 
 The loop over entities runs on the driver (a handful of specs); every step inside
-is a distributed Spark job. The merge's joined frame is staged as parquet in the
-shared folder once, so the new table version and the statistics are both derived
-from the same materialised rows (no second pass over the feed, no lineage back to
-the raw pages if an executor is lost).
+is a distributed Spark job. The clean rows are staged as parquet in the shared folder
+once, so the parent check, the merge and the statistics read materialised rows (no
+second pass over the feed, no lineage back to the raw pages if an executor is lost).
+Rows that break a rule or name an unknown parent are kept in the ``quarantine`` log.
 """
 
 from __future__ import annotations
@@ -19,20 +19,27 @@ from pyspark.sql import functions as F
 
 from fundflow.operators import merge as M
 from fundflow.operators.ingest import TRANSFORMS
-from fundflow.operators.quality import SEQ
+from fundflow.operators.quality import ERRORS, SEQ
 from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES, ENTITY_LEVELS, ENTITY_ORDER
-from fundflow.plans.refresh import BUCKET, TableStore, bucket_count, bucket_of, refresh_spending
+from fundflow.plans.refresh import COMMIT, TableStore, refresh_spending
 from fundflow.session import discard, new_location
 
 SPENDING_ENTITIES = ("inside_totals_by_candidate", "schedule_e_totals_by_candidate")
+QUARANTINE = "quarantine"
+UNKNOWN_PARENT = "unknown_parent"
 
 
 @dataclass
 class EntityResult:
     entity: str
-    stats: dict | None = None        # inserted / updated / unchanged / kept / errors
+    stats: dict | None = None             # inserted / updated / unchanged / errors; None: nothing survived
     error: str | None = None
-    quarantine: DataFrame | None = None
+    quarantine: DataFrame | None = None   # this run's rows of the quarantine log
+    errors: int = 0
+
+    def failed_ids(self) -> DataFrame:
+        """Ids of the quarantined rows, once each."""
+        return self.quarantine.select("failed_id").distinct()
 
 
 @dataclass
@@ -51,67 +58,75 @@ def order_entities(entities: list[str] | None) -> list[str]:
     return [e for e in ENTITY_ORDER if e in set(entities)]
 
 
-def merge_into(store: TableStore, entity: str, rows: DataFrame, run_ts: str,
-               errors=None, version: str | None = None) -> dict | None:
-    """Merge clean ``rows`` (spec columns + ``_seq``) into the stored entity table.
+def _rejects(entity: str, run: str, run_ts: str, rows: DataFrame, errors) -> DataFrame:
+    """Rows in the shape of the quarantine log: which entity and run, the id, the rules, the row as JSON."""
+    id_column = ENTITIES[entity].key[0]
+    values = [c for c in rows.columns if c not in (SEQ, ERRORS)]
+    return rows.select(F.lit(entity).alias("entity"), F.lit(run).alias("run"), F.lit(run_ts).cast("timestamp").alias("run_ts"),
+                       F.col(id_column).cast("string").alias("failed_id"), errors.cast("array<string>").alias("errors"),
+                       F.to_json(F.struct(*values)).alias("row"))
+
+
+def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str, version: str | None = None) -> EntityResult:
+    """Transform, check parents, merge into the stored table; rejects go to the quarantine log.
 
-    1. the incoming rows are staged once (the transform runs once); the set of
-       buckets they touch (at most n ids) is an observed metric of that write;
-    2. only the stored rows of those buckets are read (partition pruning);
-    3. the merge of those buckets is staged; its action counts are observed metrics
-       of that write (no separate statistics pass);
-    4. exactly those buckets are replaced in the table.
-    Returns the statistics, or None when no row survived (nothing is written).
+    1. the clean rows are staged once (the transform runs once), flagged when the parent
+       they name isn't stored; rule failures and unknown parents are observed metrics;
+    2. the stored rows of the incoming keys are merged with them, and the rows that
+       change are written as a new part of the table (action counts observed);
+    3. the part is published; only then is anything visible.
+
+    Without a surviving row nothing is written and ``stats`` is None. With ``version`` a
+    row only applies when it is newer than the stored one.
     """
-    spark = store.spark
-    spec = ENTITIES[entity]
+    spark, spec, run = store.spark, ENTITIES[entity], uuid.uuid4().hex
     key = list(spec.key)
-    n = bucket_count(spark)
-    staged_path = new_location(spark, f"staging/{entity}_in")
-    seen = Observation(f"incoming_{uuid.uuid4().hex[:12]}")
-    (rows.withColumn(BUCKET, bucket_of(key, n))
-     .observe(seen, F.collect_set(BUCKET).alias("touched"))
+    t = TRANSFORMS[entity](raw)
+    rows, known = t.rows.select(*spec.columns, SEQ), F.lit(True)
+    if spec.parent:
+        parents = (store.read(spec.parent).select(F.col(ENTITIES[spec.parent].key[0]).alias("__parent")) if store.exists(spec.parent)
+                   else spark.createDataFrame([], "__parent string"))
+        rows, known = rows.join(parents, F.col(key[0]) == F.col("__parent"), "left"), F.col("__parent").isNotNull()
+    seen, staged_path = Observation(f"incoming_{uuid.uuid4().hex[:12]}"), new_location(spark, f"staging/{entity}_in")
+    (rows.select(*spec.columns, SEQ, known.alias("__known"))
+     .observe(seen, F.count_if("__known").alias("known"), F.count_if(~F.col("__known")).alias("orphans"))
      .write.mode("errorifexists").parquet(staged_path))
-    touched = sorted(seen.get["touched"] or [])
-    # rule failures were observed while the staging write computed the rows
-    n_errors = int(errors()) if errors is not None else 0
-    if not touched:
-        discard(spark, staged_path)
-        return None
-    incoming = spark.read.parquet(staged_path)
+    staged = spark.read.parquet(staged_path)
+    orphans, invalid = int(seen.get["orphans"]), t.invalid_count()
+    out = EntityResult(entity, errors=invalid + orphans)
+    if out.errors:
+        bad = _rejects(entity, run, run_ts, t.quarantine, F.col(ERRORS))
+        if orphans:
+            lost = staged.filter(~F.col("__known")).drop("__known")
+            bad = bad.unionByName(_rejects(entity, run, run_ts, lost, F.array(F.lit(UNKNOWN_PARENT))))
+        out.quarantine = store.append(QUARANTINE, bad).filter(F.col("run") == run)
+    if int(seen.get["known"]):
+        out.stats = _merge_into(store, entity, staged.filter("__known").drop("__known"), run_ts, version) | {"errors": out.errors}
+    discard(spark, staged_path)
+    return out
+
+
+def _merge_into(store: TableStore, entity: str, incoming: DataFrame, run_ts: str, version: str | None) -> dict:
+    """Merge staged rows with the stored rows of their keys; store the changed ones as a part. Returns the counts."""
+    spec, key = ENTITIES[entity], list(ENTITIES[entity].key)
     extra = [version] if version else []
     if store.exists(entity):
-        stored = store.read(entity).filter(F.col(BUCKET).isin(touched))
+        stored = store.read(entity, only=incoming.select(*key).distinct())
     else:
         stored = store.empty_like(incoming.select(
-            *spec.columns, *[F.col(v) for v in extra],
-            *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS]))
-    result = M.merge(stored, incoming.drop(BUCKET), spec, run_ts, version=version)
+            *spec.columns, *[F.col(v) for v in extra], *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS]))
+    result = M.merge(stored, incoming, spec, run_ts, version=version)
     counted = Observation(f"merge_{uuid.uuid4().hex[:12]}")
-    merged_path = new_location(spark, f"staging/{entity}_merged")
-    (result.frame.observe(counted, *[F.count_if(F.col(M.ACTION) == a).alias(name)
-                                     for a, name in M.ACTION_COUNTS])
-     .write.mode("errorifexists").parquet(merged_path))
-    stats = {name: int(v) for name, v in counted.get.items()}
-    stats["errors"] = n_errors
-    merged = M.MergeResult(spark.read.parquet(merged_path), result.columns, result.key)
-    store.upsert_buckets(entity, merged.table.withColumn(BUCKET, bucket_of(key, n)))
-    # the table now holds the result; the two staged copies are no longer read
-    discard(spark, staged_path)
-    discard(spark, merged_path)
-    return stats
-
-
-def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str) -> EntityResult:
-    """Transform, merge into the stored table (touched buckets only); stats or None.
-
-    None means nothing survived the transform (no write). ``kept`` counts the
-    untouched keys of the touched buckets only.
-    """
-    spec = ENTITIES[entity]
-    t = TRANSFORMS[entity](raw)
-    stats = merge_into(store, entity, t.rows.select(*spec.columns, SEQ), run_ts, t.invalid_count)
-    return EntityResult(entity, stats, None, t.quarantine)
+    path, number = store.new_part(entity)
+    counts = [F.count_if(F.col(M.ACTION) == a).alias(name) for a, name in M.ACTION_COUNTS if a != "keep"]
+    (result.frame.observe(counted, *counts, F.count_if(M.WRITE).alias("written")).filter(M.WRITE)
+     .select(*result.columns, F.lit(number).cast("long").alias(COMMIT)).write.mode("errorifexists").parquet(path))
+    got = {name: int(v) for name, v in counted.get.items()}
+    if got.pop("written"):
+        store.publish_part(entity, key, path, number)
+    else:
+        discard(store.spark, path)
+    return got
 
 
 def spending_inputs(store: TableStore) -> tuple[DataFrame, DataFrame]:

@@ -35,6 +35,17 @@ def outside_subtotals(outside: DataFrame) -> DataFrame:
         F.sum(F.when(ind == "O", total).otherwise(F.lit(0))).alias("outside_oppose"))
 
 
+def only(totals: DataFrame, cycle: int | None = None, candidate_ids: list[str] | DataFrame | None = None) -> DataFrame:
+    """Rows of a totals table of one cycle and of the given candidates (a list, or a table with ``candidate_id``)."""
+    if cycle is not None:
+        totals = totals.filter(F.col("cycle") == cycle)
+    if isinstance(candidate_ids, DataFrame):
+        totals = totals.join(candidate_ids.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    elif candidate_ids is not None:
+        totals = totals.filter(F.col("candidate_id").isin(candidate_ids))
+    return totals
+
+
 def all_pairs(inside: DataFrame, outside: DataFrame) -> DataFrame:
     """Distinct (candidate_id, cycle) of either side (UNION, not UNION ALL)."""
     return inside.select(*KEY).union(outside.select(*KEY)).distinct()

@@ -37,11 +37,15 @@ class Page:
     offset: int
 
 
+#: Rows that a page may skip: the top-k that finds a page holds offset + limit rows in one task.
+MAX_OFFSET = 1_000_000
+
+
 def check_page(limit: int, offset: int) -> None:
     if not isinstance(limit, int) or not (1 <= limit <= MAX_LIMIT):
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    if not isinstance(offset, int) or offset < 0:
-        raise ValueError("offset must be >= 0")
+    if not isinstance(offset, int) or not (0 <= offset <= MAX_OFFSET):
+        raise ValueError(f"offset must be between 0 and {MAX_OFFSET}")
 
 
 def check_choice(value: str, allowed, what: str) -> None:
@@ -95,48 +99,46 @@ def candidate_list(candidates: DataFrame, state: str | None = None, office: str
     check_choice(sort_by, CANDIDATE_SORT_KEYS, "sort_by")
     check_choice(order, ("asc", "desc"), "order")
     base = candidate_filter(candidates, state, office, cycle)
-    cols = [c for c in CANDIDATE_OUT if c in base.columns]
     page = paginate(base, [sort_key(F.col(sort_by), order), F.col("candidate_id").asc()], limit, offset)
-    page.rows = page.rows.select(*cols)
+    page.rows = page.rows.select(*CANDIDATE_OUT)  # all of them: a table that lacks one is an error
     return page
 
 
 def candidate_by_id(candidates: DataFrame, candidate_id: str) -> DataFrame:
-    """Point lookup; zero rows means not found."""
-    return candidates.filter(F.col("candidate_id") == F.lit(candidate_id)).limit(1)
+    """Point lookup of the full response; zero rows means not found."""
+    return candidates.filter(F.col("candidate_id") == F.lit(candidate_id)).select(*CANDIDATE_OUT).limit(1)
 
 
 # ---------------------------------------------------------------- spending
 def _info(candidates: DataFrame) -> list[Column]:
-    """The embedded candidate fields; a field the table lacks is a typed null."""
-    return [F.col(x) if x in candidates.columns else F.lit(None).cast("string").alias(x)
-            for x in CANDIDATE_INFO]
+    """The embedded candidate fields; a table that lacks one is an error."""
+    missing = [x for x in CANDIDATE_INFO if x not in candidates.columns]
+    if missing:
+        raise ValueError(f"the candidates table has no column {missing}")
+    return [F.col(x) for x in CANDIDATE_INFO]
 
 
-def attach_candidates(page: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Nest candidate details into each row of a page; missing candidate -> null struct.
-
-    The page is bounded by ``MAX_LIMIT`` rows (checked in ``check_page``). Its ids
-    are broadcast into a semi join that streams the candidates table without a
-    shuffle; since ``candidate_id`` is the candidates' key, what survives is at most
-    one row per page row, so it is again safe to broadcast for the final left join.
-    """
-    ids = page.select("candidate_id").distinct()
-    found = candidates.select(*_info(candidates)).join(F.broadcast(ids), "candidate_id", "left_semi")
-    c = found.select(F.col("candidate_id").alias("__cid"),
-                     F.struct(*[F.col(x) for x in CANDIDATE_INFO]).alias("candidate"))
-    j = page.join(F.broadcast(c), F.col("candidate_id") == F.col("__cid"), "left")
-    return j.drop("__cid")
+def held(page: DataFrame, most: int = MAX_LIMIT) -> DataFrame:
+    """A page computed once: its rows, at most ``most``, as a local table in their order."""
+    rows = page.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a page has at most {most} rows")
+    return page.sparkSession.createDataFrame(rows, page.schema)
 
 
-def attach_known_candidates(page: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Like ``attach_candidates`` but drops rows whose candidate is unknown.
+def attach_candidates(page: DataFrame, candidates: DataFrame, known_only: bool = False) -> DataFrame:
+    """Nest candidate details into each row of a page; missing candidate -> null struct, or
+    no row with ``known_only`` (for consumers that skip such rows anyway).
 
-    For consumers that skip such rows anyway (the spending tree). An inner join can
-    build on the bounded page, so the page is read once and candidates stream past it.
+    The page (at most MAX_LIMIT rows, checked) is computed once; its ids are an ``IN``
+    filter of the candidates scan, and what that finds, one row per id, is joined back.
     """
-    c = candidates.select(F.col("candidate_id").alias("__cid"), F.struct(*_info(candidates)).alias("candidate"))
-    return c.join(F.broadcast(page), F.col("__cid") == F.col("candidate_id"), "inner").drop("__cid")
+    local = held(page)
+    ids = sorted({r.candidate_id for r in local.select("candidate_id").collect() if r.candidate_id is not None})
+    c = (candidates.select(*_info(candidates)).filter(F.col("candidate_id").isin(ids))
+         .select(F.col("candidate_id").alias("__cid"), F.struct(*[F.col(x) for x in CANDIDATE_INFO]).alias("candidate")))
+    # at most one row per page row, so it may be broadcast
+    return local.join(F.broadcast(c), F.col("candidate_id") == F.col("__cid"), "inner" if known_only else "left").drop("__cid")
 
 
 def with_candidates(rows: DataFrame, candidates: DataFrame, keep_unmatched: bool = True) -> DataFrame:
@@ -168,6 +170,11 @@ def spending_list(summary: DataFrame, candidates: DataFrame, cycle: int | None =
     return page
 
 
+def spending_count(summary: DataFrame, cycle: int | None = None) -> DataFrame:
+    """The number of rows that ``spending_list`` pages through."""
+    return equality_filters(summary, cycle=cycle).agg(F.count(F.lit(1)).cast("bigint").alias("total_count"))
+
+
 def spending_history(summary: DataFrame, candidates: DataFrame, candidate_id: str) -> DataFrame:
     """All cycles of one candidate, newest first, with candidate details.
 
@@ -199,7 +206,8 @@ def history_gate(candidates: DataFrame, summary: DataFrame, probes: DataFrame) -
 
 
 def top_outside_spenders(summary: DataFrame, cycle: int | None, n: int = 500) -> DataFrame:
-    """The chart feed: top ``n`` rows of a cycle by outside total (bounded top-k)."""
+    """The chart feed: top ``n`` rows (at most MAX_LIMIT) of a cycle by outside total."""
+    check_page(n, 0)
     base = equality_filters(summary, cycle=cycle)
     return base.orderBy(*spending_order("outside_total", "desc")).limit(n)
 

@@ -1,14 +1,17 @@
 """Versioned tables and the derived-table refresh chain.
 
-A table is a catalog entry (``<db>.<name>``) pointing at parquet under the cluster's
-shared folder.
-
-* Derived tables (summaries) are rebuilt whole: each new version goes to a fresh
-  directory, is checked, and is published by moving the catalog pointer
-  (``ALTER TABLE ... SET LOCATION``); readers keep the old version until the swap.
-* Keyed entity tables are partitioned by a hash bucket of the key; a merge replaces
-  only the buckets its batch touches (dynamic partition overwrite), from merge
-  output that was first staged in full, so a failed write is simply re-run.
+A table is a catalog entry (``<db>.<name>``) that points at parquet under the cluster's
+shared folder. Nothing that is published is ever changed in place; a write goes to a
+fresh folder and becomes visible when the catalog entry is altered, so readers see the
+state before or after it, and a write that fails half-way leaves nothing behind but an
+unreferenced folder.
+
+* Derived tables (summaries) are rebuilt whole: a new version, checked, then published
+  with ``ALTER TABLE ... SET LOCATION``.
+* Keyed entity tables are a list of parts (a table property): a first part and the rows
+  that later merges changed. A read takes the last row of each key. After MOST_PARTS the
+  next merge also writes the table anew as one part. So a merge writes in proportion to
+  its changed keys, with as many tasks as Spark deals the rows to.
 """
 
 from __future__ import annotations
@@ -18,23 +21,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundflow.operators import dedupe
 from fundflow.plans import marts
-from fundflow.session import shared_dir
+from fundflow.session import discard, shared_dir
 
 DB = "fundflow"
-# Keyed entity tables are hash-bucketed on their key; a merge rewrites only the
-# buckets its batch touches. The count is part of a table's layout, fixed per
-# deployment via ``spark.fundflow.buckets`` (size it so a bucket is ~1 GB at scale).
-BUCKETS = 64
-BUCKET = "_bucket"
-
-
-def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.fundflow.buckets", str(BUCKETS)))
-
-
-def bucket_of(key: list[str], n: int = BUCKETS):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(n)).cast("int")
+#: Column of a keyed table's parts: the number of the merge that wrote the row.
+COMMIT = "_commit"
+#: Parts of a keyed table beyond which it is written anew.
+MOST_PARTS = 16
+PARTS, KEY, OLD = "fundflow.parts", "fundflow.key", "fundflow.old"
 
 
 class UniqueKeyError(RuntimeError):
@@ -57,15 +53,12 @@ def key_report(df: DataFrame, key: list[str], table: str) -> DataFrame:
 
 
 class TableStore:
-    """Catalog tables backed by versioned parquet directories."""
+    """Catalog tables backed by parquet folders that are never changed once published."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, db: str = DB):
         self.spark = spark
         self.root = (root or f"{shared_dir(spark)}/tables").rstrip("/")
         self.db = db
-        self._locations: dict[str, str] = {}   # what this store published (saves a DESCRIBE)
-        self._versions: dict[str, list[str]] = {}  # versions this store wrote, oldest first
-        self.keep_versions = 2                    # current + previous (readers still on it)
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
 
     def qualified(self, name: str) -> str:
@@ -74,20 +67,41 @@ class TableStore:
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(f"{self.db}.{name}")
 
-    def read(self, name: str) -> DataFrame:
-        """The published version. Read by path so partition directories (``cycle=``)
-        are discovered from storage; the catalog entry is only the pointer."""
-        return self.spark.read.parquet(self.location(name))
+    def _properties(self, name: str) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.qualified(name)}").collect()}
+
+    def _set_properties(self, name: str, **values: str) -> None:
+        listed = ", ".join(f"'fundflow.{k}'='{v}'" for k, v in values.items())
+        self.spark.sql(f"ALTER TABLE {self.qualified(name)} SET TBLPROPERTIES ({listed})")
 
     def location(self, name: str) -> str | None:
-        if name in self._locations:
-            return self._locations[name]
         if not self.exists(name):
             return None
         rows = (self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.qualified(name)}")
                 .filter(F.col("col_name") == "Location").select("data_type").take(1))
         return rows[0][0] if rows else None
 
+    def parts(self, name: str) -> list[str]:
+        """Folders of a keyed table, oldest first (none if it was never written)."""
+        return self._properties(name).get(PARTS, "").split(",") if self.exists(name) else []
+
+    def read(self, name: str, only: DataFrame | None = None) -> DataFrame:
+        """The published rows; of a keyed table those whose key is in ``only``, if given.
+
+        Derived tables are read by path so that partition folders (``cycle=``) are found;
+        the catalog entry is only the pointer.
+        """
+        values = self._properties(name)
+        if PARTS not in values:
+            return self.spark.read.parquet(self.location(name))
+        parts, key = values[PARTS].split(","), values[KEY].split(",")
+        rows = self.spark.read.parquet(*parts)
+        if only is not None:
+            rows = rows.join(only.select(*key), key, "left_semi")
+        if len(parts) > 1:
+            rows = dedupe.last_wins(rows, key, seq=COMMIT)
+        return rows.drop(COMMIT)
+
     def write_version(self, name: str, df: DataFrame, key: list[str] | None = None,
                       partition_by: list[str] | None = None) -> str:
         """Write a new version, assert key uniqueness on what was written, publish it."""
@@ -102,44 +116,49 @@ class TableStore:
             written = self.spark.read.parquet(path)
             if duplicate_keys(written, key).take(1):
                 raise UniqueKeyError(f"{name}: duplicate keys {key} in {path}; version not published")
+        before = self.location(name)
         self.publish(name, path)
-        self._retire(name, path)
-        return path
-
-    def _retire(self, name: str, path: str) -> None:
-        """Delete versions older than the last ``keep_versions`` that this store wrote."""
-        from fundflow.session import discard
-        history = self._versions.setdefault(name, [])
-        history.append(path)
-        while len(history) > self.keep_versions:
-            discard(self.spark, history.pop(0))
-
-    def upsert_buckets(self, name: str, df: DataFrame) -> str:
-        """Replace exactly the ``_bucket`` partitions present in ``df`` (dynamic overwrite).
-
-        ``df`` must hold the complete new content of each bucket it touches (the merge
-        output for those buckets); untouched buckets are left as they are, so a batch
-        costs in proportion to the keys it touches, not to the table.
-        """
-        path = f"{self.root}/{name}/keyed"
-        # one writer per touched bucket (not one per task and bucket): few, large files
-        (df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BUCKET).parquet(path))
-        if self.exists(name):
-            self.spark.sql(f"REFRESH TABLE {self.qualified(name)}")
-        else:
-            self.publish(name, path)
+        self._retire(name, [before] if before else [])
         return path
 
     def publish(self, name: str, path: str) -> None:
         q = self.qualified(name)
-        self._locations[name] = path
         if self.exists(name):
             self.spark.sql(f"ALTER TABLE {q} SET LOCATION '{path}'")
             self.spark.sql(f"REFRESH TABLE {q}")
         else:
             self.spark.sql(f"CREATE TABLE {q} USING parquet LOCATION '{path}'")
 
+    def _retire(self, name: str, replaced: list[str]) -> None:
+        """Delete what was replaced by the write before this one; readers may still be on ``replaced``."""
+        for path in filter(None, self._properties(name).get(OLD, "").split(",")):
+            discard(self.spark, path)
+        self._set_properties(name, old=",".join(replaced))
+
+    def new_part(self, name: str) -> tuple[str, int]:
+        """Folder and number of the next merge of a keyed table."""
+        number = int(self._properties(name).get("fundflow.commits", "0")) if self.exists(name) else 0
+        return f"{self.root}/{name}/p_{number:06d}_{uuid.uuid4().hex}", number
+
+    def publish_part(self, name: str, key: list[str], path: str, number: int) -> None:
+        """Make a written part visible, and write the table anew once it has too many."""
+        parts = [*self.parts(name), path]
+        if not self.exists(name):
+            self.publish(name, path)
+        self._set_properties(name, key=",".join(key), commits=str(number + 1), parts=",".join(parts))
+        if len(parts) > MOST_PARTS:
+            whole, number = self.new_part(name)
+            self.read(name).withColumn(COMMIT, F.lit(number).cast("long")).write.mode("errorifexists").parquet(whole)
+            self.publish(name, whole)
+            self._set_properties(name, commits=str(number + 1), parts=whole)
+            self._retire(name, parts)
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Add rows to a log folder (an append is all or nothing); returns the whole log."""
+        path = f"{self.root}/{name}"
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def empty_like(self, df: DataFrame) -> DataFrame:
         return self.spark.createDataFrame([], df.schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from fundflow.plans import jobs, tables
 from fundflow.plans.refresh import ELECTION_TABLE, SUMMARY_TABLE, TableStore, key_report, refresh_spending
 from fundflow.session import new_location
 from fundflow.sources import fixtures as FX
-from fundflow.sources.paged_json import first_page_rule, land_pages, page_coverage, read_pages
+from fundflow.sources.paged_json import land, page_coverage, page_envelopes, read_pages
 from fundflow.sources.predicates import first_file_range, source_filter
 from fundflow.streaming.micro_batch import run_incremental
 
@@ -28,25 +28,25 @@ EVENT_RECORD = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 EVENT_COLS = [f.name for f in EVENT_RECORD.fields]
-# a source that fails part of the way: 0-based page numbers 3, 10, 17, ... never arrive
+# the coverage audit's feed comes from a source that fails part of the way: 0-based page
+# numbers 3, 10, 17, ... never arrive
 DROPPED = "(page - 1) % 7 = 3"
 
 
-def _land_events(spark: SparkSession, sf_dir: str) -> str:
+def _land_events(spark: SparkSession, sf_dir: str, dropped: str = "false") -> str:
     path = new_location(spark, "landing_events")
     events = FX.table(spark, sf_dir, "events").select(*EVENT_COLS)
-    land_pages(events, path, "events", FX.PAGE_SIZE, "event_id", drop_page=F.expr(DROPPED))
+    pages = page_envelopes(events, "events", FX.PAGE_SIZE, "event_id")
+    land(pages.where(f"NOT ({dropped.replace('page', 'pagination.page')})"), path)
     return path
 
 
 @register("paged_source", f"""
-SELECT event_id, user_id, event_type, value, props, CAST(page AS INTEGER) AS page,
-  CAST(ROW_NUMBER() OVER (PARTITION BY page ORDER BY event_id) - 1 AS INTEGER) AS pos
-FROM (SELECT *, event_id // {FX.PAGE_SIZE} + 1 AS page FROM events)
-WHERE NOT ({DROPPED})""")
+SELECT event_id, user_id, event_type, value, props, CAST(n // {FX.PAGE_SIZE} + 1 AS INTEGER) AS page,
+  CAST(n % {FX.PAGE_SIZE} AS INTEGER) AS pos
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS n FROM events)""")
 def paged_source(spark: SparkSession, sf_dir: str):
-    recs = first_page_rule(read_pages(spark, _land_events(spark, sf_dir), EVENT_RECORD))
-    return recs.select(*EVENT_COLS, "page", "pos")
+    return read_pages(spark, _land_events(spark, sf_dir), EVENT_RECORD).select(*EVENT_COLS, "page", "pos")
 
 
 @register("page_coverage", f"""
@@ -54,7 +54,7 @@ SELECT 'events' AS endpoint, CAST(page AS INTEGER) AS page FROM (
   SELECT unnest(generate_series(1, CAST(CEIL(COUNT(*) / {FX.PAGE_SIZE}.0) AS BIGINT))) AS page FROM events)
 WHERE {DROPPED}""")
 def page_coverage_q(spark: SparkSession, sf_dir: str):
-    return page_coverage(spark, _land_events(spark, sf_dir), EVENT_RECORD)
+    return page_coverage(spark, _land_events(spark, sf_dir, DROPPED), EVENT_RECORD)
 
 
 # ---------------------------------------------------------------- predicates and date window
@@ -109,35 +109,47 @@ def unique_key_check(spark: SparkSession, sf_dir: str):
 
 
 # ---------------------------------------------------------------- batch pipeline
+# The candidate feed carries registered offices only, so the totals of all others name an
+# unknown candidate and must end up in quarantine.
 def _feeds(spark: SparkSession, sf_dir: str) -> dict:
     return {"committees": FX.committees_raw(spark, sf_dir),
-            "candidates": FX.candidates_raw(spark, sf_dir),
+            "candidates": FX.candidates_raw(spark, sf_dir).where("office IS NOT NULL"),
             "inside_totals_by_candidate": FX.inside_raw(spark, sf_dir),
             "schedule_e_totals_by_candidate": FX.outside_raw(spark, sf_dir)}
 
 
-@register("pipeline_batch", with_views("""
+REGISTERED = "candidate_id IN (SELECT candidate_id FROM candidates_last WHERE office IS NOT NULL)"
+BATCH_VIEWS = ("committees_checked", "candidates_last", "candidates_checked", "inside_t", "outside_t")
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> tuple[TableStore, jobs.BatchResult]:
+    """All four entities in dependency order into an empty store, then the refresh."""
+    store = _fresh_store(spark, "batch")
+    result = jobs.ingest_batch(store, _feeds(spark, sf_dir), FX.RUN_TS)
+    failed = {e: r.error for e, r in result.results.items() if r.error}
+    if failed or not result.refreshed:
+        raise RuntimeError(f"failed: {failed}; refreshed: {result.refreshed}")
+    return store, result
+
+
+@register("pipeline_batch", with_views(f"""
 SELECT 'committees' AS entity, CAST(COUNT(*) FILTER (WHERE errors = '') AS BIGINT) AS table_rows,
   CAST(COUNT(*) FILTER (WHERE errors = '') AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS updated,
   CAST(COUNT(*) FILTER (WHERE errors <> '') AS BIGINT) AS errors FROM committees_checked
-UNION ALL SELECT 'candidates', (SELECT COUNT(*) FROM candidates_last), (SELECT COUNT(*) FROM candidates_last), 0,
-  CAST(COUNT(*) FILTER (WHERE errors <> '') AS BIGINT) FROM candidates_checked
-UNION ALL SELECT 'inside_totals_by_candidate', COUNT(*), COUNT(*), 0, 0 FROM inside_t
-UNION ALL SELECT 'schedule_e_totals_by_candidate', COUNT(*), COUNT(*), 0, 0 FROM outside_t
-UNION ALL SELECT 'mv_candidate_spending_summary', COUNT(*), 0, 0, 0 FROM summary
-UNION ALL SELECT 'mv_election_spending_summary', COUNT(*), 0, 0, 0 FROM election""",
-    "committees_checked", "candidates_last", "candidates_checked", "inside_t", "outside_t", "summary", "election"))
+UNION ALL SELECT 'candidates', (SELECT COUNT(*) FROM candidates_last WHERE office IS NOT NULL),
+  (SELECT COUNT(*) FROM candidates_last WHERE office IS NOT NULL), 0,
+  CAST(COUNT(*) FILTER (WHERE errors <> '') AS BIGINT) FROM candidates_checked WHERE office IS NOT NULL
+UNION ALL SELECT 'inside_totals_by_candidate', COUNT(*) FILTER (WHERE {REGISTERED}), COUNT(*) FILTER (WHERE {REGISTERED}), 0,
+  COUNT(*) FILTER (WHERE NOT {REGISTERED}) FROM inside_t
+UNION ALL SELECT 'schedule_e_totals_by_candidate', COUNT(*) FILTER (WHERE {REGISTERED}), COUNT(*) FILTER (WHERE {REGISTERED}), 0,
+  COUNT(*) FILTER (WHERE NOT {REGISTERED}) FROM outside_t
+UNION ALL SELECT 'mv_candidate_spending_summary', COUNT(*), 0, 0, 0 FROM (
+  SELECT candidate_id, cycle FROM inside_t WHERE {REGISTERED} UNION SELECT candidate_id, cycle FROM outside_t WHERE {REGISTERED})
+UNION ALL SELECT 'mv_election_spending_summary', COUNT(DISTINCT cycle), 0, 0, 0 FROM (
+  SELECT cycle FROM inside_t WHERE {REGISTERED} UNION SELECT cycle FROM outside_t WHERE {REGISTERED})""", *BATCH_VIEWS))
 def pipeline_batch(spark: SparkSession, sf_dir: str):
-    """All four entities in dependency order into an empty store, then the refresh."""
-    store = _fresh_store(spark, "batch")
-    result = jobs.ingest_batch(store, _feeds(spark, sf_dir), FX.RUN_TS)
-    if not result.refreshed:
-        raise RuntimeError("spending tables were not refreshed")
-    rows = []
-    for e, r in result.results.items():
-        if r.error:
-            raise RuntimeError(f"{e}: {r.error}")
-        rows.append((e, r.stats["inserted"], r.stats["updated"], r.stats["errors"]))
+    store, result = _batch(spark, sf_dir)
+    rows = [(e, r.stats["inserted"], r.stats["updated"], r.stats["errors"]) for e, r in result.results.items()]
     stats = spark.createDataFrame(rows, "entity string, inserted bigint, updated bigint, errors bigint")
     counts = None
     for name in list(result.results) + [SUMMARY_TABLE, ELECTION_TABLE]:
@@ -149,6 +161,42 @@ def pipeline_batch(spark: SparkSession, sf_dir: str):
         "entity", "table_rows", *[F.coalesce(F.col(c), zero).alias(c) for c in ("inserted", "updated", "errors")])
 
 
+@register("pipeline_stored_totals", with_views(f"""
+SELECT 'inside' AS side, candidate_id, cycle, '' AS indicator, CAST(receipts AS DOUBLE) AS amount,
+  CAST(disbursements AS DOUBLE) AS disbursements FROM inside_t WHERE {REGISTERED}
+UNION ALL SELECT 'outside', candidate_id, cycle, support_oppose_indicator, CAST(total AS DOUBLE), NULL
+FROM outside_t WHERE {REGISTERED}""", *BATCH_VIEWS))
+def pipeline_stored_totals(spark: SparkSession, sf_dir: str):
+    """What the batch stored in the two totals tables, row by row."""
+    store, _ = _batch(spark, sf_dir)
+    inside = store.read("inside_totals_by_candidate").select(
+        F.lit("inside").alias("side"), "candidate_id", "cycle", F.lit("").alias("indicator"), F.col("receipts").alias("amount"), "disbursements")
+    outside = store.read("schedule_e_totals_by_candidate").select(
+        F.lit("outside").alias("side"), "candidate_id", "cycle", F.col("support_oppose_indicator").alias("indicator"),
+        F.col("total").alias("amount"), F.lit(None).cast("decimal(15,2)").alias("disbursements"))
+    return tables.as_output(inside.select(*[F.col(c).cast("decimal(38,2)").alias(c) if c in ("amount", "disbursements") else c for c in inside.columns])
+                            .unionByName(outside.select(*[F.col(c).cast("decimal(38,2)").alias(c) if c in ("amount", "disbursements") else c
+                                                          for c in outside.columns])))
+
+
+@register("pipeline_quarantine", with_views(f"""
+SELECT entity, failed_id, rules, CAST(COUNT(*) AS BIGINT) AS rows FROM (
+  SELECT 'committees' AS entity, committee_id AS failed_id, errors AS rules FROM committees_checked WHERE errors <> ''
+  UNION ALL SELECT 'candidates', candidate_id, errors FROM candidates_checked WHERE errors <> '' AND office IS NOT NULL
+  UNION ALL SELECT 'inside_totals_by_candidate', candidate_id, 'unknown_parent' FROM inside_t WHERE NOT {REGISTERED}
+  UNION ALL SELECT 'schedule_e_totals_by_candidate', candidate_id, 'unknown_parent' FROM outside_t WHERE NOT {REGISTERED})
+GROUP BY entity, failed_id, rules""", *BATCH_VIEWS))
+def pipeline_quarantine(spark: SparkSession, sf_dir: str):
+    """The quarantine log of the batch: failed ids by entity and rules."""
+    _, result = _batch(spark, sf_dir)
+    logs = [r.quarantine for r in result.results.values() if r.quarantine is not None]
+    log = logs[0]
+    for more in logs[1:]:
+        log = log.unionByName(more)
+    return (log.groupBy("entity", "failed_id", F.array_join("errors", ",").alias("rules"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("rows")))
+
+
 # ---------------------------------------------------------------- incremental stream
 CANDIDATE_RECORD = T.StructType([
     T.StructField("order_key", T.LongType()),
@@ -161,6 +209,22 @@ CANDIDATE_RECORD = T.StructType([
     T.StructField("last_file_date", T.StringType()),
 ])
 STREAM_FILES = 6
+STREAM_OUT = ["candidate_id", "name", "office", "state", "party", "district", "last_file_date"]
+
+
+def _land_candidates(spark: SparkSession, raw, path: str, fetch: int, files: int) -> None:
+    feed = raw.withColumnRenamed("_seq", "order_key").select(*[f.name for f in CANDIDATE_RECORD.fields])
+    land(page_envelopes(feed, "candidates", FX.STREAM_PAGE_SIZE, "order_key", fetch=fetch), path, files=files, mode="append")
+
+
+def _streamed(spark: SparkSession, feeds: list) -> DataFrame:
+    """Land the feeds as one fetch each and drain them one file per micro-batch."""
+    landing, store = new_location(spark, "landing_candidates"), _fresh_store(spark, "stream")
+    checkpoint = new_location(spark, "stream_checkpoint")
+    for number, raw in enumerate(feeds, 1):
+        _land_candidates(spark, raw, landing, number, STREAM_FILES // len(feeds))
+        run_incremental(spark, store, landing, CANDIDATE_RECORD, "candidates", FX.RUN_TS, checkpoint=checkpoint)
+    return store.read("candidates").select(*[F.col(c).cast("string").alias(c) for c in STREAM_OUT])
 
 
 @register("incremental_stream", with_views(
@@ -168,12 +232,14 @@ STREAM_FILES = 6
     "candidates_last"))
 def incremental_stream(spark: SparkSession, sf_dir: str):
     """Candidate pages landed in several files, drained one file per micro-batch."""
-    landing = new_location(spark, "landing_candidates")
-    raw = FX.candidates_raw(spark, sf_dir).withColumnRenamed("_seq", "order_key")
-    land_pages(raw.select(*[f.name for f in CANDIDATE_RECORD.fields]), landing, "candidates",
-               FX.PAGE_SIZE, "order_key", files=STREAM_FILES)
-    store = _fresh_store(spark, "stream")
-    run_incremental(spark, store, landing, CANDIDATE_RECORD, "candidates", FX.RUN_TS)
-    out = store.read("candidates")
-    return out.select(*[F.col(c).cast("string").alias(c) for c in
-                        ["candidate_id", "name", "office", "state", "party", "district", "last_file_date"]])
+    return _streamed(spark, [FX.candidates_raw(spark, sf_dir)])
+
+
+@register("incremental_refetch", with_views(
+    "SELECT candidate_id, name, office, state, party, district, last_file_date FROM (SELECT *, ROW_NUMBER() OVER ("
+    f"PARTITION BY candidate_id ORDER BY (last_file_date >= '{FX.MERGE_INCOMING_FROM}') DESC, seq DESC) AS r "
+    "FROM candidates_checked WHERE errors = '') WHERE r = 1", "candidates_checked"))
+def incremental_refetch(spark: SparkSession, sf_dir: str):
+    """Two fetches, the second with the newer snapshots: its pages start at 1 again and still win."""
+    raw, newer = FX.candidates_raw(spark, sf_dir), F.col("last_file_date") >= FX.MERGE_INCOMING_FROM
+    return _streamed(spark, [raw.filter(~newer), raw.filter(newer)])

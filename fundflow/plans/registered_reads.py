@@ -29,13 +29,14 @@ def flatten_candidate(df: DataFrame) -> DataFrame:
 
 def candidate_out(df: DataFrame) -> DataFrame:
     """Arrays and dates as text so both engines print them the same way."""
-    return df.select(*[F.array_join(F.col(c), ",").alias(c) if c == "cycles"
+    return df.select(*[F.array_join(F.col(c), ",").alias(c) if c in ("cycles", "election_years")
                        else F.col(c).cast("string").alias(c) if c.endswith("_date") else F.col(c)
                        for c in df.columns])
 
 
-CAND_COLS = "candidate_id, name, office, state, party, district, incumbent_challenge"
-CAND_OUT_SQL = (f"{CAND_COLS}, array_to_string(cycles, ',') AS cycles, "
+CAND_OUT_SQL = ("candidate_id, name, office, state, party, party_full, district, incumbent_challenge, "
+                "incumbent_challenge_full, candidate_status, active_through, array_to_string(cycles, ',') AS cycles, "
+                "array_to_string(election_years, ',') AS election_years, federal_funds_flag, has_raised_funds, "
                 "CAST(first_file_date AS VARCHAR) AS first_file_date")
 
 
@@ -80,6 +81,19 @@ def candidate_list_by_cycle(spark: SparkSession, sf_dir: str):
     return candidate_out(page.rows)
 
 
+@register("candidate_list_by_state", with_views(
+    f"SELECT {CAND_OUT_SQL} FROM candidates ORDER BY state DESC NULLS FIRST, candidate_id LIMIT 200", "candidates"))
+def candidate_list_by_state(spark: SparkSession, sf_dir: str):
+    return candidate_out(Q.candidate_list(tables.candidates(spark, sf_dir), sort_by="state", order="desc", limit=200).rows)
+
+
+@register("candidate_list_by_first_file_date", with_views(
+    f"SELECT {CAND_OUT_SQL} FROM candidates WHERE office = 'S' ORDER BY candidates.first_file_date ASC NULLS LAST, candidate_id "
+    "LIMIT 200 OFFSET 20", "candidates"))
+def candidate_list_by_first_file_date(spark: SparkSession, sf_dir: str):
+    return candidate_out(Q.candidate_list(tables.candidates(spark, sf_dir), office="S", sort_by="first_file_date", limit=200, offset=20).rows)
+
+
 @register("candidate_list_count", with_views(
     "SELECT CAST(COUNT(*) AS BIGINT) AS total_count FROM candidates "
     "WHERE list_contains(cycles, 1998) AND office = 'S'", "candidates"))
@@ -90,8 +104,7 @@ def candidate_list_count(spark: SparkSession, sf_dir: str):
 @register("candidate_by_id", with_views(
     f"SELECT {CAND_OUT_SQL} FROM candidates WHERE candidate_id = '7'", "candidates"))
 def candidate_by_id(spark: SparkSession, sf_dir: str):
-    return candidate_out(Q.candidate_by_id(tables.candidates(spark, sf_dir), "7")
-                         .select(*[c for c in Q.CANDIDATE_OUT if c in tables.candidates(spark, sf_dir).columns]))
+    return candidate_out(Q.candidate_by_id(tables.candidates(spark, sf_dir), "7"))
 
 
 # ---------------------------------------------------------------- history
@@ -99,7 +112,7 @@ def candidate_by_id(spark: SparkSession, sf_dir: str):
     f"SELECT {SUMMARY_OUT}, {CANDIDATE_INFO_OUT} FROM summary_c WHERE candidate_id = '7'", "summary_c"))
 def candidate_spending_history(spark: SparkSession, sf_dir: str):
     return flatten_candidate(tables.as_output(
-        Q.spending_history(tables.summary(spark, sf_dir), tables.candidates(spark, sf_dir), "7")))
+        Q.spending_history(tables.summary(spark, sf_dir, candidate_ids=["7"]), tables.candidates(spark, sf_dir), "7")))
 
 
 PROBES = ["7", "42", "no-such-candidate"]
@@ -115,7 +128,7 @@ PROBES = ["7", "42", "no-such-candidate"]
     "ON p.candidate_id = h.candidate_id", "candidates", "summary"))
 def candidate_history_gate(spark: SparkSession, sf_dir: str):
     probes = spark.createDataFrame([(p,) for p in PROBES], "candidate_id string")
-    return Q.history_gate(tables.candidates(spark, sf_dir), tables.summary(spark, sf_dir), probes)
+    return Q.history_gate(tables.candidates(spark, sf_dir), tables.summary(spark, sf_dir, candidate_ids=probes), probes)
 
 
 # ---------------------------------------------------------------- spending pages (8 sort keys)
@@ -145,7 +158,7 @@ def _page_query(key: str):
     cycle, order, limit, offset = PAGES[key]
 
     def run(spark: SparkSession, sf_dir: str):
-        page = Q.spending_list(tables.summary(spark, sf_dir), tables.candidates(spark, sf_dir),
+        page = Q.spending_list(tables.summary(spark, sf_dir, cycle), tables.candidates(spark, sf_dir),
                                cycle=cycle, sort_by=key, order=order, limit=limit, offset=offset)
         return flatten_candidate(tables.as_output(page.rows))
     return run
@@ -158,14 +171,14 @@ for _k, (_c, _o, _l, _off) in PAGES.items():
 @register("spending_page_count", with_views(
     "SELECT CAST(COUNT(*) AS BIGINT) AS total_count FROM summary WHERE cycle = 2000", "summary"))
 def spending_page_count(spark: SparkSession, sf_dir: str):
-    return Q.spending_list(tables.summary(spark, sf_dir), tables.candidates(spark, sf_dir), cycle=2000).total
+    return Q.spending_count(tables.summary(spark, sf_dir, 2000), cycle=2000)
 
 
 @register("top_outside_spenders", with_views(
     f"SELECT {SUMMARY_OUT} FROM summary WHERE cycle = 2000 "
     "ORDER BY (outside_support + outside_oppose) DESC NULLS FIRST, candidate_id, cycle LIMIT 500", "summary"))
 def top_outside_spenders(spark: SparkSession, sf_dir: str):
-    return tables.as_output(Q.top_outside_spenders(tables.summary(spark, sf_dir), 2000, 500))
+    return tables.as_output(Q.top_outside_spenders(tables.summary(spark, sf_dir, 2000), 2000, 500))
 
 
 # ---------------------------------------------------------------- elections
@@ -176,7 +189,7 @@ def election_list(spark: SparkSession, sf_dir: str):
 
 @register("election_by_cycle", with_views(f"SELECT {ELECTION_OUT} FROM election WHERE cycle = 1998", "election"))
 def election_by_cycle(spark: SparkSession, sf_dir: str):
-    return tables.as_output(Q.election_by_cycle(tables.election(spark, sf_dir), 1998, TODAY))
+    return tables.as_output(Q.election_by_cycle(tables.election(spark, sf_dir, 1998), 1998, TODAY))
 
 
 EVEN_TODAY = _dt.date(1999, 6, 30)

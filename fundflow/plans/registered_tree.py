@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from fundflow.catalog import register
 from fundflow.operators.hierarchy import spending_tree
@@ -80,14 +79,14 @@ FROM nodes"""
 
 @register("spending_hierarchy", tree_sql(TOP_N))
 def spending_hierarchy(spark: SparkSession, sf_dir: str):
-    feed = Q.top_outside_spenders(tables.summary(spark, sf_dir), CYCLE, TOP_N)
-    # rows without a known candidate are skipped by the tree, so an inner join (page read once)
-    rows = Q.attach_known_candidates(feed, tables.candidates(spark, sf_dir))
+    feed = Q.top_outside_spenders(tables.summary(spark, sf_dir, CYCLE), CYCLE, TOP_N)
+    # rows without a known candidate are skipped by the tree
+    rows = Q.attach_candidates(feed, tables.candidates(spark, sf_dir), known_only=True)
     return tables.as_output(spending_tree(spark, rows, THRESHOLD))
 
 
 @register("spending_hierarchy_all", tree_sql(None))
 def spending_hierarchy_all(spark: SparkSession, sf_dir: str):
-    rows = Q.with_candidates(tables.summary(spark, sf_dir).filter(F.col("cycle") == CYCLE),
+    rows = Q.with_candidates(tables.summary(spark, sf_dir, CYCLE),
                              tables.candidates(spark, sf_dir), keep_unmatched=False)
     return tables.as_output(spending_tree(spark, rows, THRESHOLD))

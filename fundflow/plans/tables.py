@@ -29,12 +29,15 @@ def outside_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform_outside(fixtures.outside_raw(spark, sf_dir)).rows.select(*OUTSIDE_COLUMNS)
 
 
-def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.candidate_spending_summary(inside_totals(spark, sf_dir), outside_totals(spark, sf_dir))
+def summary(spark: SparkSession, sf_dir: str, cycle: int | None = None, candidate_ids: list[str] | DataFrame | None = None) -> DataFrame:
+    """The spending summary, of one cycle or some candidates if asked: the filter is put on
+    both inputs (it holds for whole keys), as nothing is pushed below a full outer join."""
+    inside, outside = (marts.only(t, cycle, candidate_ids) for t in (inside_totals(spark, sf_dir), outside_totals(spark, sf_dir)))
+    return marts.candidate_spending_summary(inside, outside)
 
 
-def election(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.election_spending_summary(summary(spark, sf_dir))
+def election(spark: SparkSession, sf_dir: str, cycle: int | None = None) -> DataFrame:
+    return marts.election_spending_summary(summary(spark, sf_dir, cycle))
 
 
 def as_output(df: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ MERGE_INCOMING_FROM = "1998-01-01"
 STORED_CREATED_AT = "2020-01-01 00:00:00"
 RUN_TS = "2024-06-01 12:00:00"
 PAGE_SIZE = 100
+STREAM_PAGE_SIZE = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _case(k % 4, PARTY_BY_MOD4).alias("party"),
                     _case(k % 3, CHALLENGE_BY_MOD3, "O").alias("incumbent_challenge"),
                     F.coalesce(F.col("cycles"), F.array().cast("array<int>")).alias("cycles"),
-                    "first_file_date", "last_file_date"))
+                    "first_file_date", "last_file_date",
+                    F.concat(F.col("c_mktsegment"), F.lit(" PARTY")).alias("party_full"),
+                    F.when(k % 3 == 0, "Incumbent").when(k % 3 == 1, "Challenger").otherwise("Open seat").alias("incumbent_challenge_full"),
+                    F.substring("c_mktsegment", 1, 1).alias("candidate_status"),
+                    F.year("last_file_date").alias("active_through"),
+                    F.transform(F.coalesce(F.col("cycles"), F.array().cast("array<int>")), lambda c: c + 2).alias("election_years"),
+                    (F.col("c_acctbal") < 0).alias("federal_funds_flag"),
+                    (F.col("c_acctbal") > 5000).alias("has_raised_funds")))
 
 
 def committees_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

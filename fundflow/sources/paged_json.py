@@ -1,11 +1,10 @@
-"""Paged JSON envelopes: ``{"results": [...], "pagination": {"page": p, "pages": N, ...}}``.
+"""Paged JSON envelopes: ``{"fetch": f, "results": [...], "pagination": {"page": p, "pages": N, ...}}``.
 
 A fetch lands one envelope per page (one JSON document per line). Reading is a
 plain JSON scan with an explicit schema, then ``posexplode_outer`` of ``results``;
-``(page, pos)`` becomes ``_seq`` so order-dependent rules (first/last wins) have the
-arrival order. Coverage is audited against ``pagination.pages`` without collecting
-anything: expected pages come from ``sequence(1, pages)`` and missing ones from an
-anti join.
+``(fetch, page, pos)`` becomes ``_seq`` so order-dependent rules (first/last wins) have
+the arrival order, across fetches too. Coverage is audited against ``pagination.pages``
+without collecting anything: missing numbers are the gaps between delivered pages.
 """
 
 from __future__ import annotations
@@ -13,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
+
+from fundflow.operators.ordered import rank_within_group
 
 PAGINATION = T.StructType([
     T.StructField("page", T.IntegerType()),
@@ -22,93 +24,104 @@ PAGINATION = T.StructType([
 ])
 
 
+#: Order of a record: the number of the fetch (growing, e.g. its start time), the page, the place in the page.
+SEQ_TYPE = "struct<fetch: bigint, page: int, pos: int>"
+
+
 def envelope_schema(record: T.StructType) -> T.StructType:
     return T.StructType([
         T.StructField("endpoint", T.StringType()),
+        T.StructField("fetch", T.LongType()),
         T.StructField("results", T.ArrayType(record)),
         T.StructField("pagination", PAGINATION),
     ])
 
 
-def land_pages(records: DataFrame, path: str, endpoint: str, page_size: int = 100,
-               order_col: str | None = None, drop_page=None, files: int | None = None) -> None:
-    """Write ``records`` as envelopes of ``page_size`` rows, numbered from 1.
-
-    Pages are formed by a rank on ``order_col``; the ordering within a page is
-    kept by sorting the collected structs on that column (bounded: one page).
-    ``drop_page`` (a Column predicate on ``page``) leaves pages out, as a source
-    that fails part of the way would. ``files`` spreads pages over that many files.
-    """
-    order_col = order_col or records.columns[0]
-    page = (F.floor(F.col(order_col) / page_size) + 1).cast("int")
-    recs = records.withColumn("page", page)
-    total = records.agg(F.count(F.lit(1)).alias("count"))
-    pages = (recs.groupBy("page")
-             .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in records.columns])))
-                  .alias("results")))
-    if drop_page is not None:
-        pages = pages.filter(~drop_page)
-    # the page count travels with every envelope: a scalar subquery over the row count
-    n_pages = total.select(F.greatest(F.ceil(F.col("count") / page_size), F.lit(1)).cast("int")).scalar()
-    n_rows = total.select(F.col("count").cast("long")).scalar()
-    env = pages.select(F.lit(endpoint).alias("endpoint"), "results",
-                       F.struct(F.col("page"), n_pages.alias("pages"), F.lit(page_size).alias("per_page"),
-                                n_rows.alias("count")).alias("pagination"))
+def page_envelopes(records: DataFrame, endpoint: str, page_size: int = 100, order_col: str | None = None,
+                   fetch: int = 0) -> DataFrame:
+    """``records`` as envelopes of ``page_size`` rows by their rank on ``order_col``, pages numbered from 1."""
+    columns = records.columns
+    order_col = order_col or columns[0]
+    order = [F.col(order_col).asc()] + [F.col(c).asc() for c in columns if c != order_col]
+    ranked = rank_within_group(records.withColumn("__all", F.lit(1)), ["__all"], order, name="__rank")
+    place = F.col("__rank").cast("long") - 1
+    pages = (ranked.withColumn("page", F.floor(place / page_size).cast("int") + 1)
+             .groupBy("page")
+             .agg(F.array_sort(F.collect_list(F.struct("__rank", F.struct(*columns).alias("rec")))).alias("rows")))  # one page
+    rows = records.agg(F.count(F.lit(1)).alias("count"))
+    n_pages = rows.select(F.greatest(F.ceil(F.col("count") / page_size), F.lit(1)).cast("int")).scalar()
+    n_rows = rows.select(F.col("count").cast("long")).scalar()
+    return pages.select(F.lit(endpoint).alias("endpoint"), F.lit(fetch).cast("long").alias("fetch"),
+                        F.transform("rows", lambda r: r["rec"]).alias("results"),
+                        F.struct(F.col("page"), n_pages.alias("pages"), F.lit(page_size).alias("per_page"),
+                                 n_rows.alias("count")).alias("pagination"))
+
+
+def land(envelopes: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> None:
+    """Write envelopes as JSON lines; ``files`` spreads the pages over that many files, in page order."""
     if files:
-        env = env.repartitionByRange(files, F.col("pagination.page"))
-    env.write.mode("errorifexists").json(path)
+        envelopes = envelopes.repartitionByRange(files, F.col("pagination.page"))
+    envelopes.write.mode(mode).json(path)
 
 
-def read_pages(spark: SparkSession, path: str, record: T.StructType, stream: bool = False,
-               max_files_per_trigger: int | None = None) -> DataFrame:
-    """Records of all landed pages with ``page``, ``pos`` and ``_seq`` = (page, pos).
-
-    The source's rule: when page 1 is empty or the source reports one page or
-    fewer, only page 1 counts (an empty first page hides the rest). A missing
-    ``results`` array counts as an empty page.
-    """
-    reader = spark.readStream if stream else spark.read
-    reader = reader.schema(envelope_schema(record))
+def read_envelopes(spark: SparkSession, path: str, record: T.StructType, stream: bool = False,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Landed envelopes, as a table or a stream."""
+    reader = (spark.readStream if stream else spark.read).schema(envelope_schema(record))
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    env = reader.json(path)
-    cols = [f.name for f in record.fields]
-    exploded = env.select(
-        "endpoint", F.col("pagination.page").alias("page"), F.col("pagination.pages").alias("pages"),
-        F.size(F.coalesce(F.col("results"), F.array())).alias("page_rows"),
-        F.posexplode_outer(F.coalesce(F.col("results"), F.array())).alias("pos", "rec"))
-    out = exploded.filter(F.col("rec").isNotNull()).select(
-        "endpoint", "page", "pos", "pages", "page_rows",
-        *[F.col("rec")[c].alias(c) for c in cols],
-        F.struct(F.col("page"), F.col("pos")).alias("_seq"))
-    return out
-
-
-def first_page_rule(records: DataFrame) -> DataFrame:
-    """Apply the single-page rule per endpoint (batch only: needs page 1's size)."""
-    p1 = (records.filter(F.col("page") == 1)
-          .groupBy("endpoint").agg(F.max("page_rows").alias("p1_rows"), F.max("pages").alias("p1_pages")))
-    # one row per endpoint (a fixed, small set): broadcast, so the shared endpoint
-    # value never becomes a single hot shuffle key
-    j = records.join(F.broadcast(p1), "endpoint", "left")
-    only_first = (F.coalesce(F.col("p1_rows"), F.lit(0)) == 0) | (F.coalesce(F.col("p1_pages"), F.lit(0)) <= 1)
-    return j.filter(~only_first | (F.col("page") == 1)).drop("p1_rows", "p1_pages")
+    return reader.json(path)
+
+
+def page_facts(envelopes: DataFrame) -> DataFrame:
+    """What page 1 of each endpoint and fetch says: its rows (``p1_rows``) and the pages reported (``p1_pages``)."""
+    size = F.size(F.coalesce("results", F.array()))
+    return (envelopes.where("pagination.page = 1").groupBy("endpoint", F.coalesce("fetch", F.lit(0)).alias("fetch"))
+            .agg(F.max(size).alias("p1_rows"), F.max("pagination.pages").alias("p1_pages")))
+
+
+def records_of(envelopes: DataFrame, record: T.StructType) -> DataFrame:
+    """Records with ``endpoint``, ``fetch``, ``page``, ``pos``, ``pages`` and ``_seq``; no results is an empty page."""
+    rows = envelopes.select(
+        "endpoint", F.coalesce("fetch", F.lit(0)).cast("long").alias("fetch"), F.col("pagination.page").alias("page"),
+        F.col("pagination.pages").alias("pages"), F.posexplode(F.coalesce("results", F.array())).alias("pos", "rec"))
+    return rows.where("rec is not null").select(
+        "endpoint", "fetch", "page", "pos", "pages", *[F.col("rec")[f.name].alias(f.name) for f in record.fields],
+        F.struct("fetch", "page", "pos").alias("_seq"))
+
+
+def first_page_rule(records: DataFrame, facts: DataFrame, may_come: bool = False) -> DataFrame:
+    """When page 1 is empty or missing, or the source reports one page or fewer, only page 1 counts.
+
+    ``facts`` has one row for each endpoint and fetch. They are few, but nothing here
+    relies on it: the join is left to Spark, which broadcasts them when it measures them
+    small. With ``may_come`` a page 1 that hasn't landed yet doesn't hide other pages.
+    """
+    j = records.join(facts, ["endpoint", "fetch"], "left")
+    more = F.when(F.col("p1_rows").isNotNull(), (F.col("p1_rows") > 0) & (F.coalesce("p1_pages", F.lit(0)) > 1)).otherwise(F.lit(may_come))
+    return j.where((F.col("page") == 1) | more).drop("p1_rows", "p1_pages")
+
+
+def read_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    """Records of all landed pages that count (``first_page_rule``)."""
+    envelopes = read_envelopes(spark, path, record)
+    return first_page_rule(records_of(envelopes, record), page_facts(envelopes))
 
 
 def page_coverage(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
     """Pages expected (1..pages) but not delivered, per endpoint.
 
-    Expected page numbers are generated by a distributed ``spark.range`` rather
-    than by exploding ``sequence(1, pages)`` in the one task that holds an
-    endpoint's row. The per-endpoint page counts are one row per endpoint (a fixed,
-    small set), so they are the broadcast side of the ``page <= pages`` join; the
-    largest count is a single number read on the driver to size the range.
+    The pages missing behind a delivered page are the numbers up to the next delivered
+    one (or up to the reported count), found with one ``lead`` per endpoint over the page
+    numbers alone; what is exploded is the missing pages themselves.
     """
-    env = spark.read.schema(envelope_schema(record)).json(path) \
-        .select("endpoint", F.col("pagination.page").alias("page"), F.col("pagination.pages").alias("pages"))
-    per_endpoint = env.groupBy("endpoint").agg(F.max("pages").alias("pages"))
-    top = per_endpoint.agg(F.max("pages").alias("m")).first()["m"] or 0
-    numbers = spark.range(1, top + 1).select(F.col("id").cast("int").alias("page"))
-    expected = numbers.join(F.broadcast(per_endpoint), F.col("page") <= F.col("pages")).select("endpoint", "page")
-    delivered = env.select("endpoint", "page").distinct()
-    return expected.join(delivered, ["endpoint", "page"], "left_anti")
+    env = read_envelopes(spark, path, record).select("endpoint", F.col("pagination.page").alias("page"),
+                                                     F.col("pagination.pages").alias("pages"))
+    reported = env.groupBy("endpoint").agg(F.max("pages").alias("pages"))
+    # page 0 stands before the first page, so that a missing page 1 is a gap like any other
+    known = env.select("endpoint", "page").union(reported.select("endpoint", F.lit(0))).distinct()
+    by_page = Window.partitionBy("endpoint").orderBy("page")
+    gaps = (known.withColumn("next", F.lead("page").over(by_page)).join(reported, "endpoint")
+            .withColumn("to", F.least(F.coalesce(F.col("next") - 1, F.col("pages")), F.col("pages"))))
+    return (gaps.where(F.col("page") < F.col("to"))
+            .select("endpoint", F.explode(F.sequence(F.col("page") + 1, F.col("to"))).alias("page")))

@@ -1,12 +1,17 @@
 """Incremental ingest: landed page files -> validate -> de-duplicate -> merge, per micro-batch.
 
 ``readStream.json`` picks up page files as they land; each micro-batch goes through
-the same transform and merge as the batch job inside ``foreachBatch``. The stored
-table is the only state. It keeps the arrival order ``_seq`` of each row as a
+the same transform, parent check and merge as the batch job inside ``foreachBatch``. The
+stored table keeps the arrival order ``_seq`` = (fetch, page, pos) of each row as a
 version column and a row is replaced only by a newer one, so
 
-* a batch replayed after a failure (same epoch, same files) changes nothing, and
-* batches that arrive out of order still converge to "last arrival wins".
+* a batch replayed after a failure (same epoch, same files) changes nothing,
+* batches that arrive out of order still converge to "last arrival wins", and
+* a later fetch replaces an earlier one wherever its pages put a record.
+
+Page 1 of a fetch decides whether its other pages count; what it says is kept in a small
+log, as other pages come in other batches (pages that are read before it count). When the landing
+folder is drained the derived tables are refreshed if a spending table changed.
 
 ``trigger(availableNow=True)`` drains what has landed and stops, which is how a
 scheduled incremental run uses it; the same code runs continuously with a
@@ -15,42 +20,56 @@ processing-time trigger.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundflow.operators.ingest import TRANSFORMS
 from fundflow.operators.quality import SEQ
-from fundflow.operators.specs import ENTITIES
-from fundflow.plans.jobs import merge_into
-from fundflow.plans.refresh import TableStore
+from fundflow.plans.jobs import SPENDING_ENTITIES, EntityResult, ingest_entity, spending_inputs
+from fundflow.plans.refresh import TableStore, refresh_spending
 from fundflow.session import new_location
-from fundflow.sources.paged_json import read_pages
+from fundflow.sources.paged_json import first_page_rule, page_facts, read_envelopes, records_of
+
 
-SEQ_TYPE = "struct<page:int,pos:int>"
+@dataclass
+class StreamResult:
+    batches: int = 0
+    inserted: int = 0
+    updated: int = 0
+    errors: int = 0
+    refreshed: bool = False
 
 
-def merge_batch(store: TableStore, entity: str, batch: DataFrame, run_ts: str) -> None:
-    """One micro-batch: transform, versioned merge into the touched buckets only."""
-    spec = ENTITIES[entity]
-    t = TRANSFORMS[entity](batch)
-    merge_into(store, entity, t.rows.select(*spec.columns, SEQ), run_ts, version=SEQ)
+def merge_batch(store: TableStore, entity: str, envelopes: DataFrame, record: T.StructType, run_ts: str) -> EntityResult:
+    """One micro-batch of envelopes: page-1 rule, transform, parent check, versioned merge."""
+    facts = (store.append(f"page_facts_{entity}", page_facts(envelopes))
+             .groupBy("endpoint", "fetch").agg(F.max("p1_rows").alias("p1_rows"), F.max("p1_pages").alias("p1_pages")))
+    records = first_page_rule(records_of(envelopes, record), facts, may_come=True)
+    return ingest_entity(store, entity, records, run_ts, version=SEQ)
 
 
 def run_incremental(spark: SparkSession, store: TableStore, landing: str, record: T.StructType,
                     entity: str, run_ts: str, files_per_batch: int = 1,
-                    checkpoint: str | None = None) -> int:
-    """Drain the landing folder in micro-batches; returns the number of batches run."""
-    stream = read_pages(spark, landing, record, stream=True, max_files_per_trigger=files_per_batch)
-    batches = []
+                    checkpoint: str | None = None) -> StreamResult:
+    """Drain the landing folder in micro-batches, then refresh the derived tables if they may have changed."""
+    out = StreamResult()
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        merge_batch(store, entity, batch, run_ts)
-        batches.append(epoch_id)
+        r = merge_batch(store, entity, batch, record, run_ts)
+        out.batches += 1
+        out.errors += r.errors
+        out.inserted += (r.stats or {}).get("inserted", 0)
+        out.updated += (r.stats or {}).get("updated", 0)
 
-    q = (stream.writeStream
+    q = (read_envelopes(spark, landing, record, stream=True, max_files_per_trigger=files_per_batch).writeStream
          .foreachBatch(handle)
          .option("checkpointLocation", checkpoint or new_location(spark, f"stream_ckpt_{entity}"))
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
-    return len(batches)
+    if entity in SPENDING_ENTITIES and out.inserted + out.updated:
+        refresh_spending(store, *spending_inputs(store))
+        out.refreshed = True
+    return out

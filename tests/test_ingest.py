@@ -152,3 +152,15 @@ def test_tally_of_sums_and_of_an_empty_feed(spark):
     assert tuple(t.tally.first()) == (1, 3, 1, 1)
     assert t.rows.count() == 1 and t.quarantine.count() == 3 and t.skipped.count() == 1
     assert tuple(transform_inside(raw.limit(0)).tally.first()) == (0, 0, 0, 0)
+
+
+def test_whole_numbers_only(spark):
+    from pyspark.sql import functions as F
+    from fundflow.operators.quality import coerce_array, whole_number
+    texts = ["2024", "2024.0", " 7 ", "2024.7", "1e3", "x", "", None, "99999999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(whole_number(F.col("t"))).collect()] == [2024, 2024, 7, None, 1000, None, None, None, None]
+    doubles = spark.createDataFrame([(2024.0,), (2024.7,), (None,)], "d double")
+    assert [r[0] for r in doubles.select(whole_number(F.col("d"))).collect()] == [2024, None, None]
+    lists = spark.createDataFrame([([2020.0, 2021.5],)], "l array<double>")
+    assert lists.select(coerce_array(F.col("l"), "int")).first()[0] == [2020, None]

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from fundflow.plans import jobs
 from fundflow.plans.refresh import ELECTION_TABLE, SUMMARY_TABLE, TableStore
-from fundflow.sources.paged_json import first_page_rule, page_coverage, read_pages
+from fundflow.sources.paged_json import page_coverage, page_envelopes, read_envelopes, read_pages
 
 REC = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
 
@@ -28,18 +28,18 @@ def env(page, pages, results):
 
 def test_pages_concatenate_and_audit(spark):
     d = _write_pages([env(1, 3, [{"id": 1, "v": "a"}, {"id": 2, "v": "b"}]), env(3, 3, [{"id": 5, "v": "c"}])])
-    recs = first_page_rule(read_pages(spark, d, REC))
+    recs = read_pages(spark, d, REC)
     assert sorted((r.id, r.page, r.pos) for r in recs.collect()) == [(1, 1, 0), (2, 1, 1), (5, 3, 0)]
     assert [(r.endpoint, r.page) for r in page_coverage(spark, d, REC).collect()] == [("e", 2)]
 
 
 def test_empty_first_page_hides_the_rest(spark):
     d = _write_pages([env(1, 2, []), env(2, 2, [{"id": 9, "v": "x"}])])
-    assert first_page_rule(read_pages(spark, d, REC)).count() == 0
+    assert read_pages(spark, d, REC).count() == 0
     d2 = _write_pages([env(1, 1, [{"id": 1, "v": "x"}]), env(2, 1, [{"id": 2, "v": "y"}])])
-    assert [r.id for r in first_page_rule(read_pages(spark, d2, REC)).collect()] == [1]
+    assert [r.id for r in read_pages(spark, d2, REC).collect()] == [1]
     d3 = _write_pages([{"endpoint": "e", "pagination": {"page": 1, "pages": 1}}])
-    assert first_page_rule(read_pages(spark, d3, REC)).count() == 0
+    assert read_pages(spark, d3, REC).count() == 0
 
 
 def test_entity_order_and_unknown():
@@ -58,22 +58,45 @@ INSIDE = "candidate_id string, cycle int, receipts decimal(15,2), disbursements
 OUTSIDE = "candidate_id string, cycle int, support_oppose_indicator string, total decimal(14,2), _seq long"
 
 
+CANDIDATE = "candidate_id string, name string, party string, _seq long"
+
+
+def _candidates(spark, *rows):
+    return spark.createDataFrame([(c, n, p, i) for i, (c, n, p) in enumerate(rows)], CANDIDATE)
+
+
+def test_pages_are_cut_by_rank(spark):
+    df = spark.createDataFrame([(10 * i, f"v{i}") for i in range(25)] + [(70, "v7")], REC)  # sparse keys, one twice
+    env_ = page_envelopes(df, "e", page_size=10, order_col="id").collect()
+    assert sorted((r.pagination.page, len(r.results), r.pagination.pages, r.pagination["count"]) for r in env_) == [
+        (1, 10, 3, 26), (2, 10, 3, 26), (3, 6, 3, 26)]
+    first = next(r for r in env_ if r.pagination.page == 1)
+    assert [x.id for x in first.results] == [0, 10, 20, 30, 40, 50, 60, 70, 70, 80]
+
+
+def test_coverage_lists_every_gap(spark):
+    d = _write_pages([env(2, 6, []), env(5, 6, [])])
+    assert sorted(r.page for r in page_coverage(spark, d, REC).collect()) == [1, 3, 4, 6]
+
+
 def test_batch_refresh_gate_and_isolation(spark):
     store = _store(spark)
     feeds = {"inside_totals_by_candidate": spark.createDataFrame([("C1", 2024, D(100), D(80), 1)], INSIDE),
              "schedule_e_totals_by_candidate": spark.createDataFrame([("C1", 2024, "S", D(20), 1)], OUTSIDE),
-             "candidates": spark.createDataFrame([(None, "x", 1)], "candidate_id int, bad string, _seq long")
-             .selectExpr("candidate_id", "bad", "_seq")}
-    out = jobs.ingest_batch(store, feeds, "2024-06-01 00:00:00")
+             "candidates": _candidates(spark, ("C1", "DOE, JO", None))}
+    broken = feeds | {"committees": spark.createDataFrame([(1,)], "committee_id int")}  # no _seq: this entity fails
+    out = jobs.ingest_batch(store, broken, "2024-06-01 00:00:00")
+    assert out.results["committees"].error and not out.results["candidates"].error
     assert out.results["inside_totals_by_candidate"].stats["inserted"] == 1
-    assert out.results["candidates"].stats is None or out.results["candidates"].error
     assert out.refreshed
     e = store.read(ELECTION_TABLE).first()
     assert (e.cycle, e.candidate_count, e.global_influence_ratio) == (2024, 1, D("0.25"))
-    # second run with the same data: nothing changes, nothing counted
+    # second run with the same data: nothing changes, nothing is written
+    parts = store.parts("inside_totals_by_candidate")
     out2 = jobs.ingest_batch(store, feeds, "2024-07-01 00:00:00", ["inside_totals_by_candidate"])
     s = out2.results["inside_totals_by_candidate"].stats
     assert (s["inserted"], s["updated"], s["unchanged"]) == (0, 0, 1)
+    assert store.parts("inside_totals_by_candidate") == parts
     assert store.read("inside_totals_by_candidate").first().updated_at.month == 6
     assert store.read(SUMMARY_TABLE).count() == 1
 
@@ -86,25 +109,64 @@ def test_no_refresh_when_nothing_survives(spark):
     assert not out.refreshed
 
 
-def test_stream_is_replay_safe(spark):
-    from fundflow.streaming.micro_batch import run_incremental
-    rec = T.StructType([T.StructField("candidate_id", T.StringType()), T.StructField("name", T.StringType()),
-                        T.StructField("party", T.StringType())])
-    d = tempfile.mkdtemp(prefix="land-")
-    for i, batch in enumerate([[("C1", "SMITH, JOHN", "DEM")], [("C1", "SMITH, JOHN", "REP"), ("C2", "DOE, JO", None)]]):
-        with open(os.path.join(d, f"p{i}.json"), "w") as f:
-            f.write(json.dumps(env(i + 1, 2, [dict(zip(["candidate_id", "name", "party"], r)) for r in batch])) + "\n")
+def test_unknown_candidates_are_quarantined(spark):
     store = _store(spark)
-    ck = tempfile.mkdtemp(prefix="ck-")
-    n = run_incremental(spark, store, d, rec, "candidates", "2024-06-01 00:00:00", checkpoint=ck)
-    assert n == 2
-    got = {r.candidate_id: (r.name, r.party) for r in store.read("candidates").collect()}
+    feeds = {"candidates": _candidates(spark, ("C1", "DOE, JO", None), ("C9", "  ", None)),
+             "inside_totals_by_candidate": spark.createDataFrame([("C1", 2024, D(1), D(1), 1), ("CX", 2024, D(2), D(2), 2)], INSIDE),
+             "schedule_e_totals_by_candidate": spark.createDataFrame([("CX", 2024, "S", D(20), 1)], OUTSIDE)}
+    out = jobs.ingest_batch(store, feeds, "2024-06-01 00:00:00")
+    inside, outside, cands = (out.results[e] for e in ("inside_totals_by_candidate", "schedule_e_totals_by_candidate", "candidates"))
+    assert (inside.stats["inserted"], inside.stats["errors"], inside.errors) == (1, 1, 1)
+    assert [r.candidate_id for r in store.read("inside_totals_by_candidate").collect()] == ["C1"]
+    assert outside.stats is None and outside.errors == 1 and not store.exists("schedule_e_totals_by_candidate")
+    assert [(r.failed_id, r.errors) for r in outside.quarantine.collect()] == [("CX", ["unknown_parent"])]
+    assert [r.failed_id for r in cands.failed_ids().collect()] == ["C9"]
+    assert json.loads(inside.quarantine.first().row)["receipts"] == 2
+    # the log outlives the run
+    assert spark.read.parquet(f"{store.root}/{jobs.QUARANTINE}").count() == 3
+
+
+REC_C = T.StructType([T.StructField("candidate_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("party", T.StringType())])
+
+
+def _land(folder, name, fetch, page, rows, pages=2):
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(json.dumps(env(page, pages, [dict(zip(["candidate_id", "name", "party"], r)) for r in rows]) | {"fetch": fetch}) + "\n")
+
+
+def test_stream_is_replay_safe_and_a_later_fetch_wins(spark):
+    from fundflow.streaming.micro_batch import merge_batch, run_incremental
+    d, store, ck = tempfile.mkdtemp(prefix="land-"), _store(spark), tempfile.mkdtemp(prefix="ck-")
+    _land(d, "p0.json", 1, 1, [("C1", "SMITH, JOHN", "DEM")])
+    _land(d, "p1.json", 1, 2, [("C1", "SMITH, JOHN", "REP"), ("C2", "DOE, JO", None), ("", "NOBODY", None)])
+    r = run_incremental(spark, store, d, REC_C, "candidates", "2024-06-01 00:00:00", checkpoint=ck)
+    assert (r.batches, r.errors, r.refreshed) == (2, 1, False)
+    got = {x.candidate_id: (x.name, x.party) for x in store.read("candidates").collect()}
     assert got == {"C1": ("John Smith", "REP"), "C2": ("Jo Doe", None)}
+    assert spark.read.parquet(f"{store.root}/{jobs.QUARANTINE}").count() == 1
     # replaying page 1 (older) into the same table changes nothing
-    from fundflow.streaming.micro_batch import merge_batch
-    merge_batch(store, "candidates", read_pages(spark, os.path.join(d, "p0.json"), rec), "2024-06-02 00:00:00")
-    got2 = {r.candidate_id: (r.party, r.updated_at.day) for r in store.read("candidates").collect()}
-    assert got2["C1"] == ("REP", 1)
+    merge_batch(store, "candidates", read_envelopes(spark, os.path.join(d, "p0.json"), REC_C), REC_C, "2024-06-02 00:00:00")
+    assert {x.candidate_id: (x.party, x.updated_at.day) for x in store.read("candidates").collect()}["C1"] == ("REP", 1)
+    # the next fetch has the record on a lower page, and it still replaces the old one
+    _land(d, "q0.json", 2, 1, [("C1", "SMITH, JOHN", "GRN")])
+    run_incremental(spark, store, d, REC_C, "candidates", "2024-06-03 00:00:00", checkpoint=ck)
+    assert {x.candidate_id: x.party for x in store.read("candidates").collect()} == {"C1": "GRN", "C2": None}
+
+
+def test_stream_applies_the_first_page_rule_and_refreshes(spark):
+    from fundflow.streaming.micro_batch import run_incremental
+    rec = T.StructType([T.StructField("candidate_id", T.StringType()), T.StructField("cycle", T.IntegerType()),
+                        T.StructField("receipts", T.StringType()), T.StructField("disbursements", T.StringType())])
+    store, d = _store(spark), tempfile.mkdtemp(prefix="land-")
+    jobs.ingest_entity(store, "candidates", _candidates(spark, ("C1", "DOE, JO", None), ("C2", "ROE, AL", None)), "2024-06-01 00:00:00")
+    row = lambda c: {"candidate_id": c, "cycle": 2024, "receipts": "10", "disbursements": "5"}
+    for name, e in (("a.json", env(1, 1, [row("C1")])), ("b.json", env(2, 1, [row("C2")]))):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(json.dumps(e) + "\n")
+    os.utime(os.path.join(d, "a.json"), (1, 1))  # page 1 lands first
+    r = run_incremental(spark, store, d, rec, "inside_totals_by_candidate", "2024-06-01 00:00:00")
+    assert r.refreshed and store.read(SUMMARY_TABLE).first().candidate_id == "C1"
+    assert [x.candidate_id for x in store.read("inside_totals_by_candidate").collect()] == ["C1"]
 
 
 def test_single_entry_applies_date_window(spark):
@@ -121,50 +183,71 @@ def test_single_entry_applies_date_window(spark):
     assert out2.results["candidates"].stats["inserted"] == 1
 
 
-def test_merge_rewrites_only_touched_buckets(spark):
-    from pyspark.sql import functions as F
-    from fundflow.plans.refresh import BUCKET
-    from fundflow.session import local_path, shared_dir
+def _size(path):
+    from fundflow.session import local_path
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local_path(path)) for f in fs if f.endswith(".parquet"))
+
+
+def test_a_merge_writes_its_changed_rows_only(spark):
     store = _store(spark)
-    first = spark.createDataFrame([(f"C{i}", 2024, D(i), D(i), i) for i in range(200)], INSIDE)
-    jobs.ingest_entity(store, "inside_totals_by_candidate", first, "2024-06-01 00:00:00")
-    table = store.read("inside_totals_by_candidate")
-    loc = local_path(store.location("inside_totals_by_candidate"))
-
-    def files_by_bucket():
-        out = {}
-        for d in os.listdir(loc):
-            if d.startswith(BUCKET + "="):
-                out[d] = sorted(f for f in os.listdir(os.path.join(loc, d)) if f.endswith(".parquet"))
-        return out
-
-    before = files_by_bucket()
-    assert table.count() == 200 and len(before) > 10
-    staging = os.path.join(local_path(shared_dir(spark)), "staging")
-
-    def staged():
-        return {(d, e) for d in (os.listdir(staging) if os.path.isdir(staging) else [])
-                for e in os.listdir(os.path.join(staging, d))}
-
-    staged_before = staged()
-    # change one key: exactly its bucket is rewritten, every other bucket keeps its files
-    one = spark.createDataFrame([("C7", 2024, D(70), D(70), 1000)], INSIDE)
-    r = jobs.ingest_entity(store, "inside_totals_by_candidate", one, "2024-07-01 00:00:00")
-    assert (r.stats["inserted"], r.stats["updated"]) == (0, 1)
-    after = files_by_bucket()
-    changed = [b for b in before if before[b] != after.get(b)]
-    target = store.read("inside_totals_by_candidate").filter(F.col("candidate_id") == "C7").first()
-    assert changed == [f"{BUCKET}={target[BUCKET]}"]
-    assert target.receipts == D("70.00") and store.read("inside_totals_by_candidate").count() == 200
-    # the merge's staged copies were removed: nothing new is left in the staging folder
-    assert staged() - staged_before == set()
+    rows = [(f"C{i}", f"Name {uuid.uuid4().hex}", "P") for i in range(20_000)]
+    jobs.ingest_entity(store, "candidates", _candidates(spark, *rows), "2024-06-01 00:00:00")
+    changed = [(c, n, "Q" if i % 10 == 0 else p) for i, (c, n, p) in enumerate(rows)]  # 2 000 keys, anywhere in the table
+    r = jobs.ingest_entity(store, "candidates", _candidates(spark, *changed), "2024-07-01 00:00:00")
+    assert (r.stats["inserted"], r.stats["updated"], r.stats["unchanged"]) == (0, 2_000, 18_000)
+    first, second = store.parts("candidates")
+    assert _size(second) < 0.25 * _size(first)
+    got = store.read("candidates")
+    assert got.count() == 20_000 and got.where("party = 'Q'").count() == 2_000
+
+
+def test_a_failed_merge_loses_nothing(spark, monkeypatch):
+    store = _store(spark)
+    jobs.ingest_entity(store, "candidates", _candidates(spark, ("C1", "DOE, JO", "A"), ("C2", "ROE, AL", "A")), "2024-06-01 00:00:00")
+    before = sorted(store.read("candidates").collect())
+    update = _candidates(spark, ("C1", "DOE, JO", "B"))
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "publish_part", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            jobs.ingest_entity(store, "candidates", update, "2024-07-01 00:00:00")
+    assert sorted(store.read("candidates").collect()) == before
+    jobs.ingest_entity(TableStore(spark, store.root, store.db), "candidates", update, "2024-07-01 00:00:00")
+    assert {r.candidate_id: r.party for r in store.read("candidates").collect()} == {"C1": "B", "C2": "A"}
+
+
+def test_many_parts_are_written_anew(spark, monkeypatch):
+    from fundflow.plans import refresh
+    monkeypatch.setattr(refresh, "MOST_PARTS", 3)
+    store = _store(spark)
+    for i in range(9):
+        jobs.ingest_entity(store, "candidates", _candidates(spark, ("C1", "DOE, JO", f"P{i}"), (f"N{i}", "ROE, AL", None)), "2024-06-01 00:00:00")
+        assert len(store.parts("candidates")) <= 3
+    got = {r.candidate_id: r.party for r in store.read("candidates").collect()}
+    assert got == {"C1": "P8"} | {f"N{i}": None for i in range(9)}
 
 
 def test_old_derived_versions_are_retired(spark):
     from fundflow.session import local_path
     store = _store(spark)
     df = spark.createDataFrame([(2024, 1)], "cycle int, n int")
-    paths = [store.write_version("t", df, key=["cycle"]) for _ in range(4)]
+    # another store on the same catalog sees and retires the same versions
+    paths = [TableStore(spark, store.root, store.db).write_version("t", df, key=["cycle"]) for _ in range(4)]
     alive = [os.path.isdir(local_path(p)) for p in paths]
     assert alive == [False, False, True, True]
     assert store.read("t").count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+    from fundflow.session import shared_dir
+    with pytest.raises(RuntimeError):
+        shared_dir(N(sparkContext=N(master="yarn", applicationId="a"), conf=N(get=lambda k, d=None: d)))
+
+
+def test_a_filter_on_a_missing_column_is_an_error(spark):
+    from fundflow.sources.predicates import source_filter
+    with pytest.raises(ValueError):
+        source_filter(spark.range(1), offices=("P",))
+    one = spark.createDataFrame([(2000, "P"), (2002, "P"), (2000, "X")], "cycle int, office string")
+    assert source_filter(one, cycle=2000, cycle_column="cycle").count() == 1  # a scalar cycle
+    assert source_filter(one, offices=None, office="X").count() == 1

@@ -2,19 +2,21 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
-from fundflow.plans import queries as Q
+from fundflow.plans import marts, queries as Q
 
 CAND = "candidate_id string, name string, office string, state string, cycles array<int>, first_file_date date"
 
 
 def cands(spark):
-    return spark.createDataFrame([
+    some = spark.createDataFrame([
         ("C1", "Ann", "H", "CA", [2020, 2022], dt.date(2019, 1, 1)),
         ("C2", "Bob", "S", "CA", [2022, 2024], None),
         ("C3", "Cid", "H", "NY", [2024], dt.date(2023, 1, 1)),
         ("C4", "Dee", "H", "CA", None, dt.date(2021, 1, 1)),
     ], CAND)
+    return some.withColumns({c: F.lit(None).cast("string") for c in Q.CANDIDATE_OUT if c not in some.columns})
 
 
 def ids(df):
@@ -93,3 +95,32 @@ def test_election_by_cycle_validates(spark):
     assert Q.election_by_cycle(e, 2024, dt.date(2025, 1, 1)).count() == 1
     with pytest.raises(ValueError):
         Q.election_by_cycle(e, 2023, dt.date(2025, 1, 1))
+
+
+def test_a_response_has_every_column_or_fails(spark):
+    assert tuple(Q.candidate_list(cands(spark)).rows.columns) == Q.CANDIDATE_OUT == tuple(Q.candidate_by_id(cands(spark), "C1").columns)
+    with pytest.raises(Exception, match="party"):
+        Q.candidate_list(cands(spark).drop("party"))
+    with pytest.raises(ValueError, match="party"):
+        Q.spending_list(summary(spark), cands(spark).drop("party"))
+
+
+def test_pages_are_bounded(spark):
+    with pytest.raises(ValueError):
+        Q.spending_list(summary(spark), cands(spark), offset=Q.MAX_OFFSET + 1)
+    with pytest.raises(ValueError):
+        Q.top_outside_spenders(summary(spark), 2024, 1001)
+    with pytest.raises(ValueError):
+        Q.held(spark.range(30), most=20)
+
+
+def test_filters_reach_both_sides_of_the_summary_join(spark):
+    inside = spark.createDataFrame([("C1", 2024, D(1), D(1))], "candidate_id string, cycle int, receipts decimal(15,2), disbursements decimal(15,2)")
+    outside = spark.createDataFrame([("C1", 2024, "S", D(1))], "candidate_id string, cycle int, support_oppose_indicator string, total decimal(14,2)")
+    sides = [marts.only(t, cycle=2024, candidate_ids=["C1"]) for t in (inside, outside)]
+    plan = marts.candidate_spending_summary(*sides)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join FullOuter")
+    assert "Filter" not in above and below.count("Aggregate") == below.count("Filter") == 2
+    assert below.count("cycle#") >= 2 and below.count("= 2024") == 2
+    page = Q.spending_list(summary(spark), cands(spark), cycle=2024).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in page and " IN (" in page  # the page is computed once, its candidates are looked up
