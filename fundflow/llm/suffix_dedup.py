@@ -29,7 +29,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -45,7 +45,7 @@ BLOCK_BYTES, MOST_BLOCKS, GROUP_SUFFIXES = 8 << 20, 1 << 20, 1 << 21
 #: Most cells of the prefix table for one prefix length, and the longest prefix that is tried.
 MOST_CELLS, LONGEST_PREFIX = 1 << 20, 6
 #: Bytes that are hashed at once, and text that is gathered before its suffixes are sent.
-PIECE, GATHERED = 2 << 20, 24 << 20
+PIECE, GATHERED = 2 << 20, 12 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -110,17 +110,22 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def suffixes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Digest, first word and text of every suffix with ``words`` words, and the digests of its shorter prefixes."""
+def suffixes(texts: list[bytes], words: int, prefix: Callable[[int, np.ndarray], None] | None = None
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, first word and text of every suffix with ``words`` words.
+
+    ``prefix`` is called with 0, 1, ... and the digests of the suffixes' first 1, 2, ... words.
+    """
     h, owner = hash_words(texts)
     n = max(0, len(h) - words + 1)
-    total, shorter = np.zeros(n, np.uint64), []
     at = np.flatnonzero(owner[:n] == owner[words - 1:]) if n else np.zeros(0, np.int64)
+    owner = owner[at]
+    total = np.zeros(n, np.uint64)
     for i in range(words):
-        total = total + h[i:i + n] * PLACE[i % len(PLACE)]
-        if i + 1 < min(words, LONGEST_PREFIX + 1):
-            shorter.append(mix(total[at]))
-    return mix(total[at]), at, owner[:n][at], shorter
+        total += h[i:i + n] * PLACE[i % len(PLACE)]
+        if prefix and i < min(words - 1, LONGEST_PREFIX):
+            prefix(i, mix(total[at]))
+    return mix(total[at]), at, owner
 
 
 class Groups:
@@ -132,17 +137,20 @@ class Groups:
     def cells(self, prefix: np.ndarray) -> np.ndarray:
         return (prefix >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def of(self, shorter: list[np.ndarray]) -> np.ndarray:
-        out = self.cells(shorter[0])
-        open_ = self.crowded[0][out] if len(shorter) > 1 else np.zeros(len(out), bool)
-        for depth in range(1, len(shorter)):
-            at = np.flatnonzero(open_)
-            if not len(at):
-                break
-            cell = self.cells(shorter[depth][at])
-            out[at] = cell + (depth << self.bits)
-            open_[at] = self.crowded[depth][cell] if depth + 1 < len(shorter) else False
-        return out
+    def suffixes(self, texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digest, text and group of every suffix."""
+        group, still = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def prefix(depth: int, digests: np.ndarray) -> None:
+            nonlocal group, still
+            if depth == 0:
+                group, still = np.zeros(len(digests), np.int64), np.arange(len(digests))
+            cell = self.cells(digests[still])
+            group[still] = cell + (depth << self.bits)
+            still = still[self.crowded[depth][cell]]
+
+        digest, _, owner = suffixes(texts, words, prefix)
+        return digest, owner, group if words > 1 else np.zeros(len(digest), np.int64)
 
 
 def packed(sorted_digests: np.ndarray) -> bytes:
@@ -176,11 +184,13 @@ def prefix_groups(docs: DataFrame, words: int, estimate: int) -> Groups:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((LONGEST_PREFIX, 1 << bits), np.int64)
+
+        def add(depth: int, digests: np.ndarray) -> None:
+            total[depth] += np.bincount(table.cells(digests), minlength=1 << bits)
+
         for batch in batches:
             for piece in slices(batch, "text"):
-                *_, shorter = suffixes(texts_of(piece.column("text")), words)
-                for depth, prefix in enumerate(shorter):
-                    total[depth] += np.bincount(table.cells(prefix), minlength=1 << bits)
+                suffixes(texts_of(piece.column("text")), words, add)
         depth, cell = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"depth": pa.array(depth, pa.int64()), "cell": pa.array(cell, pa.int64()),
                                           "n": pa.array(total[depth, cell], pa.int64())})
@@ -207,9 +217,10 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         texts, ids, size = [], [], 0
 
         def flushed() -> pa.RecordBatch:
-            digest, _, owner, shorter = suffixes(texts, words)
-            block = np.searchsorted(bounds, np.array(ids, np.int64), "right")[owner]
-            key = groups.of(shorter) * (len(bounds) + 1) + block
+            digest, owner, key = groups.suffixes(texts, words)
+            key *= len(bounds) + 1
+            key += np.searchsorted(bounds, np.array(ids, np.int64), "right")[owner]
+            del owner
             order = np.argsort(digest)
             order = order[np.argsort(key[order], kind="stable")]
             key, digest = key[order], digest[order]
@@ -255,7 +266,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         documents = documents.sort_by([("doc_id", "ascending")])
         texts, ids = texts_of(documents.column("text")), documents.column("doc_id").to_pylist()
         known = [i is not None for i in ids]
-        digest, start, owner, _ = suffixes([t if k else b"" for t, k in zip(texts, known)], words)
+        digest, start, owner = suffixes([t if k else b"" for t, k in zip(texts, known)], words)
         number = np.array([i if k else 0 for i, k in zip(ids, known)], np.int64)[owner]
         order = np.argsort(digest, kind="stable")  # documents are in order, so the first of a node has the smallest id
         node = np.flatnonzero(np.concatenate([np.ones(min(1, len(digest)), bool), digest[order][1:] != digest[order][:-1]]))
