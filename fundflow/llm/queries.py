@@ -83,4 +83,21 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings LEFT JOIN components USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
-ORACLE: dict[str, str] = {"op5_embedding_dedup": OP5_SQL}
+#: Operator 2 word by word, for tables whose doc_id is a key.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM (
+    SELECT doc_id, i, unnest(range(0, 13)) AS j FROM windows JOIN firsts USING (k) WHERE first < doc_id)),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (
+  SELECT w.doc_id, count(g.p) AS n_removed, string_agg(w.word, ' ' ORDER BY w.p) FILTER (WHERE g.p IS NULL) AS left_over
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL}
