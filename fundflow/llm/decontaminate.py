@@ -4,18 +4,23 @@ Texts are sequences of words (lower-cased runs of letters, digits and underscore
 is found where some stretch of a document is within ``k = floor((1 - SIMILARITY) * n)`` word
 edits of its n words.
 
-1. Windows of the item's length start at every word where they can hold a match at all: an
-   item keeps at least n - 2 - 3k of its three-word runs under k edits (a lower bound of 1
-   means any; short items use single words), so a window with fewer runs of any item is out.
-   This loses nothing.
-2. Items are put in classes by length; a window of a class is embedded by REPEATS CGK random
-   walks over the first words that every item of the class has. A walk emits the word it
+1. CGK walks fall out of step more the longer a text is, so items of more than PART words are
+   looked for by parts of about equal length, at most PART words. One of m parts holds at most
+   k // m of the edits, which is within that part's own k. A shorter item is one part.
+2. Windows of the part's length start at every word where they can hold a match at all: a
+   part of n words keeps at least n - 2 - 3k of its three-word runs under k edits (a lower
+   bound of 1 means any; short parts use single words), so a window with fewer runs of any
+   part is out. This loses nothing.
+3. Parts are put in classes by length; a window of a class is embedded by REPEATS CGK random
+   walks over the first words that every part of the class has. A walk emits the word it
    stands on and steps on by a random bit of that word, which turns word edits into few
    differing places.
-3. Each walk is sampled at SAMPLED places; a window meets the items with the same sample.
+4. Each walk is sampled at SAMPLED places; a window meets the parts with the same sample.
    SAMPLED and REPEATS are set for a recall of 0.95 at the similarity itself, where least
-   agrees (measured in the tests); closer copies agree far more often.
-4. Each meeting is verified by the exact edit distance of the item to the best stretch there.
+   agrees, for parts of PART words (measured in the tests, up to items of 500 words); closer
+   copies agree far more often, and an item of several parts need only be met by one of them.
+5. Each meeting is verified by the exact edit distance of the whole item to the best stretch
+   around the place where the part puts it.
 
 The benchmark goes to the workers in chunks of at most CHUNK_WORDS words, one pass over the
 documents for each, so what is broadcast has a bound whatever the benchmark's size; the
@@ -42,7 +47,9 @@ from fundflow.llm.common import bounded_batches, fresh
 
 SIMILARITY = 0.8
 REPEATS, SAMPLED = 16, 3
-#: Items of one class are up to this much longer than its window.
+#: Longest text that is embedded in one piece; REPEATS and SAMPLED are set for it.
+PART = 60
+#: Parts of one class are up to this much longer than its window.
 CLASS_RATIO = 1.25
 #: Words of the benchmark that are broadcast at once.
 CHUNK_WORDS = 1_000_000
@@ -60,14 +67,27 @@ def least_runs(n: int) -> tuple[int, int]:
     return (3, n - 2 - 3 * edits(n)) if n >= 6 else (1, n - edits(n))
 
 
+def cuts(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of an item of n words."""
+    at = [n * i // -(-n // PART) for i in range(-(-n // PART) + 1)]
+    return list(zip(at, at[1:]))
+
+
+class Part(NamedTuple):
+    """The words of an item from ``offset`` on; all of them if it has no more than PART."""
+
+    item: int
+    offset: int
+    ids: np.ndarray
+
+
 class Class(NamedTuple):
-    """Items whose length is from ``words`` up to CLASS_RATIO times that."""
+    """Parts whose length is from ``words`` up to CLASS_RATIO times that."""
 
     words: int
     longest: int
     run: int
     least: int
-    items: np.ndarray
     odd: np.ndarray
     places: np.ndarray
     keys: list[np.ndarray]
@@ -116,10 +136,11 @@ class Benchmark:
         self.base = len(self.vocabulary) + 1
         self.bits = np.random.default_rng(7).integers(0, 2 ** 63, self.base, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.item_runs = {run: [np.unique(self.runs(x, run)) for x in self.items] for run in (1, 3)}
+        self.parts = [Part(i, a, x[a:b]) for i, x in enumerate(self.items) for a, b in cuts(len(x))]
         self.used = {run: np.unique(np.concatenate([np.zeros(0, np.int64),
-                                                    *(r for r, x in zip(self.item_runs[run], self.items)
-                                                      if least_runs(len(x))[0] == run)])) for run in (1, 3)}
-        self.classes, lengths = [], np.array([len(x) for x in self.items], np.int64)
+                                                    *(self.runs(p.ids, run) for p in self.parts
+                                                      if least_runs(len(p.ids))[0] == run)])) for run in (1, 3)}
+        self.classes, lengths = [], np.array([len(p.ids) for p in self.parts], np.int64)
         left = sorted(set(lengths.tolist()))
         while left:
             words = left[0]
@@ -127,17 +148,17 @@ class Benchmark:
             left = left[len(fits):]
             self.classes.append(self.build(words, fits, np.flatnonzero(np.isin(lengths, fits))))
 
-    def build(self, words: int, fits: list[int], items: np.ndarray) -> Class:
+    def build(self, words: int, fits: list[int], parts: np.ndarray) -> Class:
         random = np.random.default_rng(words)
         steps = max(2 * words, 1)
         odd = random.integers(0, 2 ** 63, (steps, REPEATS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         places = random.integers(0, steps, (REPEATS, SAMPLED))
-        texts = np.concatenate([self.items[i] for i in items])
-        starts = np.cumsum([0, *(len(self.items[i]) for i in items[:-1])])
+        texts = np.concatenate([self.parts[i].ids for i in parts])
+        starts = np.cumsum([0, *(len(self.parts[i].ids) for i in parts[:-1])])
         keys = signature(texts, starts, words, self.bits, odd, places)
         order = [np.argsort(keys[:, r], kind="stable") for r in range(REPEATS)]
-        return Class(words, max(fits), least_runs(words)[0], max(1, min(least_runs(n)[1] for n in fits)), items, odd, places,
-                     [keys[o, r] for r, o in enumerate(order)], [items[o] for o in order])
+        return Class(words, max(fits), least_runs(words)[0], max(1, min(least_runs(n)[1] for n in fits)), odd, places,
+                     [keys[o, r] for r, o in enumerate(order)], [parts[o] for o in order])
 
     def runs(self, ids: np.ndarray, run: int) -> np.ndarray:
         """Codes of the runs of known words (0 where a word is unknown)."""
@@ -149,7 +170,7 @@ class Benchmark:
         return np.where((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0), code, 0)
 
     def windows(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, starts) of the windows of a text that can hold an item of the class."""
+        """(class, starts) of the windows of a text that can hold a part of the class."""
         hits = {run: np.concatenate([[0], np.cumsum(among(self.runs(ids, run), used))]) for run, used in self.used.items()}
         for c, k in enumerate(self.classes):
             total = hits[k.run]
@@ -163,7 +184,7 @@ class Benchmark:
                 yield c, starts
 
     def candidates(self, texts: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
-        """(text, item) -> starts of the windows that meet the item, for a list of texts."""
+        """(text, item) -> where the windows that meet a part of the item put the item's start, for a list of texts."""
         found: dict[tuple[int, int], list[int]] = {}
         if not self.classes:
             return found
@@ -192,8 +213,9 @@ class Benchmark:
                     low = np.searchsorted(k.keys[r], keys[:, r], "left")
                     high = np.searchsorted(k.keys[r], keys[:, r], "right")
                     for w in np.flatnonzero(high > low):
-                        for item in k.owners[r][low[w]:high[w]]:
-                            found.setdefault((int(owner[part][w]), int(item)), []).append(int(start[part][w]))
+                        for p in k.owners[r][low[w]:high[w]]:
+                            item, offset, _ = self.parts[p]
+                            found.setdefault((int(owner[part][w]), item), []).append(int(start[part][w]) - offset)
         return found
 
     def verified(self, ids: np.ndarray, item: int, starts: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -201,13 +223,15 @@ class Benchmark:
         words = self.items[item]
         n, k = len(words), edits(len(words))
         run, least = least_runs(n)
+        # up to k words more or less may lie between the item's start and a part that isn't the first
+        drift = k if n > PART else 0
         starts = sorted(set(starts))
         at = 0
         while at < len(starts):
             last = at
-            while last + 1 < len(starts) and starts[last + 1] - starts[last] <= n:
+            while last + 1 < len(starts) and starts[last + 1] - starts[last] <= n + 2 * drift:
                 last += 1
-            low, high = max(0, starts[at] - k), min(len(ids), starts[last] + n + 2 * k)
+            low, high = max(0, starts[at] - k - drift), min(len(ids), starts[last] + n + 2 * k + drift)
             region = ids[low:high]
             at = last + 1
             while len(region) and among(self.runs(region, run), self.item_runs[run][item]).sum() >= least:

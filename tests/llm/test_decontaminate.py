@@ -98,3 +98,37 @@ def test_benchmark_goes_out_in_chunks(spark, documents, monkeypatch):
     assert len(D.match_columns(spark, table)) > 5
     got = {(r.doc_id, r.item_id) for r in D.contaminated(documents([(i, " ".join(w), "en") for i, w in docs[:12]]), table).collect()}
     assert {(i, i) for i in range(12)} <= got
+
+
+def edited_apart(words, k, rng):
+    """k edits at places of their own."""
+    out, places = [], set(rng.sample(range(len(words)), k))
+    for p, word in enumerate(words):
+        what = rng.random() if p in places else 1
+        if what < 0.6:
+            out.append(f"zz{rng.randrange(50)}")
+        elif what < 0.8:
+            out += [f"yy{rng.randrange(50)}", word]
+        elif what == 1:
+            out.append(word)
+    return out
+
+
+def test_recall_of_long_items():
+    for n in (100, 250, 500):
+        rng = random.Random(n)
+        vocabulary = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(3000)]
+        items = [(i, [rng.choice(vocabulary) for _ in range(n)]) for i in range(40)]
+        index = D.Benchmark(items)
+        for fraction, least in ((0.0, 1.0), (0.5, 0.99), (1.0, 0.95)):
+            around = [rng.choice(vocabulary) for _ in range(20)]
+            docs = [around + edited_apart(words, int(fraction * D.edits(n)), rng) + around for _, words in items]
+            hit = sum(any(m[0] == i for m in matches) for i, matches in enumerate(index.matches([" ".join(w) for w in docs])))
+            assert hit >= least * len(items), (n, fraction, hit)
+
+
+def test_a_part_may_hold_its_share_of_the_edits():
+    for n in range(1, 3000):
+        cuts = D.cuts(n)
+        assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == n
+        assert all(b - a <= D.PART and D.edits(n) // len(cuts) <= D.edits(b - a) for a, b in cuts)
