@@ -232,14 +232,17 @@ class Benchmark:
             while last + 1 < len(starts) and starts[last + 1] - starts[last] <= n + 2 * drift:
                 last += 1
             low, high = max(0, starts[at] - k - drift), min(len(ids), starts[last] + n + 2 * k + drift)
-            region = ids[low:high]
             at = last + 1
-            while len(region) and among(self.runs(region, run), self.item_runs[run][item]).sum() >= least:
+            left = [(low, high)]
+            while left:
+                low, high = left.pop()
+                region = ids[low:high]
+                if not len(region) or among(self.runs(region, run), self.item_runs[run][item]).sum() < least:
+                    continue
                 distance, start, end = best_stretch(words, region)
-                if distance > k:
-                    break
-                yield low + start, low + end, distance
-                region, low = region[end:], low + end
+                if distance <= k:
+                    yield low + start, low + end, distance
+                    left += [(low, low + start), (low + end, high)]
 
     def matches(self, texts: list[str]) -> Iterator[list[tuple[int, int, int, int, float]]]:
         """For each text (item, start, end, distance, similarity) of its matches; offsets in code points."""

@@ -132,3 +132,13 @@ def test_a_part_may_hold_its_share_of_the_edits():
         cuts = D.cuts(n)
         assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == n
         assert all(b - a <= D.PART and D.edits(n) // len(cuts) <= D.edits(b - a) for a, b in cuts)
+
+
+def test_edited_copies_around_a_verbatim_one():
+    item = [f"w{i}" for i in range(20)]
+    copies = [[*item[:5], "x", *item[6:15], "y", *item[16:]], [*item[:10], "z", *item[11:]], item, [*item[:3], "x", *item[4:]]]
+    for order in ([0, 2], [2, 0], [0, 1, 2, 3], [1, 2, 0, 3], [3, 1, 2], [0, 2, 1, 2, 3]):
+        text = " ".join(w for c in order for w in copies[c])
+        matches = next(D.Benchmark([(7, item)]).matches([text]))
+        assert [text[m[1]:m[2]].split() for m in matches] == [copies[c] for c in order]
+        assert [m[3] for m in matches] == [(2, 1, 0, 1)[c] for c in order]
