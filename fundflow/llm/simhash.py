@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundflow.llm.common import bounded_batches, staged
+from fundflow.llm.common import bounded_batches, fresh, staged
 from fundflow.llm.components import components, contracted
 
 SEED = 42
@@ -64,16 +64,20 @@ def fingerprint(text: str | None, words: int) -> int:
     return int.from_bytes(np.packbits(2 * ones.reshape(64) > len(starts), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprint_column(docs: DataFrame, words: int) -> Column:
+    """The fingerprint of ``text`` as a signed long."""
     bounded_batches(docs.sparkSession)
 
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.arrow_udf("bigint")(column)(F.col("text").cast("string")).alias("fp"))
+    return F.arrow_udf("bigint")(column)(F.col("text").cast("string"))
+
+
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(docs, words).alias("fp"))
 
 
 class Covering:
@@ -197,12 +201,23 @@ def groups(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its group; of rows with the same id one stays."""
+    """The rows of ``docs``, all columns, one of each group: that with the smallest id (then fingerprint).
+
+    Rows without an id all stay. Where ids repeat, rows are told apart by id and fingerprint, so rows
+    of one id stay as long as they belong to different groups.
+    """
     found = staged(groups(docs, words, max_bits), "simhash-groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        gone = found.where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    f, i = fresh("fp"), fresh("id")
+    told = staged(docs.withColumns({f: fingerprint_column(docs, words), i: F.col("doc_id").cast("long")}), "simhash-rows")
+    distinct = staged(told.where(F.col(i).isNotNull()).groupBy(F.col(f).alias("fp")).agg(F.min(i).alias("first")), "fingerprint-ids")
+    # ids can't stand for fingerprints here, so these are the nodes themselves
+    joined = components(links(distinct.select(F.col("fp").alias("rep"), "fp"), max_bits))
+    least = (distinct.join(joined, distinct.fp == joined.node, "left")
+             .groupBy(F.coalesce("component", "fp")).agg(F.min(F.struct("first", "fp")).alias("k"))
+             .select(F.col("k.first").alias(i), F.col("k.fp").alias(f)))
+    single = told.join(least, [i, f], "left_semi").dropDuplicates([i, f])
+    return single.unionByName(told.where(F.col(i).isNull())).select(docs.columns)

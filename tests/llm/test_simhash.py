@@ -82,3 +82,10 @@ def test_keep_one_of_each_group(documents):
     groups = {r.doc_id: r.component_id for r in S.groups(docs).collect()}
     assert sorted(i for i in ids if i is not None) == sorted({c for c in groups.values() if c is not None}) and ids.count(None) == 1
     assert S.keep_one(documents([])).collect() == [] and S.groups(documents([])).collect() == []
+
+
+def test_keep_one_where_ids_repeat(documents):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    docs = documents([(1, a, "en"), (2, a, "en"), (2, b, "en"), (2, b, "en"), (3, c, "en"), (3, d, "en"), (None, a, "en"), (None, a, "en")])
+    got = sorted(((r.doc_id, r.text) for r in S.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), (None, a), (None, a)], key=str)
