@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import byte_bpe, decontaminate, embedding_dedup, language_id, pii, quality_gam, simhash, suffix_dedup, token_files, url_filter
+from fundflow.llm import byte_bpe, decontaminate, embedding_dedup, language_id, order_minhash, pii, quality_gam, simhash, suffix_dedup, token_files, url_filter
 from fundflow.llm.common import table
 from fundflow.llm.url_filter import ALLOW, BLOCK, Rule
 
@@ -63,7 +63,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_byte_bpe, op4_url_filter, op5_embedding_dedup, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id)}
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n, half = F.length("text").cast("long"), F.floor(F.length("text") / 2).cast("int")
+    slots = docs.withColumn("slots", order_minhash.slots(F.col("text")))
+    pairs = order_minhash.with_next(slots, {"next_text": "text", "next_slots": "slots"})
+    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
+    both = edited.withColumn("edited_slots", order_minhash.slots(F.col("edited")))
+    return both.select("doc_id", n.alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       order_minhash.written(F.col("slots")).alias("fingerprint"),
+                       order_minhash.written(F.col("edited_slots")).alias("edited_fingerprint"),
+                       order_minhash.likeness(F.col("slots"), F.col("edited_slots")).alias("near_edited"),
+                       order_minhash.likeness(F.col("slots"), F.col("next_slots")).alias("near_next"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_byte_bpe, op4_url_filter, op5_embedding_dedup, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id, op13_order_minhash)}
+
 #: Operator 5 by brute force. The components are the closure of the links; small tables only.
 OP5_SQL = """
 WITH RECURSIVE v AS (
