@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import byte_bpe, decontaminate, embedding_dedup, language_id, order_minhash, pii, quality_gam, simhash, suffix_dedup, token_files, url_filter
-from fundflow.llm.common import table
+from fundflow.llm import byte_bpe, decontaminate, embedding_dedup, language_id, merkle, order_minhash, periodic_runs, pii, quality_gam, simhash, suffix_dedup, token_files, url_filter
+from fundflow.llm.common import id_remainder, table
+from fundflow.llm.order_minhash import WORD, let
 from fundflow.llm.url_filter import ALLOW, BLOCK, Rule
 
 #: The end id of operator 1's documents.
@@ -63,6 +66,52 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
+#: Operator 11's fields of a leaf, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = merkle.leaf_of([lowered if c == "text" else F.col(c) for c in LEAF])
+    leaves = docs.select("doc_id", "lang", merkle.leaf_of([F.col(c) for c in LEAF]).alias("leaf"),
+                         F.when(id_remainder(F.col("doc_id"), 3) == 0, tampered).alias("tampered"))
+    rows = merkle.manifest(leaves, "lang", ["doc_id"])
+    found = rows.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def repeated_tail(doc_id: Column, text: Column) -> Column:
+    """Operator 12's texts: in every tenth document (by the crc32 of its id) the words from one on are a repeated stretch."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def tail(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+        return let(a, lambda a: let(p, lambda p: F.array_join(F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")))
+
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.when((h % 10 == 0) & text.rlike(WORD), let(words, tail)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(table(spark, sf_dir, "documents"), repeated_tail(F.col("doc_id"), F.col("text")))
+    none = F.lit(None).cast(periodic_runs.RUNS)[0]
+    best = F.aggregate("runs", none, lambda a, r: F.when(
+        a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    found = found.withColumn("best", best)
+    milli = 1000 * F.col("best.length")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        ((milli - milli % F.col("best.period")) / F.col("best.period")).cast("long").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, half = F.length("text").cast("long"), F.floor(F.length("text") / 2).cast("int")
@@ -77,7 +126,7 @@ def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                        order_minhash.likeness(F.col("slots"), F.col("next_slots")).alias("near_next"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_byte_bpe, op4_url_filter, op5_embedding_dedup, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id, op13_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_byte_bpe, op4_url_filter, op5_embedding_dedup, op6_simhash, op7_decontaminate, op8_pii, op9_quality, op10_language_id, op11_merkle, op12_periodic_runs, op13_order_minhash)}
 
 #: Operator 5 by brute force. The components are the closure of the links; small tables only.
 OP5_SQL = """
@@ -115,4 +164,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL}
+
+
+def merkle_sql(levels: int = 10, group_levels: int = 3) -> str:
+    """Operator 11 level by level: trees of at most 8 ** levels documents a lang and 8 ** group_levels langs."""
+    said = ", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in LEAF)
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    #: crc32 of the decimal id, bit by bit (3988292384 is the reversed polynomial).
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)))"""
+    parts = [f"""d AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256(concat({said})) AS leaf,
+      CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN sha256(concat({said.replace("text::VARCHAR", lowered)})) END AS tampered FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d)""",
+             "n0 AS (SELECT g, p, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves)"]
+
+    def grown(t: str, count: int) -> None:
+        for j in range(count):
+            parts.append(f"""{t}{j + 1} AS (SELECT g, p // 8 AS p, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h, (n + 7) // 8 AS n
+      FROM {t}{j} GROUP BY g, p // 8, n)""")
+            parts.append(f"""{t}s{j} AS (SELECT g, p, n, coalesce(string_agg(h, '') OVER (PARTITION BY g, p // 8 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(h, '') OVER (PARTITION BY g, p // 8 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {t}{j})""")
+
+    grown("n", levels)
+    parts.append(f"m0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS p, h, count(*) OVER () AS n, g AS lang FROM n{levels})")
+    grown("m", group_levels)
+    parts.append(f"""f0 AS (SELECT doc_id, leaf, leaves.g, leaves.p, m0.p AS gp, m0.h AS subroot, coalesce(tampered, leaf) AS f, '' AS proof
+      FROM leaves JOIN m0 ON leaves.g = m0.lang)""")
+    for i, (t, g, p, j) in enumerate([("ns", "f.g", "f.p", j) for j in range(levels)] + [("ms", "''", "f.gp", j) for j in range(group_levels)]):
+        parts.append(f"""f{i + 1} AS (SELECT doc_id, leaf, f.g, f.p, gp, subroot, CASE WHEN s.n = 1 THEN f ELSE sha256(s.l || f || s.r) END AS f,
+      CASE WHEN s.n = 1 THEN proof ELSE proof || s.l || s.r END AS proof FROM f{i} f JOIN {t}{j} s ON s.g = {g} AND s.p = {p} // {8 ** j})""")
+    return f"""WITH {", ".join(parts)}
+    SELECT doc_id, leaf, subroot, m{group_levels}.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = m{group_levels}.h AS verified
+    FROM f{levels + group_levels}, m{group_levels}"""
+
+
+ORACLE: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op11_merkle": merkle_sql()}
