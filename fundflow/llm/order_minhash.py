@@ -37,7 +37,7 @@ from fundflow.llm.common import fresh
 #: Words of a k-mer, k-mers of a slot, slots.
 WORDS, TUPLE, SLOTS = 2, 2, 128
 #: Text of a slice of neighbours, and the most slices (beyond that slices grow).
-SLICE_BYTES, MOST_SLICES = 8 << 20, 1 << 17
+SLICE_BYTES, MOST_SLICES = 2 << 20, 1 << 18
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -115,11 +115,11 @@ def with_next(docs: DataFrame, values: dict[str, str], slice_bytes: int = SLICE_
     before it as well. Copies of one row that would fill slices of their own are dealt anywhere but for one
     slice's worth: each of those is followed by a copy of itself.
     """
-    known, number, digest, part, ghost, text = (fresh(x) for x in ("known", "number", "digest", "slice", "ghost", "text"))
+    known, number, digest, part, ghost = (fresh(x) for x in ("known", "number", "digest", "slice", "ghost"))
     key = [known, number, digest]
-    keyed = docs.withColumns({text: F.coalesce(F.col("text").cast("string"), F.lit("")), known: F.col("doc_id").isNotNull(),
-                              number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}).withColumn(digest, F.xxhash64(text))
-    rows, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    keyed = docs.withColumns({known: F.col("doc_id").isNotNull(), number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+                              digest: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    rows, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     count = max(1, min(MOST_SLICES, -(-(size or 0) // slice_bytes)))
     tops = slice_tops(keyed, key, count)
     each = max(100, -(-rows // count))  # of a crowd about as many copies stay in order: none with odds of e**-100 at most
@@ -155,7 +155,7 @@ def with_next(docs: DataFrame, values: dict[str, str], slice_bytes: int = SLICE_
     copies = F.when(own == F.get(bounds, F.col(part)), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     ghosts = placed.withColumn(ghost, F.explode(copies)).withColumn(
         part, F.when(F.col(ghost), (F.col(part) + 1) % F.lit(last + 1)).otherwise(F.col(part)))
-    order = Window.partitionBy(part).orderBy(ghost, F.desc(known), F.desc(number), F.desc(digest), F.desc(text))
+    order = Window.partitionBy(part).orderBy(ghost, F.desc(known), F.desc(number), F.desc(digest), F.desc("text"))
     following = {new: F.lead(F.struct(c)).over(order)[c] for new, c in values.items()}
     found = ghosts.withColumns(following).where(~F.col(ghost)).select(*docs.columns, *values)
     return found.unionByName(rest) if rest is not None else found
