@@ -34,6 +34,36 @@ def ratio(numerator, denominator, scale: int = 2) -> Column:
     return F.round(n / d, scale).cast(WIDE_MONEY)
 
 
+def round_binary(c) -> Column:
+    """A double rounded to cents by its exact binary value, exact ties to the even cent.
+
+    2.675 is stored as a little less than that and becomes 2.67; 0.125 is a tie and becomes 0.12. The part after
+    the point is taken apart exactly; its product with 200 is computed with the error that rounding made
+    (the factor has 8 bits, so the two halves of a split factor multiply without error). Comparing product
+    and error with the odd number between two cents decides. From 2**52 on doubles have no cents.
+    """
+    x = _col(c).cast("double")
+    size = F.abs(x)
+    small = F.when(size < 2.0 ** 52, size).otherwise(0.0)
+    whole = F.floor(small)
+    part = small - whole.cast("double")
+    product = part * 200.0
+    high = part * 134217729.0 - (part * 134217729.0 - part)  # the leading 26 bits
+    error = (high * 200.0 - product) + (part - high) * 200.0
+    cents = F.floor(product / 2.0)
+    middle = (cents * 2 + 1).cast("double")
+    up = (product > middle) | ((product == middle) & ((error > 0.0) | ((error == 0.0) & (cents % 2 == 1))))
+    exact = (whole.cast("decimal(20,0)") * 100 + cents + up.cast("int")).cast("decimal(24,0)")
+    rounded = (exact / F.lit(100).cast("decimal(3,0)")).cast("decimal(24,2)").cast("double")
+    return F.when((size >= 2.0 ** 52) | F.isnan(x), x).when(x < 0, -rounded).when(x.isNotNull(), rounded)
+
+
+def response_ratio(numerator, denominator) -> Column:
+    """The ratio as a response computes it: doubles, null without a denominator, ``round_binary``."""
+    d = _col(denominator).cast("double")
+    return round_binary(_col(numerator).cast("double") / F.when(d != 0, d))
+
+
 def compact_dollars(c) -> Column:
     """``$1.2B`` / ``$3.4M`` / ``$12K`` / ``$950``: one decimal for B and M, whole K and units.
 

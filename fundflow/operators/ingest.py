@@ -6,8 +6,8 @@ The order of steps differs by entity, as in the source system:
 * inside totals: drop rows without id/cycle, sum amounts per key, then validate
   (amounts that are not numbers are quarantined before the sum);
 * schedule E totals: drop rows without id/cycle/indicator, first-wins by the *raw*
-  key (an invalid first row hides later valid ones), then validate, then last-wins by
-  the clean key (as the store's upsert would).
+  key (an invalid first row hides later valid ones), then validate; of the rows of a clean key
+  (raw keys that differ in case) the store applies each in order, so the last one stays.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from fundflow.functions.text import strip_ws
 from fundflow.operators import dedupe
-from fundflow.operators.quality import ERRORS, SEQ, EntitySpec, count_invalid, split, validate
+from fundflow.operators.quality import ERRORS, SEQ, EntitySpec, bad_coercion, count_invalid, observed, raw_int, split, validate
 from fundflow.functions.money import MONEY as INSIDE_TOTALS_MONEY
-from fundflow.operators.specs import CANDIDATES, COMMITTEES, INSIDE_TOTALS, OUTSIDE_TOTALS
+from fundflow.operators.specs import CANDIDATES, COMMITTEES, ENTITIES, INSIDE_TOTALS, OUTSIDE_TOTALS
 
 
 @dataclass
@@ -34,6 +34,16 @@ class Transformed:
     skipped: DataFrame       # rows dropped for a missing key
     tally: DataFrame         # one row: kept, invalid, skipped, duplicates, from one pass over the feed
     checks: tuple = ()       # Observations with an "invalid" count, filled when ``rows`` runs
+    all_writes: DataFrame | None = None  # what the store applies in order, if keys repeat in it
+
+    @property
+    def repeats(self) -> bool:
+        return self.all_writes is not None
+
+    @property
+    def writes(self) -> DataFrame:
+        """Clean rows as they are written: ``rows``, or several of a key in arrival order."""
+        return self.all_writes if self.repeats else self.rows
 
     def invalid_count(self) -> int:
         """Quarantined rows, read from metrics observed while ``rows`` was computed.
@@ -41,7 +51,17 @@ class Transformed:
         Call only after an action that ran ``rows``; every quarantined row passes one
         of the observed rule checkpoints on its way out of the plan of ``rows``.
         """
-        return sum(int(o.get["invalid"]) for o in self.checks)
+        return sum(observed(o, "invalid") for o in self.checks)
+
+    def failed_ids(self) -> DataFrame:
+        """(entity, failed_id, rows): the ids of the rows that broke a rule."""
+        key = ENTITIES[self.entity].key[0]
+        return (self.quarantine.groupBy(F.col(key).cast("string").alias("failed_id")).agg(F.count(F.lit(1)).alias("rows"))
+                .select(F.lit(self.entity).alias("entity"), "failed_id", "rows"))
+
+    def raw_count(self) -> DataFrame:
+        """(entity, raw): rows that the feed delivered."""
+        return self.tally.select(F.lit(self.entity).alias("entity"), sum((F.col(m) for m in METRICS), F.lit(0)).cast("bigint").alias("raw"))
 
     def report(self) -> DataFrame:
         """(entity, metric, rows): the tally, one row for each metric."""
@@ -104,11 +124,12 @@ def transform_inside(raw_df: DataFrame) -> Transformed:
         cast = df.select(
             F.col(SEQ), *more,
             strip_ws(F.col("candidate_id").cast("string")).alias("candidate_id"),
-            F.col("cycle").try_cast("int").alias("cycle"),
+            raw_int(df, "cycle").alias("cycle"), F.col("cycle").alias("__raw_cycle"),
             *[F.col(a).alias(f"__raw_{a}") for a in amounts],
             *[F.col(a).try_cast("decimal(38,2)").alias(a) for a in amounts])
         rules = [("candidate_id_required", F.col("candidate_id").isNull() | (F.col("candidate_id") == "")),
-                 ("cycle_required", F.col("cycle").isNull())]
+                 ("cycle_type", bad_coercion(F.col("__raw_cycle"), F.col("cycle"))),
+                 ("cycle_required", F.col("__raw_cycle").isNull())]
         rules += [(f"{a}_not_numeric", F.col(f"__raw_{a}").isNotNull() & F.col(a).isNull()) for a in amounts]
         return cast.withColumn(ERRORS, _rule_names(rules))
 
@@ -154,7 +175,7 @@ def transform_outside(raw_df: DataFrame) -> Transformed:
     per_key = (flagged.groupBy(*OUTSIDE_TOTALS.key)
                .agg(F.sum("__rows").alias("rows"), F.sum(F.when(F.col("__skip"), F.col("__rows")).otherwise(0)).alias("skipped"),
                     F.count_if(~F.col("__skip") & ~ok).alias("invalid"), (F.count_if(ok) > 0).alias("kept")))
-    return Transformed(OUTSIDE_TOTALS.name, rows, bad, skipped, _tally(per_key), (seen,))
+    return Transformed(OUTSIDE_TOTALS.name, rows, bad, skipped, _tally(per_key), (seen,), good)
 
 
 TRANSFORMS = {

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundflow.operators import dedupe
-from fundflow.operators.ordered import previous_in_group
+from fundflow.operators.ordered import run_summary
 from fundflow.operators.quality import SEQ, EntitySpec
 
 ACTION = "_action"
@@ -108,27 +108,23 @@ def merge(stored: DataFrame, incoming: DataFrame, spec: EntitySpec, run_ts: str,
     return MergeResult(frame, cols, tuple(key))
 
 
-def write_counts(stored: DataFrame, incoming: DataFrame, spec: EntitySpec) -> DataFrame:
+def write_counts(stored: DataFrame, incoming: DataFrame, spec: EntitySpec, version: str | None = None) -> DataFrame:
     """Effective writes when a batch repeats keys: (inserted, updated) as one row.
 
     Rows of a key apply in ``_seq`` order. The first is an insert when the key is
     not stored, an update when it differs from the stored row; each later row is
-    an update when it differs from the row before it.
+    an update when it differs from the row before it. With ``version`` rows that are not
+    newer than the stored one don't apply.
     """
-    key = list(spec.key)
-    vals = list(spec.value_columns)
+    key, vals = list(spec.key), list(spec.value_columns)
     canon = F.to_json(F.struct(*[F.col(v) for v in vals]), {"ignoreNullFields": "false"})
-    # previous row of the same key in _seq order, computed on balanced range slices
-    seq_rows = previous_in_group(incoming.select(*key, *vals, SEQ), key, SEQ, canon)
-    # only the first row of a key looks at the stored table
-    s = stored.select(*key, F.to_json(F.struct(*[F.col(v) for v in vals]), {"ignoreNullFields": "false"})
-                      .alias("__sv"))
-    firsts = seq_rows.filter(F.col("__first")).join(s, key, "left")
-    stored_here = F.col("__sv").isNotNull()
-    first_flags = firsts.select((~stored_here).alias("ins"),
-                                (stored_here & (F.col("__v") != F.col("__sv"))).alias("upd"))
-    later_flags = seq_rows.filter(~F.col("__first")).select(
-        F.lit(False).alias("ins"), (F.col("__v") != F.col("__prev")).alias("upd"))
-    return first_flags.unionByName(later_flags).agg(
-        F.count_if("ins").cast("bigint").alias("inserted"),
-        F.count_if("upd").cast("bigint").alias("updated"))
+    if version:
+        known = stored.select(*key, F.col(version).alias("__version"))
+        incoming = (incoming.select(*key, *vals, SEQ).join(known, key, "left")
+                    .where(F.col("__version").isNull() | (F.col(SEQ) > F.col("__version"))).drop("__version"))
+    runs = run_summary(incoming.select(*key, *vals, SEQ), key, [F.col(SEQ)], canon)
+    j = runs.join(stored.select(*key, canon.alias("__stored")), key, "left")
+    new = F.col("__stored").isNull()
+    return j.agg(F.count_if(new).cast("bigint").alias("inserted"),
+                 F.coalesce(F.sum(F.col("changes") + (~new & (F.col("first") != F.col("__stored"))).cast("int")), F.lit(0))
+                 .cast("bigint").alias("updated"))

@@ -3,8 +3,8 @@
 ``Window.partitionBy(group)`` sends a whole group to one task; a group holding a
 third of all rows would then be sorted by a single core. Two ways around it:
 
-* ``previous_in_group`` (arrival order is an integer): window per (group, fixed
-  block of the order), then repair block boundaries from one row per block;
+* ``run_summary`` (any order): summaries of a group's slices (first value, last value, changes
+  between neighbours, rows) that combine, in slice order, to the summary of the group;
 * ``rank_within_group`` (any order): range-partition on (group, order) so Spark's
   sampled bounds cut a hot group into contiguous, evenly sized slices, store the rows
   with their slice number, number rows inside each slice and add the counts of the
@@ -33,30 +33,31 @@ def _slices(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> D
     return spark.read.schema(sliced.schema).parquet(path)
 
 
-def previous_in_group(df: DataFrame, group: list[str], seq: str, value: Column,
-                      block: int = 1 << 16) -> DataFrame:
-    """Add ``__prev``: ``value`` of the previous row of the same group in ``seq`` order
-    (null for the first row of a group), ``__first`` (bool) and ``__v`` (the value).
+def run_summary(df: DataFrame, group: list[str], order: list[Column], value: Column,
+                partitions: int | None = None) -> DataFrame:
+    """Per group: ``first`` and ``last`` value in ``order``, ``changes`` (rows whose value differs from the row
+    before) and ``n`` rows. Values that are null are values; a null group is a group.
 
-    ``seq`` is a unique, non-negative integer arrival order. Rows are windowed per
-    (group, seq // block), so no window partition holds more than ``block`` rows
-    however large a group is. The first row of each block then takes its
-    predecessor from the last row of the group's previous non-empty block: a table
-    of one row per block, ``block`` times smaller than the input.
-    ``value`` should be a non-null canonical encoding (e.g. ``to_json`` of a struct).
+    A summary of consecutive rows is (first, last, changes, n), and two of them combine to
+    (first of one, last of other, changes of both + whether last and first differ, sum of n). Rows are
+    cut into range slices by (group, order), each slice is summarised for itself, and a group's slices
+    (one row each, however many rows they hold) are combined in their order. ``order`` must not tie
+    within a group.
     """
-    blk = F.floor(F.col(seq) / F.lit(block)).cast("long")
-    base = df.withColumn("__blk", blk).withColumn("__v", value)
-    w = Window.partitionBy(*group, "__blk").orderBy(seq)
-    local = base.withColumn("__lv", F.lag("__v").over(w))
-    tails = local.groupBy(*group, "__blk").agg(F.max_by("__v", F.col(seq)).alias("__tv"))
-    per_group = Window.partitionBy(*group).orderBy("__blk")
-    prev_tail = tails.select(*group, "__blk", F.lag("__tv").over(per_group).alias("__ptv"))
-    heads = (local.filter(F.col("__lv").isNull()).drop("__lv")
-             .join(prev_tail, [*group, "__blk"], "left").withColumnRenamed("__ptv", "__lv"))
-    both = local.filter(F.col("__lv").isNotNull()).unionByName(heads)
-    return both.select(*df.columns, F.col("__lv").isNull().alias("__first"),
-                       F.col("__lv").alias("__prev"), F.col("__v"))
+    sorted_by = [F.col(g) for g in group] + order
+    sliced = _slices(df.withColumn("__v", F.struct(value.alias("v"))), sorted_by, partitions)
+    own = Window.partitionBy(SLICE, *group).orderBy(*order)
+    local = sliced.withColumns({"__before": F.lag("__v").over(own), "__at": F.row_number().over(own)})
+    differs = F.col("__before").isNotNull() & ~F.col("__v").eqNullSafe(F.col("__before"))
+    parts = local.groupBy(SLICE, *group).agg(
+        F.min_by("__v", "__at").alias("first"), F.max_by("__v", "__at").alias("last"),
+        F.count_if(differs).alias("changes"), F.count(F.lit(1)).alias("n"))
+    joined = parts.withColumn("__before", F.lag("last").over(Window.partitionBy(*group).orderBy(SLICE)))
+    edge = F.col("__before").isNotNull() & ~F.col("first").eqNullSafe(F.col("__before"))
+    total = joined.groupBy(*group).agg(
+        F.min_by("first", SLICE)["v"].alias("first"), F.max_by("last", SLICE)["v"].alias("last"),
+        (F.sum("changes") + F.count_if(edge)).alias("changes"), F.sum("n").alias("n"))
+    return total.select(*group, "first", "last", "changes", "n")
 
 
 def rank_within_group(df: DataFrame, group: list[str], order: list[Column],

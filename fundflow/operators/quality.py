@@ -11,11 +11,15 @@ import uuid
 from dataclasses import dataclass
 from typing import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ERRORS = "_errors"
 SEQ = "_seq"
+#: Names of a landed record's lists that were null, where the source can tell (``sources.paged_json``).
+NULLS = "_nulls"
 
 
 def raw(df: DataFrame, name: str, dtype: str = "string") -> Column:
@@ -38,6 +42,12 @@ def whole_number(c: Column) -> Column:
                   value.try_cast("int"))
 
 
+def raw_int(df: DataFrame, name: str) -> Column:
+    """A raw field as a whole number; a field that lands as one only has to fit."""
+    c = raw(df, name)
+    return c.try_cast("int") if name in df.columns and isinstance(df.schema[name].dataType, T.IntegralType) else whole_number(c)
+
+
 def coerce_array(c: Column, dtype: str) -> Column:
     return F.transform(c.cast("array<string>"), lambda x: whole_number(x) if dtype == "int" else x.try_cast(dtype))
 
@@ -54,6 +64,11 @@ def bad_array(raw_c: Column, typed: Column) -> Column:
         F.lit(False))
 
 
+def null_list(r, name: str) -> Column:
+    """Whether a list was an explicit null: landed records keep those apart from absent ones (``NULLS``)."""
+    return F.coalesce(F.array_contains(r(NULLS, "array<string>"), name), F.lit(False))
+
+
 def blank(c: Column) -> Column:
     return c.isNull() | (F.length(c) == 0)
 
@@ -118,6 +133,17 @@ def count_invalid(df: DataFrame, observation) -> DataFrame:
                       F.count_if(F.size(F.col(ERRORS)) > 0).alias("invalid"))
 
 
+def observed(metrics: Observation, name: str) -> int:
+    """A count that an action has observed. A plan whose input turned out to be empty is cut down by Spark to
+    an empty relation and delivers no metrics at all: nothing was counted."""
+    try:
+        return int(metrics.get[name])
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return 0
+
+
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.size(F.col(ERRORS)) == 0
     return validated.filter(ok).drop(ERRORS), validated.filter(~ok)

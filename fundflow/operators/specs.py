@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fundflow.functions.money import MONEY, OUTSIDE_MONEY
 from fundflow.functions.text import none_sentinel, pad_district, person_name, strip_ws
 from fundflow.operators.quality import (
-    EntitySpec, bad_array, bad_coercion, blank, coerce, coerce_array, outside, raw, too_long, whole_number,
+    EntitySpec, bad_array, bad_coercion, blank, coerce, coerce_array, null_list, outside, raw, raw_int, too_long,
 )
 
 # Closed code domains.
@@ -46,7 +46,7 @@ def _candidate_clean(df: DataFrame) -> dict[str, Column]:
         "name": person_name(raw(df, "name").cast("string")),
         "office": F.upper(raw(df, "office").cast("string")),
         "district": pad_district(_s(df, "district")),
-        "active_through": whole_number(raw(df, "active_through")),
+        "active_through": raw_int(df, "active_through"),
         "cycles": F.coalesce(coerce_array(raw(df, "cycles", "array<int>"), "int"),
                              F.array().cast("array<int>")),
         "election_years": F.coalesce(coerce_array(raw(df, "election_years", "array<int>"), "int"),
@@ -75,6 +75,8 @@ def _candidate_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
         ("active_through_type", bad_coercion(r("active_through"), c["active_through"])),
         ("cycles_type", bad_array(r("cycles", "array<int>"), c["cycles"])),
         ("election_years_type", bad_array(r("election_years", "array<int>"), c["election_years"])),
+        ("cycles_null", null_list(r, "cycles")),
+        ("election_years_null", null_list(r, "election_years")),
         ("federal_funds_flag_type", bad_coercion(r("federal_funds_flag"), c["federal_funds_flag"])),
         ("has_raised_funds_type", bad_coercion(r("has_raised_funds"), c["has_raised_funds"])),
         ("load_date_type", bad_coercion(r("load_date"), c["load_date"])),
@@ -123,6 +125,7 @@ def _committee_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
         ("organization_type_length", too_long(c["organization_type"], 1)),
         ("state_length", too_long(c["state"], 2)),
         ("cycles_type", bad_array(r("cycles", "array<int>"), c["cycles"])),
+        ("cycles_null", null_list(r, "cycles")),
     ]
     rules += [(f"{d}_type", bad_coercion(r(d), c[d])) for d in _COMM_DATES]
     return rules
@@ -139,7 +142,7 @@ INSIDE_COLUMNS = ("candidate_id", "cycle", "receipts", "disbursements")
 def _inside_clean(df: DataFrame) -> dict[str, Column]:
     return {
         "candidate_id": _s(df, "candidate_id"),
-        "cycle": coerce(raw(df, "cycle"), "int"),
+        "cycle": raw_int(df, "cycle"),
         "receipts": coerce(raw(df, "receipts"), MONEY),
         "disbursements": coerce(raw(df, "disbursements"), MONEY),
     }
@@ -148,7 +151,8 @@ def _inside_clean(df: DataFrame) -> dict[str, Column]:
 def _inside_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
     return [
         ("candidate_id_required", blank(c["candidate_id"])),
-        ("cycle_required", c["cycle"].isNull()),
+        ("cycle_type", bad_coercion(r("cycle"), c["cycle"])),
+        ("cycle_required", r("cycle").isNull()),
         ("receipts_overflow", bad_coercion(r("receipts"), c["receipts"])),
         ("disbursements_overflow", bad_coercion(r("disbursements"), c["disbursements"])),
     ]
@@ -165,7 +169,7 @@ OUTSIDE_COLUMNS = ("candidate_id", "cycle", "support_oppose_indicator", "total")
 def _outside_clean(df: DataFrame) -> dict[str, Column]:
     return {
         "candidate_id": _s(df, "candidate_id"),
-        "cycle": coerce(raw(df, "cycle"), "int"),
+        "cycle": raw_int(df, "cycle"),
         "support_oppose_indicator": F.upper(raw(df, "support_oppose_indicator").cast("string")),
         "total": coerce(raw(df, "total"), OUTSIDE_MONEY),
     }
@@ -175,7 +179,8 @@ def _outside_rules(r, c: dict[str, Column]) -> list[tuple[str, Column]]:
     ind = c["support_oppose_indicator"]
     return [
         ("candidate_id_required", blank(c["candidate_id"])),
-        ("cycle_required", c["cycle"].isNull()),
+        ("cycle_type", bad_coercion(r("cycle"), c["cycle"])),
+        ("cycle_required", r("cycle").isNull()),
         ("indicator_domain", ind.isNull() | ~ind.isin(INDICATOR_CODES)),
         ("total_overflow", bad_coercion(r("total"), c["total"])),
     ]

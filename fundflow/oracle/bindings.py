@@ -89,6 +89,16 @@ WHERE last_rank = 1
 """)
 
 
+# every row that the store applies, with its number among the rows of its key and the total before it
+view("outside_writes", ["outside_first"], """
+SELECT candidate_id, cycle, UPPER(support_oppose_indicator) AS support_oppose_indicator, total,
+  ROW_NUMBER() OVER of_key AS n, LAG(total) OVER of_key AS before
+FROM outside_first WHERE UPPER(support_oppose_indicator) IN ('S', 'O')
+WINDOW of_key AS (PARTITION BY candidate_id, cycle, UPPER(support_oppose_indicator)
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)
+""")
+
+
 def ratio_sql(n: str, d: str) -> str:
     """ROUND(n / NULLIF(d, 0), 2) half away from zero, exactly, in integer cents -> DOUBLE."""
     nc, dc = f"CAST(({n}) * 100 AS HUGEINT)", f"CAST(({d}) * 100 AS HUGEINT)"

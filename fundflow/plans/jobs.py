@@ -4,7 +4,8 @@ The loop over entities runs on the driver (a handful of specs); every step insid
 is a distributed Spark job. The clean rows are staged as parquet in the shared folder
 once, so the parent check, the merge and the statistics read materialised rows (no
 second pass over the feed, no lineage back to the raw pages if an executor is lost).
-Rows that break a rule or name an unknown parent are kept in the ``quarantine`` log.
+Rows that break a rule or name an unknown parent are kept in the ``quarantine`` log, in a folder
+of their own for each entity and run: entities run at the same time, and a run may be repeated.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from fundflow.operators import merge as M
 from fundflow.operators.ingest import TRANSFORMS
-from fundflow.operators.quality import ERRORS, SEQ
+from fundflow.operators.quality import ERRORS, SEQ, observed
 from fundflow.operators.specs import AUDIT_COLUMNS, ENTITIES, ENTITY_LEVELS, ENTITY_ORDER
-from fundflow.plans.refresh import COMMIT, TableStore, refresh_spending
+from fundflow.plans.refresh import ELECTION_TABLE, TableStore, check_cycles, refresh_spending
 from fundflow.session import discard, new_location
 
 SPENDING_ENTITIES = ("inside_totals_by_candidate", "schedule_e_totals_by_candidate")
@@ -67,22 +68,24 @@ def _rejects(entity: str, run: str, run_ts: str, rows: DataFrame, errors) -> Dat
                        F.to_json(F.struct(*values)).alias("row"))
 
 
-def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str, version: str | None = None) -> EntityResult:
+def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str, version: str | None = None,
+                  run: str | None = None) -> EntityResult:
     """Transform, check parents, merge into the stored table; rejects go to the quarantine log.
 
     1. the clean rows are staged once (the transform runs once), flagged when the parent
        they name isn't stored; rule failures and unknown parents are observed metrics;
-    2. the stored rows of the incoming keys are merged with them, and the rows that
-       change are written as a new part of the table (action counts observed);
-    3. the part is published; only then is anything visible.
+    2. the stored rows are merged with them and written to a fresh folder (action counts
+       observed); of a table with a cycle only the incoming rows' cycles are read and written;
+    3. the folder is published; only then is anything visible.
 
     Without a surviving row nothing is written and ``stats`` is None. With ``version`` a
-    row only applies when it is newer than the stored one.
+    row only applies when it is newer than the stored one. ``run`` names the run in the quarantine
+    log: the same run again replaces its rejects.
     """
-    spark, spec, run = store.spark, ENTITIES[entity], uuid.uuid4().hex
+    spark, spec, run = store.spark, ENTITIES[entity], run or uuid.uuid4().hex
     key = list(spec.key)
     t = TRANSFORMS[entity](raw)
-    rows, known = t.rows.select(*spec.columns, SEQ), F.lit(True)
+    rows, known = t.writes.select(*spec.columns, SEQ), F.lit(True)
     if spec.parent:
         parents = (store.read(spec.parent).select(F.col(ENTITIES[spec.parent].key[0]).alias("__parent")) if store.exists(spec.parent)
                    else spark.createDataFrame([], "__parent string"))
@@ -92,41 +95,58 @@ def ingest_entity(store: TableStore, entity: str, raw: DataFrame, run_ts: str, v
      .observe(seen, F.count_if("__known").alias("known"), F.count_if(~F.col("__known")).alias("orphans"))
      .write.mode("errorifexists").parquet(staged_path))
     staged = spark.read.parquet(staged_path)
-    orphans, invalid = int(seen.get["orphans"]), t.invalid_count()
+    orphans, invalid = observed(seen, "orphans"), t.invalid_count()
     out = EntityResult(entity, errors=invalid + orphans)
     if out.errors:
         bad = _rejects(entity, run, run_ts, t.quarantine, F.col(ERRORS))
         if orphans:
             lost = staged.filter(~F.col("__known")).drop("__known")
             bad = bad.unionByName(_rejects(entity, run, run_ts, lost, F.array(F.lit(UNKNOWN_PARENT))))
-        out.quarantine = store.append(QUARANTINE, bad).filter(F.col("run") == run)
-    if int(seen.get["known"]):
-        out.stats = _merge_into(store, entity, staged.filter("__known").drop("__known"), run_ts, version) | {"errors": out.errors}
+        out.quarantine = store.write_log(QUARANTINE, entity, run, bad)
+    if observed(seen, "known"):
+        out.stats = _merge_into(store, entity, staged.filter("__known").drop("__known"), run_ts, version, t.repeats) | {"errors": out.errors}
     discard(spark, staged_path)
     return out
 
 
-def _merge_into(store: TableStore, entity: str, incoming: DataFrame, run_ts: str, version: str | None) -> dict:
-    """Merge staged rows with the stored rows of their keys; store the changed ones as a part. Returns the counts."""
-    spec, key = ENTITIES[entity], list(ENTITIES[entity].key)
-    extra = [version] if version else []
+def _merge_into(store: TableStore, entity: str, incoming: DataFrame, run_ts: str, version: str | None, repeats: bool) -> dict:
+    """Merge staged rows with the stored ones and publish what changed. Returns the counts.
+
+    A batch that repeats a key counts every write that changes its value (``write_counts``).
+    """
+    spec, key, by_cycle = ENTITIES[entity], list(ENTITIES[entity].key), "cycle" in ENTITIES[entity].key
+    extra, cycles = [version] if version else [], None
+    if by_cycle:
+        cycles = [r.cycle for r in incoming.select("cycle").distinct().collect()]
+        check_cycles(cycles)
     if store.exists(entity):
-        stored = store.read(entity, only=incoming.select(*key).distinct())
+        stored = store.read(entity, cycles)
     else:
         stored = store.empty_like(incoming.select(
             *spec.columns, *[F.col(v) for v in extra], *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT_COLUMNS]))
+    writes = M.write_counts(stored, incoming, spec, version).first() if repeats else None
     result = M.merge(stored, incoming, spec, run_ts, version=version)
     counted = Observation(f"merge_{uuid.uuid4().hex[:12]}")
-    path, number = store.new_part(entity)
     counts = [F.count_if(F.col(M.ACTION) == a).alias(name) for a, name in M.ACTION_COUNTS if a != "keep"]
-    (result.frame.observe(counted, *counts, F.count_if(M.WRITE).alias("written")).filter(M.WRITE)
-     .select(*result.columns, F.lit(number).cast("long").alias(COMMIT)).write.mode("errorifexists").parquet(path))
-    got = {name: int(v) for name, v in counted.get.items()}
-    if got.pop("written"):
-        store.publish_part(entity, key, path, number)
+    changed = F.collect_set(F.when(F.col(M.WRITE), F.col("cycle"))) if by_cycle else F.count_if(M.WRITE)
+    table = result.frame.observe(counted, *counts, changed.alias("changed")).select(*result.columns)
+    if by_cycle:
+        path = store.stage_cycles(entity, table)
     else:
+        path = f"{store.root}/{entity}/v_{uuid.uuid4().hex}"
+        table.write.mode("errorifexists").parquet(path)
+    got = dict(counted.get)
+    changed = got.pop("changed")
+    if not changed:
         discard(store.spark, path)
-    return got
+    elif by_cycle:
+        store.publish_cycles(entity, path, changed, table, stale=True)
+        for cycle in set(cycles) - set(changed):
+            discard(store.spark, f"{path}/cycle={cycle}")
+    else:
+        store.publish_version(entity, path)
+    got = {name: int(v) for name, v in got.items()}
+    return got | ({"inserted": writes.inserted, "updated": writes.updated} if writes else {})
 
 
 def spending_inputs(store: TableStore) -> tuple[DataFrame, DataFrame]:
@@ -180,11 +200,20 @@ def ingest_batch(store: TableStore, feeds: dict[str, DataFrame], run_ts: str,
         for r in done:
             out.results[r.entity] = r
     if should_refresh(out):
-        refresh_spending(store, *spending_inputs(store))
+        refresh_changed(store)
         out.refreshed = True
     return out
 
 
+def refresh_changed(store: TableStore) -> None:
+    """Rebuild the derived rows of the cycles that changed since they were last built."""
+    stale = set().union(*(store.stale_cycles(name) for name in SPENDING_ENTITIES))
+    if stale or not store.exists(ELECTION_TABLE):
+        refresh_spending(store, *spending_inputs(store), cycles=stale)
+        for name in SPENDING_ENTITIES:
+            store.clear_stale(name, stale)
+
+
 def should_refresh(batch: BatchResult) -> bool:
     return any(r.entity in SPENDING_ENTITIES and r.stats is not None and r.error is None
                for r in batch.results.values())

@@ -2,23 +2,34 @@
 
 Each list query returns ``Page(rows, total)``: the page DataFrame and a one-row
 count DataFrame of the *unsorted* filtered set (Catalyst drops nothing it needs;
-the count never pays for the sort). Pages are ``orderBy().offset().limit()``, which
-Spark plans as a bounded top-k (TakeOrderedAndProject), never a full sort to one task.
+the count never pays for the sort). A page near the start is ``orderBy().offset().limit()``, which
+Spark plans as a bounded top-k (TakeOrderedAndProject), never a full sort to one task. A deep page
+comes from a ``PageIndex``: the sorted rows are stored once in range slices, the slices' counts say
+which of them hold the page, and only those are read.
+
+``spending_history``, ``spending_list`` and the candidates they attach compute their page while the frame
+is built (at most MAX_LIMIT rows, else an error).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundflow.functions.dates import check_even_cycle, even_cycle_predicate
+from fundflow.functions.money import response_ratio
+from fundflow.operators.ordered import SLICE
+from fundflow.session import new_location
 
 MAX_LIMIT = 1000
 DEFAULT_LIMIT = 100
+# Sort keys and response fields.
 CANDIDATE_SORT_KEYS = ("name", "state", "first_file_date", "last_file_date")
 SPENDING_SORT_KEYS = ("cycle", "inside_receipts", "inside_disbursements", "outside_support",
                       "outside_oppose", "outside_total", "influence_ratio", "vulnerability_factor")
@@ -37,15 +48,23 @@ class Page:
     offset: int
 
 
-#: Rows that a page may skip: the top-k that finds a page holds offset + limit rows in one task.
-MAX_OFFSET = 1_000_000
+#: Rows up to the end of a page beyond which it is read from an index: a top-k holds them all in one task.
+DEEP = 10_000
+#: Rows of a slice of an index.
+SLICE_ROWS = 1 << 18
 
 
 def check_page(limit: int, offset: int) -> None:
     if not isinstance(limit, int) or not (1 <= limit <= MAX_LIMIT):
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    if not isinstance(offset, int) or not (0 <= offset <= MAX_OFFSET):
-        raise ValueError(f"offset must be between 0 and {MAX_OFFSET}")
+    if not isinstance(offset, int) or offset < 0:
+        raise ValueError("offset must not be negative")
+
+
+def page_errors(limit: Column, offset: Column, sort_by: Column, order: Column, keys=SPENDING_SORT_KEYS) -> Column:
+    """The rules of ``check_page`` and ``check_choice`` over a table of requests: names of those that are broken."""
+    rules = {"limit": limit.between(1, MAX_LIMIT), "offset": offset >= 0, "sort_by": sort_by.isin(*keys), "order": order.isin("asc", "desc")}
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
 
 
 def check_choice(value: str, allowed, what: str) -> None:
@@ -66,9 +85,43 @@ def equality_filters(df: DataFrame, **filters) -> DataFrame:
     return df
 
 
-def paginate(base: DataFrame, order_by: list[Column], limit: int, offset: int) -> Page:
+@dataclass
+class PageIndex:
+    """Sorted rows in range slices, stored once; ``ends`` are the ranks at which the slices end."""
+
+    stored: DataFrame
+    order_by: list[Column]
+    ends: list[int]
+
+    def page(self, limit: int, offset: int) -> DataFrame:
+        """Reads the slices that the page overlaps; of the first, the rows before it are skipped."""
+        first, last = bisect_right(self.ends, offset), bisect_left(self.ends, offset + limit)
+        before = self.ends[first - 1] if first else 0
+        held = self.stored.where(F.col(SLICE).between(first, last)).drop(SLICE)
+        return held.orderBy(*self.order_by).offset(offset - before).limit(limit)
+
+
+def page_index(base: DataFrame, order_by: list[Column], slice_rows: int = SLICE_ROWS) -> PageIndex:
+    """Cut ``base`` into slices by ``order_by`` (which must not tie) and store them, a folder each.
+
+    The counts, one number a slice, come to the driver. Range bounds are sampled, so slices
+    differ in size; what a page reads is a slice or two whatever its offset.
+    """
+    slices = max(1, -(-base.count() // slice_rows))
+    sliced = base.repartitionByRange(slices, *order_by).withColumn(SLICE, F.spark_partition_id())
+    path = new_location(base.sparkSession, "staging/page_index")
+    sliced.write.partitionBy(SLICE).parquet(path)
+    stored = base.sparkSession.read.schema(sliced.schema).parquet(path)
+    rows = {r[SLICE]: r["n"] for r in stored.groupBy(SLICE).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return PageIndex(stored, order_by, list(accumulate(rows.get(i, 0) for i in range(slices))))
+
+
+def paginate(base: DataFrame, order_by: list[Column], limit: int, offset: int, index: PageIndex | None = None) -> Page:
+    """One page of ``base``; a deep one from ``index`` (made here if none is given)."""
     check_page(limit, offset)
     total = base.agg(F.count(F.lit(1)).cast("bigint").alias("total_count"))
+    if index is not None or offset + limit > DEEP:
+        return Page((index or page_index(base, order_by)).page(limit, offset), total, limit, offset)
     rows = base.orderBy(*order_by)
     if offset:
         rows = rows.offset(offset)
@@ -175,6 +228,14 @@ def spending_count(summary: DataFrame, cycle: int | None = None) -> DataFrame:
     return equality_filters(summary, cycle=cycle).agg(F.count(F.lit(1)).cast("bigint").alias("total_count"))
 
 
+def response_ratios(rows: DataFrame) -> DataFrame:
+    """Spending rows with the ratios of the response instead of the stored ones: from doubles, missing
+    amounts as 0, both null when nothing was disbursed."""
+    support, oppose = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("outside_support", "outside_oppose"))
+    return rows.withColumns({"influence_ratio": response_ratio(support + oppose, "inside_disbursements"),
+                             "vulnerability_factor": response_ratio(oppose, "inside_disbursements")})
+
+
 def spending_history(summary: DataFrame, candidates: DataFrame, candidate_id: str) -> DataFrame:
     """All cycles of one candidate, newest first, with candidate details.
 

@@ -6,31 +6,32 @@ fresh folder and becomes visible when the catalog entry is altered, so readers s
 state before or after it, and a write that fails half-way leaves nothing behind but an
 unreferenced folder.
 
-* Derived tables (summaries) are rebuilt whole: a new version, checked, then published
-  with ``ALTER TABLE ... SET LOCATION``.
-* Keyed entity tables are a list of parts (a table property): a first part and the rows
-  that later merges changed. A read takes the last row of each key. After MOST_PARTS the
-  next merge also writes the table anew as one part. So a merge writes in proportion to
-  its changed keys, with as many tasks as Spark deals the rows to.
+* A table without a cycle is written whole and published with ``ALTER TABLE ... SET LOCATION``.
+* A table with a cycle is partitioned by it in the catalog, and each partition has its own
+  location. A write covers some cycles: it reads and rewrites those only, and each is
+  published with ``ALTER TABLE ... PARTITION ... SET LOCATION`` (new ones together). Cycles
+  don't depend on each other, so a run that dies between two of them is simply run again.
+* Logs (quarantine, pages held back) have one folder for each writer and run, so writers never share
+  a folder and a run that is repeated replaces its own rows.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fundflow.operators import dedupe
 from fundflow.plans import marts
 from fundflow.session import discard, shared_dir
 
 DB = "fundflow"
-#: Column of a keyed table's parts: the number of the merge that wrote the row.
-COMMIT = "_commit"
-#: Parts of a keyed table beyond which it is written anew.
-MOST_PARTS = 16
-PARTS, KEY, OLD = "fundflow.parts", "fundflow.key", "fundflow.old"
+#: Folders that the write before the last one replaced, and cycles whose derived rows are to be rebuilt.
+OLD, STALE = "fundflow.old", "fundflow.stale"
+#: Election cycles that one write may touch; each is a folder.
+MOST_CYCLES = 1000
 
 
 class UniqueKeyError(RuntimeError):
@@ -67,12 +68,15 @@ class TableStore:
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(f"{self.db}.{name}")
 
-    def _properties(self, name: str) -> dict[str, str]:
-        return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.qualified(name)}").collect()}
+    def _property(self, name: str, key: str) -> list[str]:
+        """A comma-separated table property."""
+        if not self.exists(name):
+            return []
+        held = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.qualified(name)}").collect()}
+        return [x for x in held.get(key, "").split(",") if x]
 
-    def _set_properties(self, name: str, **values: str) -> None:
-        listed = ", ".join(f"'fundflow.{k}'='{v}'" for k, v in values.items())
-        self.spark.sql(f"ALTER TABLE {self.qualified(name)} SET TBLPROPERTIES ({listed})")
+    def _set_property(self, name: str, key: str, values: Iterable) -> None:
+        self.spark.sql(f"ALTER TABLE {self.qualified(name)} SET TBLPROPERTIES ('{key}'='{','.join(map(str, values))}')")
 
     def location(self, name: str) -> str | None:
         if not self.exists(name):
@@ -81,45 +85,33 @@ class TableStore:
                 .filter(F.col("col_name") == "Location").select("data_type").take(1))
         return rows[0][0] if rows else None
 
-    def parts(self, name: str) -> list[str]:
-        """Folders of a keyed table, oldest first (none if it was never written)."""
-        return self._properties(name).get(PARTS, "").split(",") if self.exists(name) else []
+    def cycles(self, name: str) -> list[int]:
+        """Cycles that are published of a table partitioned by them."""
+        shown = self.spark.sql(f"SHOW PARTITIONS {self.qualified(name)}").collect() if self.exists(name) else []
+        return sorted(int(r[0].split("=")[1]) for r in shown)
 
-    def read(self, name: str, only: DataFrame | None = None) -> DataFrame:
-        """The published rows; of a keyed table those whose key is in ``only``, if given.
+    def cycle_location(self, name: str, cycle: int) -> str:
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.qualified(name)} PARTITION (cycle={cycle})")
+        return [r["data_type"] for r in rows.collect() if r["col_name"] == "Location"][0]
 
-        Derived tables are read by path so that partition folders (``cycle=``) are found;
-        the catalog entry is only the pointer.
-        """
-        values = self._properties(name)
-        if PARTS not in values:
-            return self.spark.read.parquet(self.location(name))
-        parts, key = values[PARTS].split(","), values[KEY].split(",")
-        rows = self.spark.read.parquet(*parts)
-        if only is not None:
-            rows = rows.join(only.select(*key), key, "left_semi")
-        if len(parts) > 1:
-            rows = dedupe.last_wins(rows, key, seq=COMMIT)
-        return rows.drop(COMMIT)
-
-    def write_version(self, name: str, df: DataFrame, key: list[str] | None = None,
-                      partition_by: list[str] | None = None) -> str:
-        """Write a new version, assert key uniqueness on what was written, publish it."""
+    def read(self, name: str, cycles: Iterable[int] | None = None) -> DataFrame:
+        """The published rows, of the given cycles only if any are given (other partitions are not scanned)."""
+        rows = self.spark.table(self.qualified(name))
+        return rows if cycles is None else rows.where(F.col("cycle").isin(list(cycles)))
+
+    def write_version(self, name: str, df: DataFrame, key: list[str] | None = None) -> str:
+        """Write the whole table anew, assert key uniqueness on what was written, publish it."""
         path = f"{self.root}/{name}/v_{uuid.uuid4().hex}"
-        writer = df.write.mode("errorifexists")
-        if partition_by:
-            # each task writes at most one file per partition value it holds
-            df = df.sortWithinPartitions(*partition_by)
-            writer = df.write.mode("errorifexists").partitionBy(*partition_by)
-        writer.parquet(path)
-        if key:
-            written = self.spark.read.parquet(path)
-            if duplicate_keys(written, key).take(1):
-                raise UniqueKeyError(f"{name}: duplicate keys {key} in {path}; version not published")
+        df.write.mode("errorifexists").parquet(path)
+        self._assert_unique(name, path, key)
+        self.publish_version(name, path)
+        return path
+
+    def publish_version(self, name: str, path: str) -> None:
+        """Make a written folder the table, and delete the version before the one it replaces."""
         before = self.location(name)
         self.publish(name, path)
         self._retire(name, [before] if before else [])
-        return path
 
     def publish(self, name: str, path: str) -> None:
         q = self.qualified(name)
@@ -129,35 +121,74 @@ class TableStore:
         else:
             self.spark.sql(f"CREATE TABLE {q} USING parquet LOCATION '{path}'")
 
-    def _retire(self, name: str, replaced: list[str]) -> None:
+    def stage_cycles(self, name: str, df: DataFrame) -> str:
+        """Write rows to a fresh folder, a sub-folder a cycle; files are sized by Spark, hot cycles get several."""
+        path = f"{self.root}/{name}/v_{uuid.uuid4().hex}"
+        df.hint("rebalance", "cycle").write.mode("errorifexists").partitionBy("cycle").parquet(path)
+        return path
+
+    def write_cycles(self, name: str, df: DataFrame, cycles: Iterable[int], key: list[str] | None = None) -> str:
+        """Write the rows of ``cycles`` anew, assert key uniqueness on what was written, publish those cycles."""
+        path = self.stage_cycles(name, df)
+        self._assert_unique(name, path, key)
+        self.publish_cycles(name, path, cycles, df)
+        return path
+
+    def publish_cycles(self, name: str, path: str, cycles: Iterable[int], shape: DataFrame, stale: bool = False) -> None:
+        """Make the sub-folders of ``cycles`` under ``path`` the partitions; a cycle without rows loses its partition.
+
+        With ``stale`` the cycles are marked for the next refresh before they are visible, so that none is forgotten.
+        """
+        q, wanted = self.qualified(name), sorted(set(cycles))
+        written = {int(r["cycle"]) for r in self.spark.read.parquet(path).select("cycle").distinct().collect()}
+        if not self.exists(name):
+            columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema.fields if f.name != "cycle"]
+            self.spark.sql(f"CREATE TABLE {q} ({', '.join(columns)}, cycle int) USING parquet PARTITIONED BY (cycle) "
+                           f"LOCATION '{self.root}/{name}/none'")
+        if stale:
+            self.mark_stale(name, wanted)
+        there = {c: self.cycle_location(name, c) for c in set(self.cycles(name)) & set(wanted)}
+        at = {c: f"{path}/cycle={c}" for c in wanted if c in written}
+        new = [f"PARTITION (cycle={c}) LOCATION '{p}'" for c, p in at.items() if c not in there]
+        if new:
+            self.spark.sql(f"ALTER TABLE {q} ADD {' '.join(new)}")
+        for c in there:
+            self.spark.sql(f"ALTER TABLE {q} PARTITION (cycle={c}) SET LOCATION '{at[c]}'" if c in at else f"ALTER TABLE {q} DROP PARTITION (cycle={c})")
+        self.spark.sql(f"REFRESH TABLE {q}")
+        self._retire(name, there.values())
+
+    def _assert_unique(self, name: str, path: str, key: list[str] | None) -> None:
+        if key and duplicate_keys(self.spark.read.parquet(path), key).take(1):
+            raise UniqueKeyError(f"{name}: duplicate keys {key} in {path}; version not published")
+
+    def _retire(self, name: str, replaced: Iterable[str]) -> None:
         """Delete what was replaced by the write before this one; readers may still be on ``replaced``."""
-        for path in filter(None, self._properties(name).get(OLD, "").split(",")):
+        for path in self._property(name, OLD):
             discard(self.spark, path)
-        self._set_properties(name, old=",".join(replaced))
+        self._set_property(name, OLD, replaced)
 
-    def new_part(self, name: str) -> tuple[str, int]:
-        """Folder and number of the next merge of a keyed table."""
-        number = int(self._properties(name).get("fundflow.commits", "0")) if self.exists(name) else 0
-        return f"{self.root}/{name}/p_{number:06d}_{uuid.uuid4().hex}", number
+    def stale_cycles(self, name: str) -> set[int]:
+        """Cycles that changed since the derived tables were last built from this table."""
+        return {int(c) for c in self._property(name, STALE)}
 
-    def publish_part(self, name: str, key: list[str], path: str, number: int) -> None:
-        """Make a written part visible, and write the table anew once it has too many."""
-        parts = [*self.parts(name), path]
-        if not self.exists(name):
-            self.publish(name, path)
-        self._set_properties(name, key=",".join(key), commits=str(number + 1), parts=",".join(parts))
-        if len(parts) > MOST_PARTS:
-            whole, number = self.new_part(name)
-            self.read(name).withColumn(COMMIT, F.lit(number).cast("long")).write.mode("errorifexists").parquet(whole)
-            self.publish(name, whole)
-            self._set_properties(name, commits=str(number + 1), parts=whole)
-            self._retire(name, parts)
-
-    def append(self, name: str, df: DataFrame) -> DataFrame:
-        """Add rows to a log folder (an append is all or nothing); returns the whole log."""
-        path = f"{self.root}/{name}"
-        df.write.mode("append").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def mark_stale(self, name: str, cycles: Iterable[int]) -> None:
+        self._set_property(name, STALE, sorted(self.stale_cycles(name) | set(cycles)))
+
+    def clear_stale(self, name: str, cycles: Iterable[int]) -> None:
+        if self.exists(name):
+            self._set_property(name, STALE, sorted(self.stale_cycles(name) - set(cycles)))
+
+    def write_log(self, name: str, writer: str, run: str, df: DataFrame) -> DataFrame:
+        """Rows of one writer's run, in a folder of their own; the same run written again replaces them."""
+        path = f"{self.root}/{name}/writer={writer}/run={run}"
+        df.drop("run").write.mode("overwrite").parquet(path)
+        return self.read_log(name, writer, df.schema).where(F.col("run") == run)
+
+    def read_log(self, name: str, writer: str, schema) -> DataFrame:
+        """All rows that a writer has logged, with the run that wrote them."""
+        path = f"{self.root}/{name}/writer={writer}"
+        partitioned = T.StructType([*[f for f in schema.fields if f.name != "run"], T.StructField("run", T.StringType())])
+        return self.spark.read.schema(partitioned).parquet(path)
 
     def empty_like(self, df: DataFrame) -> DataFrame:
         return self.spark.createDataFrame([], df.schema)
@@ -167,15 +198,32 @@ SUMMARY_TABLE = "mv_candidate_spending_summary"
 ELECTION_TABLE = "mv_election_spending_summary"
 
 
-def refresh_spending(store: TableStore, inside: DataFrame, outside: DataFrame) -> tuple[str, str]:
+def refresh_spending(store: TableStore, inside: DataFrame, outside: DataFrame, cycles: Iterable[int] | None = None) -> None:
     """Rebuild the candidate summary, then the election summary from the *written* one.
 
     Order matters: the election table is computed from the published candidate
     summary (read back from storage, so its lineage is cut and a lost executor
-    recomputes from files, not from the raw feeds).
+    recomputes from files, not from the raw feeds). With ``cycles`` only those are read,
+    rebuilt and written, once both tables exist: a cycle's rows depend on that cycle's totals alone.
     """
-    summary = marts.candidate_spending_summary(inside, outside)
-    p1 = store.write_version(SUMMARY_TABLE, summary, key=marts.KEY, partition_by=["cycle"])
-    election = marts.election_spending_summary(store.read(SUMMARY_TABLE))
-    p2 = store.write_version(ELECTION_TABLE, election, key=["cycle"])
-    return p1, p2
+    both = [inside, outside]
+    if cycles is None or not (store.exists(SUMMARY_TABLE) and store.exists(ELECTION_TABLE)):
+        found = both[0].select("cycle").union(both[1].select("cycle")).distinct().collect()
+        cycles = sorted({r.cycle for r in found} | set(store.cycles(SUMMARY_TABLE)))
+        kept = None
+    else:
+        cycles = sorted(set(cycles))
+        both = [t.where(F.col("cycle").isin(cycles)) for t in both]
+        kept = store.read(ELECTION_TABLE).where(~F.col("cycle").isin(cycles))
+    check_cycles(cycles)
+    store.write_cycles(SUMMARY_TABLE, marts.candidate_spending_summary(*both), cycles, key=marts.KEY)
+    election = marts.election_spending_summary(store.read(SUMMARY_TABLE, cycles))
+    if kept is not None:
+        election = kept.select(*election.columns).unionByName(election)
+    store.write_version(ELECTION_TABLE, election, key=["cycle"])
+
+
+def check_cycles(cycles: Iterable[int]) -> None:
+    n = len(set(cycles))
+    if n > MOST_CYCLES:
+        raise ValueError(f"{n} cycles in one write; at most {MOST_CYCLES} are expected")

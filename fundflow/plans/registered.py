@@ -42,3 +42,4 @@ def election_spending_summary(spark: SparkSession, sf_dir: str):
 from fundflow.plans import registered_reads, registered_tree  # noqa: E402,F401
 from fundflow.plans import registered_ingest  # noqa: E402,F401
 from fundflow.plans import registered_jobs  # noqa: E402,F401
+from fundflow.plans import registered_edges  # noqa: E402,F401

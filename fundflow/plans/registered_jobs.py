@@ -119,7 +119,7 @@ def _feeds(spark: SparkSession, sf_dir: str) -> dict:
 
 
 REGISTERED = "candidate_id IN (SELECT candidate_id FROM candidates_last WHERE office IS NOT NULL)"
-BATCH_VIEWS = ("committees_checked", "candidates_last", "candidates_checked", "inside_t", "outside_t")
+BATCH_VIEWS = ("committees_checked", "candidates_last", "candidates_checked", "inside_t", "outside_t", "outside_writes")
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[TableStore, jobs.BatchResult]:
@@ -141,8 +141,8 @@ UNION ALL SELECT 'candidates', (SELECT COUNT(*) FROM candidates_last WHERE offic
   CAST(COUNT(*) FILTER (WHERE errors <> '') AS BIGINT) FROM candidates_checked WHERE office IS NOT NULL
 UNION ALL SELECT 'inside_totals_by_candidate', COUNT(*) FILTER (WHERE {REGISTERED}), COUNT(*) FILTER (WHERE {REGISTERED}), 0,
   COUNT(*) FILTER (WHERE NOT {REGISTERED}) FROM inside_t
-UNION ALL SELECT 'schedule_e_totals_by_candidate', COUNT(*) FILTER (WHERE {REGISTERED}), COUNT(*) FILTER (WHERE {REGISTERED}), 0,
-  COUNT(*) FILTER (WHERE NOT {REGISTERED}) FROM outside_t
+UNION ALL SELECT 'schedule_e_totals_by_candidate', (SELECT COUNT(*) FROM outside_t WHERE {REGISTERED}), COUNT(*) FILTER (WHERE {REGISTERED} AND n = 1),
+  COUNT(*) FILTER (WHERE {REGISTERED} AND n > 1 AND total <> before), COUNT(*) FILTER (WHERE NOT {REGISTERED}) FROM outside_writes
 UNION ALL SELECT 'mv_candidate_spending_summary', COUNT(*), 0, 0, 0 FROM (
   SELECT candidate_id, cycle FROM inside_t WHERE {REGISTERED} UNION SELECT candidate_id, cycle FROM outside_t WHERE {REGISTERED})
 UNION ALL SELECT 'mv_election_spending_summary', COUNT(DISTINCT cycle), 0, 0, 0 FROM (
@@ -184,7 +184,7 @@ SELECT entity, failed_id, rules, CAST(COUNT(*) AS BIGINT) AS rows FROM (
   SELECT 'committees' AS entity, committee_id AS failed_id, errors AS rules FROM committees_checked WHERE errors <> ''
   UNION ALL SELECT 'candidates', candidate_id, errors FROM candidates_checked WHERE errors <> '' AND office IS NOT NULL
   UNION ALL SELECT 'inside_totals_by_candidate', candidate_id, 'unknown_parent' FROM inside_t WHERE NOT {REGISTERED}
-  UNION ALL SELECT 'schedule_e_totals_by_candidate', candidate_id, 'unknown_parent' FROM outside_t WHERE NOT {REGISTERED})
+  UNION ALL SELECT 'schedule_e_totals_by_candidate', candidate_id, 'unknown_parent' FROM outside_writes WHERE NOT {REGISTERED})
 GROUP BY entity, failed_id, rules""", *BATCH_VIEWS))
 def pipeline_quarantine(spark: SparkSession, sf_dir: str):
     """The quarantine log of the batch: failed ids by entity and rules."""
@@ -208,30 +208,45 @@ CANDIDATE_RECORD = T.StructType([
     T.StructField("party", T.StringType()),
     T.StructField("last_file_date", T.StringType()),
 ])
-STREAM_FILES = 6
+#: Pages of a landed file, and files of a micro-batch.
+PAGES_PER_FILE, FILES_PER_BATCH = 16, 8
 STREAM_OUT = ["candidate_id", "name", "office", "state", "party", "district", "last_file_date"]
 
 
-def _land_candidates(spark: SparkSession, raw, path: str, fetch: int, files: int) -> None:
+def _candidate_pages(raw: DataFrame, fetch: int) -> tuple[DataFrame, int]:
+    """A feed as the pages of one fetch, and the files they are landed in."""
     feed = raw.withColumnRenamed("_seq", "order_key").select(*[f.name for f in CANDIDATE_RECORD.fields])
-    land(page_envelopes(feed, "candidates", FX.STREAM_PAGE_SIZE, "order_key", fetch=fetch), path, files=files, mode="append")
+    pages = page_envelopes(feed, "candidates", FX.STREAM_PAGE_SIZE, "order_key", fetch=fetch)
+    return pages, max(1, -(-feed.count() // (FX.STREAM_PAGE_SIZE * PAGES_PER_FILE)))
+
+
+def _drain(spark: SparkSession, store: TableStore, landing: str, checkpoint: str):
+    return run_incremental(spark, store, landing, CANDIDATE_RECORD, "candidates", FX.RUN_TS, FILES_PER_BATCH, checkpoint)
+
+
+def _stream(spark: SparkSession) -> tuple[str, str, TableStore]:
+    return new_location(spark, "landing_candidates"), new_location(spark, "stream_checkpoint"), _fresh_store(spark, "stream")
+
+
+def _stored(store: TableStore) -> DataFrame:
+    return store.read("candidates").select(*[F.col(c).cast("string").alias(c) for c in STREAM_OUT])
 
 
 def _streamed(spark: SparkSession, feeds: list) -> DataFrame:
-    """Land the feeds as one fetch each and drain them one file per micro-batch."""
-    landing, store = new_location(spark, "landing_candidates"), _fresh_store(spark, "stream")
-    checkpoint = new_location(spark, "stream_checkpoint")
+    """Land the feeds as one fetch each and drain them in micro-batches of a few files."""
+    landing, checkpoint, store = _stream(spark)
     for number, raw in enumerate(feeds, 1):
-        _land_candidates(spark, raw, landing, number, STREAM_FILES // len(feeds))
-        run_incremental(spark, store, landing, CANDIDATE_RECORD, "candidates", FX.RUN_TS, checkpoint=checkpoint)
-    return store.read("candidates").select(*[F.col(c).cast("string").alias(c) for c in STREAM_OUT])
+        pages, files = _candidate_pages(raw, number)
+        land(pages, landing, files=files, mode="append")
+        _drain(spark, store, landing, checkpoint)
+    return _stored(store)
 
 
 @register("incremental_stream", with_views(
     "SELECT candidate_id, name, office, state, party, district, last_file_date FROM candidates_last",
     "candidates_last"))
 def incremental_stream(spark: SparkSession, sf_dir: str):
-    """Candidate pages landed in several files, drained one file per micro-batch."""
+    """Candidate pages landed in several files, drained a few files per micro-batch."""
     return _streamed(spark, [FX.candidates_raw(spark, sf_dir)])
 
 
@@ -243,3 +258,22 @@ def incremental_refetch(spark: SparkSession, sf_dir: str):
     """Two fetches, the second with the newer snapshots: its pages start at 1 again and still win."""
     raw, newer = FX.candidates_raw(spark, sf_dir), F.col("last_file_date") >= FX.MERGE_INCOMING_FROM
     return _streamed(spark, [raw.filter(~newer), raw.filter(newer)])
+
+
+@register("late_first_page", with_views(
+    "SELECT candidate_id, name, office, state, party, district, last_file_date FROM (SELECT *, ROW_NUMBER() OVER ("
+    "PARTITION BY candidate_id ORDER BY seq DESC) AS r "
+    f"FROM candidates_checked WHERE errors = '' AND last_file_date < '{FX.MERGE_INCOMING_FROM}') WHERE r = 1", "candidates_checked"))
+def late_first_page(spark: SparkSession, sf_dir: str):
+    """Two fetches whose page 1 lands after all other pages. The second one's is empty, so nothing of it counts."""
+    raw, newer = FX.candidates_raw(spark, sf_dir), F.col("last_file_date") >= FX.MERGE_INCOMING_FROM
+    landing, checkpoint, store = _stream(spark)
+    fetches = [_candidate_pages(raw.filter(~newer), 1), _candidate_pages(raw.filter(newer), 2)]
+    for pages, files in fetches:
+        land(pages.where("pagination.page > 1"), landing, files=files, mode="append")
+    _drain(spark, store, landing, checkpoint)
+    land(fetches[0][0].where("pagination.page = 1"), landing, files=1, mode="append")
+    empty = fetches[1][0].where("pagination.page = 1")
+    land(empty.withColumn("results", F.filter("results", lambda r: F.lit(False))), landing, files=1, mode="append")
+    _drain(spark, store, landing, checkpoint)
+    return _stored(store)

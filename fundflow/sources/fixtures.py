@@ -108,13 +108,24 @@ def inside_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OUTSIDE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+#: Order of the line items, with the decimal digits that each column's values take.
+OUTSIDE_ORDER = {"l_orderkey": 12, "l_linenumber": 1, "l_partkey": 9, "l_suppkey": 8, "l_extendedprice": 8}
+
+
+def arrival_number() -> Column:
+    """The order columns side by side in one decimal(38,0): fixed width, same order (prices in cents)."""
+    total, below = F.lit(0).cast("decimal(38,0)"), sum(OUTSIDE_ORDER.values())
+    for c, digits in OUTSIDE_ORDER.items():
+        below -= digits
+        whole = (F.col(c).cast("decimal(15,2)") * 100 if c == "l_extendedprice" else F.col(c)).cast("decimal(38,0)")
+        total = total + whole * F.lit(str(10 ** below)).cast("decimal(38,0)")
+    return total.cast("decimal(38,0)")
 
 
 def outside_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw independent-expenditure totals, one row per line item.
 
-    The five order columns together are unique and give the arrival order. Support comes
+    The five order columns together are unique and give the arrival number. Support comes
     in either case, so a clean key can have two raw keys.
     """
     li = table(spark, sf_dir, "lineitem").select(*OUTSIDE_ORDER, "l_returnflag", "l_shipdate")
@@ -126,7 +137,7 @@ def outside_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .when(F.col("l_returnflag") == "R", "O")
                      .alias("support_oppose_indicator"),
                     F.col("l_extendedprice").cast("decimal(14,2)").alias("total"),
-                    F.struct(*OUTSIDE_ORDER).alias("_seq")))
+                    arrival_number().alias("_seq")))
 
 
 def candidates_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

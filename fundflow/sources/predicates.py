@@ -38,6 +38,18 @@ def source_filter(df: DataFrame, offices=DEFAULT_OFFICES, cycle: int | None = No
     return df
 
 
+#: What the totals endpoints ask for unless told otherwise.
+DEFAULT_CYCLE = 2024
+
+
+def totals_filter(df: DataFrame, cycle: int | None = DEFAULT_CYCLE, offices=DEFAULT_OFFICES, **equals) -> DataFrame:
+    """What a fetch of candidate totals asks for: one cycle, the federal offices, and of a feed that
+    tells full elections from two-year periods (``election_full``) the periods."""
+    if "election_full" in df.columns:
+        equals = {"election_full": False} | equals
+    return source_filter(df, offices, cycle, "cycle", **equals)
+
+
 def first_file_range(df: DataFrame, min_date: str | _dt.date | None = None,
                      max_date: str | _dt.date | None = None,
                      column: str = "first_file_date") -> DataFrame:

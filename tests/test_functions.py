@@ -121,3 +121,30 @@ def test_cluster_conf_sizing():
     assert mid["spark.sql.shuffle.partitions"] == str(10 * 1024 ** 4 // (256 * 1024 ** 2))
     assert huge["spark.sql.shuffle.partitions"] == str(100 * 4096)  # no cap; AQE coalesces from there
     assert huge["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 ** 2)
+
+
+def test_round_binary_is_what_a_response_shows(spark):
+    import random
+    from pyspark.sql import functions as F
+    from fundflow.functions.money import response_ratio, round_binary
+    rng = random.Random(9)
+    ties = [n / 8 for n in range(1, 4000, 7)] + [2.675, 0.125, 0.375, 1.005, 1.115, 5e-324, 0.0, 0.004999999999999999, 0.005, 0.015, 1e300, 2.0 ** 52, 2.0 ** 51 + 0.5]
+    xs = ties + [rng.uniform(0, 10) for _ in range(500)] + [rng.randint(0, 10 ** 9) / rng.randint(1, 10 ** 6) for _ in range(500)]
+    xs += [(2 * rng.randint(0, 10 ** 12) + 1) / 200 for _ in range(500)] + [rng.uniform(0, 1e15) for _ in range(200)]
+    xs += [-x for x in xs[:50]]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [(r.x, r.y) for r in df.select("x", round_binary("x").alias("y")).collect()] == [(x, round(x, 2)) for x in xs]
+    amounts = [(1.0, 8.0), (5.0, 0.0), (None, 2.0), (3.0, None), (2.675, 1.0)]
+    got = spark.createDataFrame(amounts, "n double, d double").select(response_ratio("n", "d").alias("r")).collect()
+    assert [r.r for r in got] == [0.12, None, None, None, 2.67]
+    assert spark.createDataFrame([(None,)], "x double").select(round_binary(F.col("x"))).first()[0] is None
+
+
+def test_totals_are_asked_for_by_default(spark):
+    from fundflow.sources.predicates import totals_filter
+    rows = [("a", 2024, "P", False), ("b", 2024, "P", True), ("c", 2022, "S", False), ("d", 2024, "X", False), ("e", 2024, "H", None)]
+    df = spark.createDataFrame(rows, "id string, cycle int, office string, election_full boolean")
+    assert [r.id for r in totals_filter(df).collect()] == ["a"]
+    assert [r.id for r in totals_filter(df, 2022).collect()] == ["c"]
+    assert sorted(r.id for r in totals_filter(df.drop("election_full")).collect()) == ["a", "b", "e"]
+    assert [r.id for r in totals_filter(df, election_full=True).collect()] == ["b"]

@@ -3,10 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fundflow.operators.ordered import previous_in_group, rank_within_group
+from fundflow.operators.ordered import rank_within_group, run_summary
 
 
 def _data(spark):
@@ -19,16 +18,19 @@ def _data(spark):
     return spark.createDataFrame(rows, "k string, seq long, v int")
 
 
-def test_previous_in_group_matches_lag_across_blocks(spark):
-    df = _data(spark)
-    canon = F.to_json(F.struct("v"), {"ignoreNullFields": "false"})
-    got = previous_in_group(df, ["k"], "seq", canon, block=16)  # many blocks per key
-    w = Window.partitionBy("k").orderBy("seq")
-    want = df.select("k", "seq", F.lag(canon).over(w).alias("__prev"),
-                     F.row_number().over(w).alias("rn"))
-    a = sorted((r["k"], r["seq"], r["__prev"], r["__first"]) for r in got.collect())
-    b = sorted((r["k"], r["seq"], r["__prev"], r["rn"] == 1) for r in want.collect())
-    assert a == b
+@pytest.mark.parametrize("partitions", [1, 3, 8, 40])
+def test_run_summary_matches_a_loop(spark, tmp_path, partitions):
+    path = str(tmp_path / "rows")
+    _data(spark).unionByName(spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("one", 3, None)], "k string, seq long, v int")) \
+        .withColumn("at", F.struct((F.col("seq") / 7).cast("int").alias("a"), F.col("seq").alias("b"))).repartition(5).write.parquet(path)
+    df = spark.read.parquet(path)
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r.seq):
+        first, last, changes, n = want.get(r.k, (r.v, r.v, 0, 0))
+        want[r.k] = (first, r.v, changes + (n > 0 and r.v != last), n + 1)
+    for order in (F.col("seq"), F.col("at")):  # a number or a struct
+        got = run_summary(df, ["k"], [order], F.col("v"), partitions)
+        assert {r.k: (r["first"], r["last"], r.changes, r.n) for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("partitions", [2, 3, 4, 8, 50])
