@@ -37,7 +37,7 @@ from fundflow.llm.common import fresh
 #: Words of a k-mer, k-mers of a slot, slots.
 WORDS, TUPLE, SLOTS = 2, 2, 128
 #: Text of a slice of neighbours, and the most slices (beyond that slices grow).
-SLICE_BYTES, MOST_SLICES = 2 << 20, 1 << 18
+SLICE_BYTES, MOST_SLICES = 4 << 20, 1 << 18
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -156,6 +156,6 @@ def with_next(docs: DataFrame, values: dict[str, str], slice_bytes: int = SLICE_
     ghosts = placed.withColumn(ghost, F.explode(copies)).withColumn(
         part, F.when(F.col(ghost), (F.col(part) + 1) % F.lit(last + 1)).otherwise(F.col(part)))
     order = Window.partitionBy(part).orderBy(ghost, F.desc(known), F.desc(number), F.desc(digest), F.desc("text"))
-    following = {new: F.lead(F.struct(c)).over(order)[c] for new, c in values.items()}
+    following = {new: F.lead(c).over(order) for new, c in values.items()}
     found = ghosts.withColumns(following).where(~F.col(ghost)).select(*docs.columns, *values)
     return found.unionByName(rest) if rest is not None else found
