@@ -146,10 +146,10 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int) -> str:
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                rows = zip(piece.column("doc_id").to_pylist(), piece.column("key").to_pylist(),
-                           piece.column("text").to_pylist())
-                for doc, key, text in rows:
-                    ids = np.concatenate([np.frombuffer(encoder.encode(text or ""), "<u4"), end])
+                every, ends = encoder.encode_all(piece.column("text"))
+                rows = zip(piece.column("doc_id").to_pylist(), piece.column("key").to_pylist(), np.split(every, ends[:-1]))
+                for doc, key, ids in rows:
+                    ids = np.concatenate([ids, end])
                     doc_ids.append(doc)
                     keys.append(key)
                     arrays.append(ids)

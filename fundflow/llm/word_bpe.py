@@ -1,9 +1,10 @@
-"""Fast encoding with a word-level BPE of the tokenizers library.
+"""Fast encoding with the tokenizers library.
 
-White space is dropped by such a vocabulary and no pre-token crosses it, so the ids of a
-text are those of its space-separated chunks in turn. Invented or natural, words repeat:
-a worker remembers the ids of the chunks it has met (a bounded memory, cleared when full)
-and asks the library only for new ones.
+A vocabulary whose normalizer and pre-tokenizer are those of ``BY_WORD`` drops white space and lets no
+pre-token cross it, so the ids of a text are those of its space-separated chunks in turn. Invented or natural,
+words repeat: the chunks of a whole batch are split and numbered by Arrow, each distinct one is encoded
+once, and the ids are gathered by number. A worker also remembers the chunks it has met (a bounded
+memory, cleared when full). Texts of any other vocabulary go to the library as they are.
 """
 
 from __future__ import annotations
@@ -11,14 +12,27 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import json
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Chunks, and words within them, that a worker remembers.
 MEMORY = 1_000_000
 #: Letters whose lower case and NFC form are made character by character, then marks that
 #: are one pre-token (no apostrophe: it opens contractions; no "<": it opens special tokens).
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
+# The steps before the model of a vocabulary that can be encoded chunk by chunk.
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -53,11 +67,13 @@ class Memory(dict):
 
 
 class WordEncoder:
-    """encode(text): the ids of a text as little-endian u32 bytes, without special tokens."""
+    """encode(text), encode_all(texts): ids without special tokens, of any vocabulary file of the library."""
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        steps = json.loads(data)
+        self.by_word = (steps["normalizer"], steps["pre_tokenizer"]) == BY_WORD
         self.tokenizer = Tokenizer.from_buffer(data)
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -89,4 +105,23 @@ class WordEncoder:
         return word + self.words[plain[2]] if plain[2] else word
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        """The ids of a text as little-endian u32 bytes."""
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each text end; a null text is empty."""
+        texts = texts.fill_null("")
+        if not self.by_word:
+            each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([len(x) for x in each], dtype=np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        each = [self.chunks[c] for c in coded.dictionary.to_pylist()]
+        sizes = np.array([len(b) // 4 for b in each], np.int64)
+        known, starts = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes) - sizes
+        number = coded.indices.to_numpy()
+        n = sizes[number]
+        ends = np.cumsum(n)
+        ids = known[np.repeat(starts[number] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        return ids, np.concatenate([[0], ends])[last]

@@ -47,6 +47,21 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_batches_of_any_vocabulary_equal_the_library(name):
+    import pyarrow as pa
+
+    path = public_tokenizers.path(name)
+    encoder, plain = WordEncoder.of(vocabulary(path)[0]), Tokenizer.from_file(path)
+    random.seed(4)
+    texts = ["Hello world", None, "", " ", "\n\n", "one\ntwo  three", "Ünïcode\t\u0301x"] + [
+        "".join(random.choices("abAZ éÉ12  \n.,'st!日\t", k=random.randint(0, 60))) for _ in range(500)]
+    ids, ends = encoder.encode_all(pa.array(texts, pa.string()))
+    got = [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [len(x) for x in encoder.encode_all(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_files_against_a_plain_version(spark, documents, monkeypatch):
     rows = [(7, "seven words are in this short text", "en"), (3, None, "en"), (5, "", None), (4, "word " * 3000, "en"),
             (9, "same", "en"), (9, "same", "en"), (-2, "Ärger über Öl", "de"), (None, "no id", "en")]
