@@ -25,3 +25,17 @@ def test_every_query_has_an_oracle():
     q, o = mod.queries(), mod.oracle_sql()
     assert own <= set(q) and own <= set(o) and len(own) >= 50
     assert set(o) <= set(q)
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """A copy whose llm folder is left over but empty, and which has no pipeline, still lists its own queries."""
+    import shutil
+    import subprocess
+    import sys
+    shutil.copytree(os.path.join(ROOT, "fundflow"), tmp_path / "fundflow", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "fundflow" / "llm").mkdir()
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 50 and not any(n.startswith('op') for n in q); print(len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
