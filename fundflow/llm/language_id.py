@@ -4,9 +4,12 @@ Sparse multinomial logistic regression on TF-IDF character n-grams: lower-cased
 everything else one space, n-grams of NGRAMS code points hashed to FEATURES slots, weight
 log(1 + count) x idf, unit length. Document frequencies are counted over every training
 document in Spark. The weights are fitted by follow-the-regularised-leader (proximal, with
-L1 and L2 penalties) on a bounded sample, SAMPLE_PER_LANGUAGE documents of each language
-on average, chosen by a hash of the id; a fifth of the sample is kept back to fit the
-temperature that calibrates the scores.
+L1 and L2 penalties) on a bounded sample, SAMPLE_PER_LANGUAGE documents of each language (SAMPLE over
+all languages, if that is less) on average, chosen by a hash of the id; a fifth of the sample is kept back to
+fit the temperature that calibrates the scores.
+
+``keep_identified`` rejects a text of which training has met less than half of the n-grams (LEAST_KNOWN, counted
+as often as they occur), whatever the languages are and however many: letters of other scripts, codes.
 
 Cases: null or letterless texts are ``und`` with score 0 (as is everything when nothing
 can be learned); training rows with a null language, text or id are left out; a long text
@@ -34,6 +37,8 @@ FEATURES = 1 << BITS
 PIECE = 1 << 20
 #: Training documents of each language (on average, by hash); the bound of the fitted sample.
 SAMPLE_PER_LANGUAGE = 800
+#: Training documents over all languages: what the driver gathers, at most about 64 KB a document of any length.
+SAMPLE = 12_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.05
 
 _letters: list[np.ndarray] = []
@@ -86,6 +91,7 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 class Model(NamedTuple):
     languages: list[str]
     idf: np.ndarray
+    met: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -95,14 +101,16 @@ class Model(NamedTuple):
         norm = np.sqrt(x @ x)
         return x / norm if norm > 0 else x
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the share of the text's n-grams that training has met."""
         found = counts(text) if self.languages else None
         if found is None:
-            return UND, 0.0
-        logits = (self.features(*found) @ self.weights[found[0]] + self.bias) / self.temperature
+            return UND, 0.0, 0.0
+        used, count = found
+        logits = (self.features(used, count) @ self.weights[used] + self.bias) / self.temperature
         p = np.exp(logits - logits.max())
         best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        return self.languages[best], float(p[best] / p.sum()), float(count[self.met[used]].sum() / count.sum())
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -157,11 +165,13 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                        (learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).alias("use"))
     rows = rows.where("use")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
-    share = {k: min(1.0, SAMPLE_PER_LANGUAGE / v) for k, v in sizes.items()}
+    each = min(SAMPLE_PER_LANGUAGE, SAMPLE / max(1, len(sizes)))
+    share = {k: min(1.0, each / v) for k, v in sizes.items()}
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sampled documents with their counts, then this task's document frequencies (lang null)."""
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["lang", "order", "used", "count", "packed"]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
         seen, documents = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for body, language, order in zip(*(batch.column(c) for c in ("text", "lang", "order"))):
@@ -171,32 +181,37 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                 seen[found[0]] += 1
                 documents += 1
                 if order.as_py() < share[language.as_py()] * 2 ** 32:
-                    row = [language.as_py(), order.as_py(), found[0].astype(np.int32), found[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)],
-                                                     ["lang", "order", "used", "count"])
+                    packed = found[0].astype("<u2").tobytes() + found[1].astype("<u4").tobytes()
+                    row = [language.as_py(), order.as_py(), None, None, packed]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
         used = np.flatnonzero(seen)
-        row = [None, documents, used.astype(np.int32), seen[used]]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["lang", "order", "used", "count"])
+        row = [None, documents, used.astype(np.int32), seen[used], None]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
     order = F.pmod(F.xxhash64("key"), F.lit(2 ** 32))
     got = staged(rows.select("text", "lang", order.alias("order"))
-                 .mapInArrow(gathered, "lang string, order long, used array<int>, count array<long>"), "language-sample")
+                 .mapInArrow(gathered, "lang string, order long, used array<int>, count array<long>, packed binary"), "language-sample")
     tasks = got.where("lang is null")
     documents = tasks.agg(F.sum("order")).first()[0] or 0
-    idf = np.zeros(FEATURES)
+    idf = np.full(FEATURES, np.log(1 + documents) + 1)  # of n-grams never seen: they weigh in a text's length, and speak for no language
+    met = np.zeros(FEATURES, bool)
     if documents:  # at most one row per slot
         slot = tasks.select(F.explode(F.arrays_zip("used", "count")).alias("s")).groupBy("s.used").agg(F.sum("s.count").alias("df"))
         for r in slot.toLocalIterator():
             idf[r.used] = np.log((1 + documents) / (1 + r.df)) + 1
-    sample = sorted(got.where("lang is not null").collect(), key=lambda r: (r.order, r.lang))  # bounded by SAMPLE_PER_LANGUAGE
+            met[r.used] = True
+    sample = got.where("lang is not null").select("lang", "order", "packed").collect()  # about SAMPLE rows at most
+    sample = sorted(sample, key=lambda r: (r.order, r.lang))
     languages = sorted({r.lang for r in sample})
     if not languages:
-        return Model([], idf, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    model = Model(languages, idf, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)), 1.0)
+        return Model([], idf, met, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
+    model = Model(languages, idf, met, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)), 1.0)
     examples = []
     for r in sample:
-        used = np.array(r.used)
-        examples.append((used, model.features(used, np.array(r["count"])), languages.index(r.lang)))
+        n = len(r.packed) // 6
+        used, count = np.frombuffer(r.packed, "<u2", n).astype(np.int64), np.frombuffer(r.packed, "<u4", n, 2 * n)
+        examples.append((used, model.features(used, count).astype(np.float32), languages.index(r.lang)))
+    del sample
     back = examples[::5] if len(examples) >= 50 else []
     weights, bias = ftrl([e for i, e in enumerate(examples) if not back or i % 5], len(languages))
     model = model._replace(weights=weights.astype(np.float32), bias=bias)
@@ -207,17 +222,17 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
 
 def predictor(docs: DataFrame, model: Model):
-    """Column function: text -> struct(lang_pred, score)."""
+    """Column function: text -> struct(lang_pred, score, known)."""
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages floats
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             got = [held.value.predict(t.as_py()) for t in texts]
-            yield pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()),
-                                              pa.array([x for _, x in got], pa.float64())], ["lang_pred", "score"])
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            yield pa.StructArray.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], ["lang_pred", "score", "known"])
 
-    return F.arrow_udf("struct<lang_pred: string, score: double>")(predict)
+    return F.arrow_udf("struct<lang_pred: string, score: double, known: double>")(predict)
 
 
 #: Documents whose id's crc32 leaves this remainder are held out of training.
@@ -233,16 +248,15 @@ def languages(docs: DataFrame) -> DataFrame:
     model = train(docs, ~held_out())
     p = fresh("language")
     return (docs.select("doc_id", held_out().alias("held_out"), predictor(docs, model)(F.col("text").cast("string")).alias(p))
-            .select("doc_id", "held_out", f"{p}.*"))
+            .select("doc_id", "held_out", f"{p}.lang_pred", f"{p}.score"))
 
 
-#: A document is rejected when its language is undetermined or the score is below this: what four
-#: languages score when there is next to nothing to tell them by. Short clean texts score 0.4 and more.
-LEAST_SCORE = 0.3
+#: Share of a text's n-grams that training must have met.
+LEAST_KNOWN = 0.5
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is identified."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is identified: they have letters, and training has met their n-grams."""
     predict, p = predictor(docs, train(docs, ~held_out())), fresh("language")
     return (docs.withColumn(p, predict(F.col("text").cast("string")))
-            .where((F.col(f"{p}.lang_pred") != UND) & (F.col(f"{p}.score") >= least)).drop(p))
+            .where((F.col(f"{p}.lang_pred") != UND) & (F.col(f"{p}.known") >= LEAST_KNOWN)).drop(p))

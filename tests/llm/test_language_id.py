@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from fundflow.llm import language_id as L
 
@@ -70,3 +71,20 @@ def test_filter_keeps_columns_and_clean_documents(documents):
     kept = L.keep_identified(docs)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns and not ids & {900, 901} and len(ids) >= 295
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 40])
+def test_rejection_does_not_depend_on_the_number_of_languages(documents, n):
+    rng = np.random.default_rng(n)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    names = [f"l{k:02}" for k in range(n)]
+    syllables = {k: ["".join(rng.choice(alphabet, 3)) for _ in range(25)] for k in names}
+    rows = []
+    for i in range(max(240, 40 * n)):
+        lang = names[i % n]
+        words = ["".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(rng.integers(1 if i % 10 == 0 else 5, 40))]
+        rows.append((i, " ".join(words), lang))
+    foreign = [(100_000 + i, "\u03b1\u03b2\u03b3\u03b4 \u03b5\u03b6\u03b7" * 5, None) for i in range(5)]  # letters never seen
+    kept = {r.doc_id for r in L.keep_identified(documents(rows + foreign + [(200_000, "12 34", "l00")])).collect()}
+    assert len(kept & {r[0] for r in rows}) >= 0.99 * len(rows) and 200_000 not in kept
+    assert not kept & {r[0] for r in foreign}
