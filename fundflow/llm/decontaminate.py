@@ -34,6 +34,7 @@ whole; an empty table on either side gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -53,6 +54,8 @@ PART = 60
 CLASS_RATIO = 1.25
 #: Words of the benchmark that are broadcast at once.
 CHUNK_WORDS = 1_000_000
+#: Indexes of chunks that a worker process keeps.
+INDEXES = 2
 #: Windows embedded at a time.
 WINDOWS = 4096
 WORD = re.compile(r"\w+")
@@ -276,12 +279,24 @@ MATCH = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.in
 MATCHES = "array<struct<item_id: bigint, start: bigint, end: bigint, distance: int, similarity: double>>"
 
 
-def matcher(items):
-    """Column function text -> matches with a broadcast list of (item_id, words)."""
+_indexes: dict[str, Benchmark] = {}
+
+
+def index_of(key: str, items) -> Benchmark:
+    """The index of a broadcast chunk, made once by each worker process; a worker keeps INDEXES of them."""
+    if key not in _indexes:
+        while len(_indexes) >= INDEXES:
+            del _indexes[next(iter(_indexes))]
+        _indexes[key] = Benchmark(items.value)
+    return _indexes[key]
+
+
+def matcher(items, key: str):
+    """Column function text -> matches with a broadcast list of (item_id, words); ``key`` is a digest of it."""
     fields = [f.name for f in MATCH]
 
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Benchmark(items.value)
+        index = index_of(key, items)
         for texts in batches:
             found = index.matches([t.as_py() or "" for t in texts])
             yield pa.array([[dict(zip(fields, m)) for m in of] for of in found], pa.list_(MATCH))
@@ -289,8 +304,8 @@ def matcher(items):
     return F.arrow_udf(MATCHES)(column)
 
 
-def match_columns(spark, benchmark: DataFrame) -> list:
-    """Column functions text -> matches, one for each chunk of the benchmark."""
+def match_columns(spark, benchmark: DataFrame, least_words: int = 1) -> list:
+    """Column functions text -> matches, one for each chunk of the benchmark's items of at least ``least_words``."""
     bounded_batches(spark)
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
              .where("item_id is not null and text is not null"))
@@ -300,26 +315,29 @@ def match_columns(spark, benchmark: DataFrame) -> list:
     made = []
     for chunk in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk).collect()  # about CHUNK_WORDS words
-        listed = sorted((r.item_id, words) for r in rows if (words := WORD.findall(r.text.lower())))
-        made.append(matcher(spark.sparkContext.broadcast(listed)))
+        listed = sorted((r.item_id, words) for r in rows if len(words := WORD.findall(r.text.lower())) >= max(1, least_words))
+        key = hashlib.sha256(repr(listed).encode()).hexdigest()
+        made.append(matcher(spark.sparkContext.broadcast(listed), key))
     return made
 
 
-def matches_of(spark, benchmark: DataFrame):
+def matches_of(spark, benchmark: DataFrame, least_words: int = 1):
     """Column: all matches of ``text`` with the benchmark."""
-    made = [c(F.col("text").cast("string")) for c in match_columns(spark, benchmark)]
+    made = [c(F.col("text").cast("string")) for c in match_columns(spark, benchmark, least_words)]
     return F.concat(*made) if made else F.lit(None).cast(MATCHES)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each match: doc_id, item_id, start, end (code points), distance (words), similarity."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFrame:
+    """One row for each match: doc_id, item_id, start, end (code points), distance (words), similarity.
+
+    ``least_words``: shorter items are not looked for (one of a word or two is found wherever they are said)."""
     m = fresh("match")
-    found = docs.select("doc_id", matches_of(docs.sparkSession, benchmark).alias(m))
+    found = docs.select("doc_id", matches_of(docs.sparkSession, benchmark, least_words).alias(m))
     return found.select("doc_id", F.explode(m).alias(m)).select("doc_id", f"{m}.*")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of at least ``least_words`` words."""
     m = fresh("match")
-    found = docs.withColumn(m, matches_of(docs.sparkSession, benchmark))
+    found = docs.withColumn(m, matches_of(docs.sparkSession, benchmark, least_words))
     return found.where(F.coalesce(F.size(m), F.lit(0)) <= 0).drop(m)

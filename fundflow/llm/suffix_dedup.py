@@ -1,25 +1,24 @@
-"""Substring dedup by prefix-partitioned suffix trees (operator 2).
+"""Substring dedup over prefix-partitioned suffixes (operator 2); windows compared by digest instead of a tree.
 
 A text is a sequence of words (runs without \\x20 and \\x09-\\x0D). Every word that starts a
 window of ``words`` consecutive words of its document starts a suffix. A word is removed if
 a window that covers it also starts in a document with a smaller ``doc_id``.
 
 Suffixes are split by their leading words into groups that fit a task: by the first word,
-by the first two where too many suffixes share the first word's cell, and so on (prefixes of
-variable length, chosen from counts over the whole corpus). Within a group the subtree is
-built bottom-up over the suffixes cut at depth ``words``: sorted by the digest of their words
-they form a suffix array, in which a run of equal suffixes is an internal node of depth
-``words`` or more, i.e. a repeat; its first document keeps it. Edges above that depth are
-never asked for and not stored, and equal suffixes of one block travel once. Overlapping
-repeats of a document are merged to the maximal stretches that are removed.
+by the first two where too many suffixes share the first word's cell, and so on up to
+LONGEST_PREFIX words (prefixes of variable length, chosen from counts over the whole corpus; a group that
+is still crowded there is not split further). Within a group no tree is built: suffixes cut at
+depth ``words`` are sorted by the 64-bit digest of their words, and equal digests are taken for equal
+words. Sending the words themselves, 13 for each suffix, would shuffle some twenty times the input. Overlapping
+repeats of a document are merged to the stretches that are removed.
 
 Documents are dealt to blocks of about BLOCK_BYTES by ranges of ``doc_id``, so a group only
 needs to know in which block a suffix occurs: it tells all blocks but the first, and within
-a block the documents settle it themselves, in order of ``doc_id``. What moves is about
-seven bytes a word and the texts once, to their blocks; suffixes are carried as 64-bit
-digests, which are compared within a group only. Groups have about GROUP_SUFFIXES suffixes
-whatever the corpus, so at N suffixes N * GROUP_SUFFIXES / 2**65 pairs are confused: 1e-5 at
-0.5 GB, about one in all at 100 TB.
+a block the documents settle it themselves, in order of ``doc_id``, by the digests of the block and of all
+that its groups told it. What moves is about seven bytes a word and the texts once, to their blocks.
+
+Two different windows are confused where their digests agree. With N suffixes in groups of about GROUP_SUFFIXES
+and blocks of S suffixes, about N * (GROUP_SUFFIXES + S) / 2**65 pairs are: 1e-5 at 0.5 GB, a few at 100 TB.
 
 Cases: a null text has no words; a document with a null ``doc_id`` neither loses words nor
 takes any away; rows with equal ``doc_id`` don't take words from each other; documents with

@@ -142,3 +142,19 @@ def test_edited_copies_around_a_verbatim_one():
         matches = next(D.Benchmark([(7, item)]).matches([text]))
         assert [text[m[1]:m[2]].split() for m in matches] == [copies[c] for c in order]
         assert [m[3] for m in matches] == [(2, 1, 0, 1)[c] for c in order]
+
+
+def test_items_that_are_too_short_can_be_left_out(spark, documents):
+    items = spark.createDataFrame([(1, "common"), (2, "five words make an item"), (3, "")], "item_id long, text string")
+    docs = documents([(1, "a common word", "en"), (2, "here five words make an item of it", "en"), (3, "nothing", "en")])
+    assert {r.doc_id for r in D.drop_contaminated(docs, items).collect()} == {3}
+    assert {r.doc_id for r in D.drop_contaminated(docs, items, least_words=5).collect()} == {1, 3}
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, items, least_words=5).collect()] == [(2, 2)]
+
+
+def test_an_index_is_made_once_a_worker(monkeypatch):
+    class Held:
+        value = [(1, ["one", "two", "three"])]
+    monkeypatch.setattr(D, "_indexes", {})
+    made = [D.index_of(k, Held) for k in ("a", "a", "b", "c", "c")]
+    assert made[0] is made[1] and made[3] is made[4] and len(D._indexes) == D.INDEXES
