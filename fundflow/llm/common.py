@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.session import new_location
+from fundflow.session import discard, new_location
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept far below Spark's default.
 BATCH_ROWS = 1000
@@ -54,7 +54,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_location(spark, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        discard(df.sparkSession, df.staged_at)
 
 
 def fresh(name: str) -> str:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundflow.llm.common import staged
+from fundflow.llm.common import release, staged
 
 #: Children of a node, and the levels that one window covers.
 ARITY, LEVELS = 8, 3
@@ -50,14 +50,17 @@ def leaf_of(fields: list[Column]) -> Column:
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """``rows`` with their place (from 0) among the rows of their ``g``, and ``n``, how many those are; no group is gathered."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = staged(rows, f"{name}-rows").withColumn("tie", F.monotonically_increasing_id())  # splits a crowd of equal rows
+    stored = staged(rows, f"{name}-rows")
+    held = stored.withColumn("tie", F.monotonically_increasing_id())  # splits a crowd of equal rows
     dealt = staged(held.repartitionByRange(partitions, "g", *order, "tie").withColumn("slice", F.spark_partition_id()), f"{name}-slices")
     group, slices = Window.partitionBy("g"), dealt.groupBy("g", "slice").agg(F.count(F.lit(1)).alias("size"))
     earlier = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = slices.select("g", "slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.sum("size").over(group).alias("n"))
     local = dealt.withColumn("local", F.row_number().over(Window.partitionBy("g", "slice").orderBy(*order, "tie")))
-    return staged(local.join(counts, ["g", "slice"]).withColumn("place", F.col("before") + F.col("local") - 1)
-                  .select(*rows.columns, "place", "n"), f"{name}-places")
+    places = staged(local.join(counts, ["g", "slice"]).withColumn("place", F.col("before") + F.col("local") - 1)
+                    .select(*rows.columns, "place", "n"), f"{name}-places")
+    release(stored, dealt)
+    return places
 
 
 def nodes_at(n: Column, level: int) -> Column:
