@@ -209,7 +209,7 @@ CANDIDATE_RECORD = T.StructType([
     T.StructField("last_file_date", T.StringType()),
 ])
 #: Pages of a landed file, and files of a micro-batch.
-PAGES_PER_FILE, FILES_PER_BATCH = 16, 8
+PAGES_PER_FILE, FILES_PER_BATCH = 16, 16
 STREAM_OUT = ["candidate_id", "name", "office", "state", "party", "district", "last_file_date"]
 
 
