@@ -398,3 +398,32 @@ def test_a_filter_on_a_missing_column_is_an_error(spark):
     one = spark.createDataFrame([(2000, "P"), (2002, "P"), (2000, "X")], "cycle int, office string")
     assert source_filter(one, cycle=2000, cycle_column="cycle").count() == 1  # a scalar cycle
     assert source_filter(one, offices=None, office="X").count() == 1
+
+
+def test_a_backlog_takes_few_micro_batches_and_state_partitions(spark):
+    from fundflow.streaming.micro_batch import BUCKETS, MOST_BATCHES, SHUFFLE, batch_files, run_incremental, state_partitions
+    assert [batch_files(n, 16) for n in (0, 1, 94, 128, 563, 1024)] == [16, 16, 16, 16, 71, 128]
+    assert all(-(-n // batch_files(n, 1)) <= MOST_BATCHES for n in range(1, 3000))
+    before = spark.conf.get(SHUFFLE)
+    d, store, ck = tempfile.mkdtemp(prefix="land-"), _store(spark), tempfile.mkdtemp(prefix="ck-")
+    for p in range(1, 10):
+        _land(d, f"p{p}.json", 1, p, [("C0", "DOE, JO", f"P{p}"), (f"C{p}", "DOE, JO", "DEM")], pages=9)
+    spark.conf.set(SHUFFLE, 60)
+    try:
+        assert state_partitions(spark) == min(60, BUCKETS, spark.sparkContext.defaultParallelism)
+        r = run_incremental(spark, store, d, REC_C, "candidates", "2024-06-01 00:00:00", batch_files(9, 1), checkpoint=ck)
+        assert spark.conf.get(SHUFFLE) == "60"
+    finally:
+        spark.conf.set(SHUFFLE, before)
+    assert 1 < r.batches <= MOST_BATCHES
+    assert len([x for x in os.listdir(f"{ck}/state/0") if x.isdigit()]) <= spark.sparkContext.defaultParallelism
+    assert {x.candidate_id: x.party for x in store.read("candidates").collect()} == {"C0": "P9"} | {f"C{p}": "DEM" for p in range(1, 10)}
+
+
+def test_landed_files_are_bounded(spark, monkeypatch):
+    from fundflow.plans import registered_jobs as R
+    monkeypatch.setattr(R, "PAGES_PER_FILE", 1)
+    monkeypatch.setattr(R, "MOST_FILES", 3)
+    raw = spark.range(900).selectExpr("id as _seq", *[f"'x' as {f.name}" for f in R.CANDIDATE_RECORD.fields if f.name != "order_key"])
+    assert R._candidate_pages(raw, 1)[1] == 3
+    assert R._candidate_pages(raw.limit(150), 1)[1] == 2
