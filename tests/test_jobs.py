@@ -427,3 +427,20 @@ def test_landed_files_are_bounded(spark, monkeypatch):
     raw = spark.range(900).selectExpr("id as _seq", *[f"'x' as {f.name}" for f in R.CANDIDATE_RECORD.fields if f.name != "order_key"])
     assert R._candidate_pages(raw, 1)[1] == 3
     assert R._candidate_pages(raw.limit(150), 1)[1] == 2
+
+
+def test_the_feed_is_read_again_only_when_a_rule_failed(spark, monkeypatch):
+    read = []
+    rejects = jobs._rejects
+    monkeypatch.setattr(jobs, "_rejects", lambda entity, run, ts, rows, errors: read.append(entity) or rejects(entity, run, ts, rows, errors))
+    store = _store(spark)
+    outside = spark.createDataFrame([("C1", 2024, "S", D(1), 1), ("CX", 2024, "s", D(2), 2), ("CX", 2024, "S", D(3), 3)], OUTSIDE)
+    bad = spark.createDataFrame([("C1", 2022, "X", D(9), 1), ("CY", 2022, "S", D(9), 2)], OUTSIDE)
+    jobs.ingest_batch(store, {"candidates": _candidates(spark, ("C1", "DOE, JO", None))}, "2024-06-01 00:00:00", ["candidates"])
+    assert read == []
+    r = jobs.ingest_entity(store, "schedule_e_totals_by_candidate", outside, "2024-06-01 00:00:00")
+    assert len(read) == 1  # the staged rows of unknown parents, not the feed
+    assert sorted((x.failed_id, x.errors[0]) for x in r.quarantine.collect()) == [("CX", jobs.UNKNOWN_PARENT)] * 2
+    r = jobs.ingest_entity(store, "schedule_e_totals_by_candidate", bad, "2024-06-01 00:00:00")
+    assert len(read) == 3
+    assert sorted((x.failed_id, x.errors[0]) for x in r.quarantine.collect()) == [("C1", "indicator_domain"), ("CY", jobs.UNKNOWN_PARENT)]

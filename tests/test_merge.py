@@ -77,3 +77,19 @@ def test_versioned_merge_ignores_stale_rows(spark):
     inc2 = spark.createDataFrame([("A", 2024, D(1), D(1), 11)], INCOMING)
     r2 = M.merge(stored, inc2, INSIDE_TOTALS, RUN, version="_seq").frame.first()
     assert (r2.receipts, r2._action, r2._seq) == (D(1), "update", 11)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_known_to_be_unique_are_not_looked_for_again(spark):
+    from fundflow.plans.refresh import TableStore
+    inc = spark.createDataFrame([("A", 2024, D(5), D(1), 1), ("D", 2024, D(4), D(4), 2)], INCOMING)
+    once, again = M.merge(_stored(spark), inc, INSIDE_TOTALS, RUN, repeats=False), M.merge(_stored(spark), inc, INSIDE_TOTALS, RUN)
+    assert "Aggregate" in _plan(again.frame) and "Aggregate" not in _plan(once.frame)
+    assert sorted(once.frame.collect()) == sorted(again.frame.collect())
+    empty = TableStore.empty_like(None, _stored(spark))  # of a table that isn't there yet: nothing to join or shuffle
+    first = M.merge(empty, inc, INSIDE_TOTALS, RUN, repeats=False).frame
+    assert "Join" not in _plan(first)
+    assert sorted((r.candidate_id, r["_action"]) for r in first.collect()) == [("A", "insert"), ("D", "insert")]
