@@ -164,3 +164,26 @@ def test_whole_numbers_only(spark):
     assert [r[0] for r in doubles.select(whole_number(F.col("d"))).collect()] == [2024, None, None]
     lists = spark.createDataFrame([([2020.0, 2021.5],)], "l array<double>")
     assert lists.select(coerce_array(F.col("l"), "int")).first()[0] == [2020, None]
+
+
+def test_key_fields_are_filtered_below_a_join(spark):
+    from fundflow.operators.dedupe import key_present
+    left = spark.createDataFrame([(1, "S", 2024), (2, None, 2024), (3, "", 2024), (4, "O", 0), (5, "O", None), (6, "S", 2024), (7, "S", 2024)],
+                                 "k long, ind string, cycle int")
+    right = spark.createDataFrame([(k, None if k == 6 else "" if k == 7 else f"C{k}") for k in range(1, 8)], "k long, id string")
+    kept, skipped = key_present(left.join(right, "k"), ["id", "ind"], ["cycle"])
+    assert rows(kept, "id") == [("C1",)]
+    assert sorted(rows(skipped, "k")) == [(k,) for k in range(2, 8)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[:plan.index("Join")]
+
+
+def test_a_tally_is_planned_when_it_is_asked_for(spark, monkeypatch):
+    from fundflow.operators import ingest
+    made = []
+    tally = ingest._tally
+    monkeypatch.setattr(ingest, "_tally", lambda per_key: made.append(1) or tally(per_key))
+    raw = spark.createDataFrame([("C1", "DOE, JO", 1), ("C1", "DOE, JO", 2), ("C2", " ", 3)], "candidate_id string, name string, _seq long")
+    t = ingest.transform_candidates(raw)
+    assert t.rows.count() == 1 and made == []
+    assert tuple(t.tally.first()) == (1, 1, 0, 1) and t.tally.count() == 1 and made == [1]
